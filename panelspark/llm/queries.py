@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, rank_merge
+from . import bpe_automaton, packing, rank_merge, token_store
+from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,12 +20,22 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), digests_only=True)
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-store")
+    token_store.write_store(documents(spark, sf_dir), folder, public_tokenizers.path(BYTE_BPE), end_id=2)
+    return token_store.read_store(spark, folder, with_ids=False)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), capacity=1024, end_id=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
 def queries() -> dict:
-    return {"op1_bpe_automaton": op1_bpe_automaton, "op8_token_counts": op8_token_counts}
+    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op5_best_fit_packing, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
