@@ -198,3 +198,31 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+class Words:
+    """Words of a chunk of texts: spans, hashes and each text's range of words."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~BLANK):
+        self.data, self.offsets = data, offsets
+        self.starts, self.ends = spans(inside[data], offsets)
+        self.hashes = hash_spans(data, self.starts, self.ends)
+        self.bounds = np.searchsorted(self.starts, offsets)
+        self.counts = np.diff(self.bounds)
+
+    def text_of(self) -> np.ndarray:
+        """The text that each word is in."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all windows of k words that lie in one text, their first words, and their number in each text."""
+        n = np.maximum(self.counts - k + 1, 0)
+        at = ragged(self.bounds[:-1], n)
+        hashes = window_hashes(self.hashes, k)
+        return (hashes[at] if len(at) else np.empty(0, np.uint64)), at, n
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of values[bounds[i]:bounds[i + 1]]."""
+    total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=None if values.dtype.kind == "f" else np.int64)])
+    return np.diff(total[bounds])

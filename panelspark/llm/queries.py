@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, packing, rank_merge, token_store
+from . import bpe_automaton, language_model, packing, quality, rank_merge, token_store
 from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,12 +30,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), capacity=1024, end_id=2)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_merge.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op5_best_fit_packing, op8_token_counts)}
+    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op5_best_fit_packing, op7_quality_rules, op8_token_counts, op9_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
