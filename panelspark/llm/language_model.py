@@ -36,7 +36,7 @@ from .shared import written
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, DIMENSIONS = 1024, 16
-NOISE, BATCH, RATE, ROUNDS = 24, 4096, 0.08, 2
+NOISE, BATCH, RATE, ROUNDS = 24, 1024, 0.3, 1
 MAX_FREQUENT = 200_000
 REST, END = 0, 1  # classes; the context before a text is class CLASSES
 _END_HASH = mix(np.array([0x656E64], np.uint64))[0]

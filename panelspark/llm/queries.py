@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, language_model, packing, quality, rank_merge, token_store
+from . import bpe_automaton, language_model, license_scan, line_dedup, packing, quality, rank_merge, token_store
 from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +27,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, folder, with_ids=False)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), capacity=1024, end_id=2)
 
@@ -42,8 +47,14 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_dedup(documents(spark, sf_dir))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "lines_total", "lines_deleted", F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op5_best_fit_packing, op7_quality_rules, op8_token_counts, op9_language_model)}
+    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op4_license_scan, op5_best_fit_packing, op7_quality_rules, op8_token_counts, op9_language_model, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
