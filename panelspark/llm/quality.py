@@ -136,6 +136,30 @@ def rule_counts(words: Words) -> dict[str, np.ndarray]:
     }
 
 
+def verdicts(words: Words, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Figures, failure of the base rules and mean log ratio of every text of a chunk."""
+    figures = rule_counts(words)
+    one, two, n = grams(words)
+    total = sums(weight[one], 2 * words.bounds) + sums(weight[two], np.concatenate([[0], np.cumsum(n)]))
+    mean = total / np.maximum(2 * words.counts + n, 1)
+    failed = (figures["n_words"] < MIN_WORDS) | (100 * figures["n_repeat_words"] > MAX_REPEAT_PERCENT * figures["n_words"])
+    return figures, failed, mean
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """The rows of ``docs`` that the rules and the ratio keep, with all their columns; edge cases as in quality_rules."""
+    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, id_col, text_col, max_trusted))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in text_chunks(batch.column(place)):
+                _, failed, mean = verdicts(Words(data, offsets), ratio.value)
+                yield batch.slice(row, len(mean)).filter(pa.array(~failed & (mean >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """Figures and verdict of every document.
 
@@ -155,14 +179,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         weight = ratio.value
         for batch in batches:
             for row, data, offsets in text_chunks(batch.column(1)):
-                words = Words(data, offsets)
-                figures = rule_counts(words)
-                one, two, n = grams(words)
-                total = sums(weight[one], 2 * words.bounds) + sums(weight[two], np.concatenate([[0], np.cumsum(n)]))
-                mean = total / np.maximum(2 * words.counts + n, 1)
-                failed = (figures["n_words"] < MIN_WORDS) | (100 * figures["n_repeat_words"] > MAX_REPEAT_PERCENT * figures["n_words"])
+                figures, failed, mean = verdicts(Words(data, offsets), weight)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(n)), *(pa.array(figures[c], pa.int64()) for c in names), pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= threshold))],
+                    [batch.column(0).slice(row, len(mean)), *(pa.array(figures[c], pa.int64()) for c in names), pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= threshold))],
                     names=schema.fieldNames(),
                 )
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, token_store
+from . import bpe_automaton, jaccard_join, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, token_store
 from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -21,6 +22,10 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), digests_only=True)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-store")
     token_store.write_store(documents(spark, sf_dir), folder, public_tokenizers.path(BYTE_BPE), end_id=2)
@@ -74,8 +79,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_automaton, op3_token_store, op4_license_scan, op5_best_fit_packing, op6_exact_top_k, op7_quality_rules, op8_token_counts, op9_language_model, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_bpe_automaton, op2_jaccard_join, op3_token_store, op4_license_scan, op5_best_fit_packing, op6_exact_top_k, op7_quality_rules, op8_token_counts, op9_language_model, op10_line_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL}
+    return {"op6_exact_top_k": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
