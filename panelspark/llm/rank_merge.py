@@ -140,7 +140,7 @@ class RankEncoder:
         if not self.tables.byte_level:
             raise ValueError("the rank encoder reads byte-level files only")
         self.ids = ids
-        self.cache = LossyCache(cache_bits, self.WIDTH if ids else 0)
+        self.cache = LossyCache(cache_bits, self.WIDTH if ids else 0, np.uint16 if len(self.tables.labels) <= 1 << 16 else np.int32)
 
     def _merge_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts
@@ -163,7 +163,7 @@ class RankEncoder:
             new_rows = None
             if self.ids:
                 head = np.cumsum(made) - made
-                new_rows = np.zeros((len(some), self.WIDTH), dtype=np.int32)
+                new_rows = np.zeros((len(some), self.WIDTH), dtype=rows.dtype)
                 fit = np.flatnonzero(short)
                 place = ragged(np.zeros(len(fit), np.int64), made[fit])
                 new_rows[np.repeat(fit, made[fit]), place] = symbols[ragged(head[fit], made[fit])]
@@ -222,6 +222,16 @@ class RankEncoder:
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
+#: Bytes of text encoded at once; a worker's peak memory follows it.
+ENCODE_BYTES = 1 << 19
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, ids: bool) -> RankEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return RankEncoder(path, ids)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Token counts of every whole text.
 
@@ -235,11 +245,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
-        encoder = RankEncoder(tokenizer_path, ids=False)
+        encoder = shared_encoder(tokenizer_path, False)
         for batch in batches:
             texts = batch.column(1)
             size, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for row, data, offsets in text_chunks(texts):
+            for row, data, offsets in text_chunks(texts, ENCODE_BYTES):
                 size[row : row + len(offsets) - 1] = np.diff(offsets)
                 tokens[row : row + len(offsets) - 1] = encoder.count(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(tokens), pa.array(tokens > limit)], names=schema.fieldNames())

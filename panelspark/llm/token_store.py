@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import text_chunks
-from .rank_merge import RankEncoder, load_tables
+from .rank_merge import ENCODE_BYTES, load_tables, shared_encoder
 
 #: Documents whose ids the dictionary is trained on, about; chosen by a hash of their ids.
 SAMPLE_DOCUMENTS = 1000
@@ -43,10 +43,10 @@ BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 1024
 
 def encoded(batches, path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """The batches, each with the ids of its second column's texts."""
-    encoder = RankEncoder(path, ids=True)
+    encoder = shared_encoder(path, True)
     tail = np.empty(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
     for batch in batches:
-        for row, data, offsets in text_chunks(batch.column(1)):
+        for row, data, offsets in text_chunks(batch.column(1), ENCODE_BYTES):
             ids, counts = encoder.encode(data, offsets)
             bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
             yield batch.slice(row, len(counts)), [np.concatenate([ids[a:b], tail]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
