@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
+
+MODULES = ("window_queries", "relational_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers fn(spark, sf_dir) under ``name``; ``sql``: the same rows from DuckDB."""
+
+    def add(fn: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(f"panelspark.plans.{module}")
