@@ -8,31 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-BY_DATE = Window.partitionBy("date")
 
+def by_ticker() -> WindowSpec:
+    """Each ticker's rows by date.  A function: windows need a session, importing this module does not."""
+    return Window.partitionBy("ticker").orderBy("date")
 
-def frame(n: int, last: int = 0, over: WindowSpec = BY_TICKER) -> WindowSpec:
+
+def frame(n: int, last: int = 0, over: WindowSpec | None = None) -> WindowSpec:
     """The n rows up to ``last`` rows after the current one."""
-    return over.rowsBetween(last - n + 1, last)
+    return (over or by_ticker()).rowsBetween(last - n + 1, last)
 
 
-def rolling(x: Column, n: int, fn: Callable[[Column], Column], min_periods: int | None = None, last: int = 0, over: WindowSpec = BY_TICKER) -> Column:
+def rolling(x: Column, n: int, fn: Callable[[Column], Column], min_periods: int | None = None, last: int = 0, over: WindowSpec | None = None) -> Column:
     """fn over the frame, null until ``min_periods`` (n, unless given) values are not null."""
     w = frame(n, last, over)
     return F.when(F.count(x).over(w) >= (min_periods or n), fn(x).over(w))
 
 
 def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_TICKER)
+    return F.lag(x, n).over(by_ticker())
 
 
 def lead(x: Column, n: int = 1) -> Column:
-    return F.lead(x, n).over(BY_TICKER)
+    return F.lead(x, n).over(by_ticker())
 
 
-def running(x: Column, fn: Callable[[Column], Column] = F.sum, over: WindowSpec = BY_TICKER) -> Column:
-    return fn(x).over(over.rowsBetween(Window.unboundedPreceding, 0))
+def running(x: Column, fn: Callable[[Column], Column] = F.sum, over: WindowSpec | None = None) -> Column:
+    return fn(x).over((over or by_ticker()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.recursive import smooth
-from ..functions.rolling import BY_TICKER, lag, ratio, rolling, running
+from ..functions.rolling import by_ticker, lag, ratio, rolling, running
 
 
 def sma(x: Column, n: int) -> Column:
@@ -133,7 +133,7 @@ def with_returns(df: DataFrame) -> DataFrame:
 def past_normalised(df: DataFrame, col: str, out: str, n: int, method: str = "zscore") -> DataFrame:
     """z-score or min-max against the n rows before the current one; 0 where they do not vary."""
     x = F.col(col)
-    w = BY_TICKER.rowsBetween(-n, -1)
+    w = by_ticker().rowsBetween(-n, -1)
     if method == "zscore":
         sd = F.stddev_pop(x).over(w)
         value = F.when(sd > 1e-8, (x - F.avg(x).over(w)) / sd).otherwise(0.0)

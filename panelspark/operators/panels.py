@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_TICKER, lag, lead, rolling
+from ..functions.rolling import by_ticker, lag, lead, rolling
 
 
 # -- cleaning ---------------------------------------------------------------
@@ -13,7 +13,7 @@ from ..functions.rolling import BY_TICKER, lag, lead, rolling
 def clean_bars(df: DataFrame) -> DataFrame:
     """Drops bars with high under low or without volume, fills prices from at most 5 rows back, drops what is left null, flags moves over 50 %."""
     df = df.where((F.col("high") >= F.col("low")) & (F.col("volume") > 0))
-    w = BY_TICKER.rowsBetween(-5, 0)
+    w = by_ticker().rowsBetween(-5, 0)
     df = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("open", "high", "low", "close")}).na.drop(subset=["open", "high", "low", "close"])
     return df.withColumn("big_move", F.coalesce(F.abs(F.col("close") / lag(F.col("close")) - 1) > 0.5, F.lit(False)))
 
@@ -79,7 +79,7 @@ def three_class(ret: Column, theta: Column) -> Column:
 
 def triple_barrier(df: DataFrame, horizon: int, up: float, down: float, theta: str) -> DataFrame:
     """First barrier that the next ``horizon`` bars touch; both in one bar, or none: neutral, at that bar or the last one."""
-    ahead = F.collect_list(F.struct("high", "low", "close")).over(BY_TICKER.rowsBetween(1, horizon))
+    ahead = F.collect_list(F.struct("high", "low", "close")).over(by_ticker().rowsBetween(1, horizon))
     df = df.withColumn("_a", ahead).withColumn("_u", F.col("close") * F.exp(up * F.col(theta))).withColumn("_d", F.col("close") * F.exp(-down * F.col(theta)))
     touch = F.expr("filter(transform(_a, (x, i) -> struct(i + 1 AS i, x.high >= _u AS u, x.low <= _d AS d, x.close AS close)), x -> x.u OR x.d)")
     df = df.withColumn("_t", F.get(touch, F.lit(0)))
@@ -103,7 +103,7 @@ def decile_weights(df: DataFrame, score: str, q: float = 0.1) -> DataFrame:
 
 def backtest(df: DataFrame, cost_bps: float) -> DataFrame:
     """(date, gross, traded, cost, net, equity) of held weights against next returns."""
-    before = F.coalesce(F.lag("weight").over(BY_TICKER), F.lit(0.0))
+    before = F.coalesce(F.lag("weight").over(by_ticker()), F.lit(0.0))
     days = df.withColumn("_d", F.abs(F.col("weight") - before)).groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("next_ret", F.lit(0.0))).alias("gross"), F.sum("_d").alias("traded"))
     days = days.withColumn("cost", F.col("traded") * cost_bps / 1e4).withColumn("net", F.col("gross") - F.col("cost"))
     # one row a date: the running product needs one partition and has a few thousand rows

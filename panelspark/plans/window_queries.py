@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.recursive import smooth
-from ..functions.rolling import BY_TICKER, cross_sectional_rank, lag, lead, ratio, rolling, running
+from ..functions.rolling import by_ticker, cross_sectional_rank, lag, lead, ratio, rolling, running
 from ..operators import indicators as ind
 from ..operators import panels
 from ..sources.tables import BARS_SQL, bars
@@ -390,7 +390,7 @@ def lbl_triple_barrier(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def lbl_concurrency(spark: SparkSession, d: str) -> DataFrame:
-    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(BY_TICKER) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
+    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(by_ticker()) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
     return panels.concurrency(one.select("pos", F.when(F.col("pos") + 5 <= F.col("n") - 1, F.col("pos") + 5).alias("t1"))).select("pos", F.col("conc").cast("long").alias("conc"))
 
 
@@ -404,7 +404,7 @@ def lbl_concurrency(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def lbl_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(BY_TICKER) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
+    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(by_ticker()) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
     live = one.select("pos", F.when(F.col("pos") + 5 <= F.col("n") - 1, F.col("pos") + 5).alias("t1"))
     prefix = panels.concurrency(live).select("pos", F.sum(1.0 / F.nullif("conc", F.lit(0))).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     at = live.where("t1 IS NOT NULL").join(prefix.select(F.col("pos").alias("t1"), F.col("s").alias("hi")), "t1")
@@ -415,7 +415,7 @@ def lbl_uniqueness(spark: SparkSession, d: str) -> DataFrame:
 # W33, DM5
 @query("win_lookback_tensor", with_bars(f"SELECT ticker, date, round(list_sum(l), 6) AS total, len(l) AS n FROM (SELECT ticker, date, list(coalesce(ret, 0)) OVER {roll(12)} AS l FROM r)", RET))
 def win_lookback_tensor(spark: SparkSession, d: str) -> DataFrame:
-    df = ind.with_returns(bars(spark, d)).withColumn("w", F.collect_list(F.coalesce("ret", F.lit(0.0))).over(BY_TICKER.rowsBetween(-11, 0)))
+    df = ind.with_returns(bars(spark, d)).withColumn("w", F.collect_list(F.coalesce("ret", F.lit(0.0))).over(by_ticker().rowsBetween(-11, 0)))
     return df.select("ticker", "date", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("w").cast("long").alias("n"))
 
 
@@ -443,7 +443,7 @@ FROM (SELECT *, avg(v) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBO
     ),
 )
 def win_regime(spark: SparkSession, d: str) -> DataFrame:
-    w, past = BY_TICKER.rowsBetween(-12, -1), BY_TICKER.rowsBetween(Window.unboundedPreceding, -1)
+    w, past = by_ticker().rowsBetween(-12, -1), by_ticker().rowsBetween(Window.unboundedPreceding, -1)
     df = ind.with_returns(bars(spark, d)).withColumns({"n": F.count("ret").over(w), "m": F.avg("ret").over(w), "v": F.when(F.count("ret").over(w) >= 12, F.stddev_pop("ret").over(w))})
     regime = F.when(F.col("n") < 12, None).when(F.col("v") > 1.5 * F.coalesce(F.avg("v").over(past), F.col("v")), "volatile").when(F.col("m") > 0.02, "bull").when(F.col("m") < -0.02, "bear").otherwise("flat")
     return df.select("ticker", "date", regime.alias("regime"))
