@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("window_queries", "relational_queries", "metric_queries", "text_queries", "stream_queries")
+MODULES = ("window_queries", "relational_queries", "metric_queries", "text_queries", "stream_queries", "estimator_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
