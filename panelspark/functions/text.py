@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,6 +112,7 @@ def encode(words: Column, table: dict[str, int], length: int) -> Column:
     return F.slice(F.concat(full, F.array_repeat(F.lit(0), length)), 1, length)
 
 
+@lru_cache(maxsize=1 << 18)
 def fnv1a(token: str) -> int:
     h = 0xCBF29CE484222325
     for b in token.encode():
@@ -122,13 +125,9 @@ def simhash(words: pd.Series) -> pd.Series:
     """64-bit fingerprint: every token votes with the bits of its hash."""
 
     def one(tokens) -> int:
-        votes = [0] * 64
-        for t in tokens:
-            h = fnv1a(t)
-            for i in range(64):
-                votes[i] += 1 if h >> i & 1 else -1
-        value = sum(1 << i for i in range(64) if votes[i] > 0)
-        return value - 2**64 if value >= 2**63 else value
+        hashes = np.fromiter(map(fnv1a, tokens), dtype="<u8", count=len(tokens))
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        return int(np.packbits(2 * ones.astype(np.int64) > len(hashes), bitorder="little").view("<i8")[0])
 
     return words.map(one)
 

@@ -44,6 +44,25 @@ def forward_asof(left: DataFrame, time: Column, right: DataFrame, right_time: st
     return found.select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in payload])
 
 
+def calendar_asof(left: DataFrame, time: Column, marks: DataFrame, mark_time: str, payload: list[str]) -> DataFrame:
+    """As forward_asof, for marks without a key: adds the payload of the first mark at or after ``time``.
+
+    Each mark stands for the days since the mark before it, so the left rows find
+    it by an equi-join on their day.  Only the marks, one row a session, go
+    through a window without partitions; the left side has no bottleneck.
+    """
+    before = F.lag(mark_time).over(Window.orderBy(mark_time))
+    spans = marks.select(F.col(mark_time).alias("_at"), F.struct(*payload).alias("_m")).withColumnRenamed("_at", mark_time).withColumn("_before", before)
+    days = spans.where("_before IS NOT NULL").select(F.col(mark_time).alias("_at"), "_m", "_before", F.explode(F.sequence(F.to_date("_before"), F.to_date(mark_time))).alias("_day"))
+    rows = left.withColumn("_t", time).withColumn("_row", F.struct(*left.columns)).select("_t", "_row", F.to_date("_t").alias("_day"))
+    first = spans.where("_before IS NULL").select(F.col(mark_time).alias("_first"), F.col("_m").alias("_fm"))
+    # the condition is part of the join, so rows that no mark takes stay once
+    hit = (rows["_day"] == days["_day"]) & (rows["_t"] > days["_before"]) & (rows["_t"] <= days["_at"])
+    joined = rows.join(days, hit, "left").select("_t", "_row", "_m").join(F.broadcast(first), F.lit(True), "left")  # one row
+    mark = F.coalesce("_m", F.when(F.col("_t") <= F.col("_first"), F.col("_fm")))
+    return joined.withColumn("_x", mark).select("_row.*", *[F.col(f"_x.{c}").alias(c) for c in payload])
+
+
 def interval_join(news: DataFrame, dates: DataFrame, lookback_hours: int, min_lag_hours: int) -> DataFrame:
     """Headlines of a ticker in [date - lookback, date - min lag], joined on day buckets.
 

@@ -60,9 +60,7 @@ def join_best_listing(spark: SparkSession, d: str) -> DataFrame:
     sql("SELECT news_id, session, round(epoch(open_ts - published_at) / 3600.0, 6) AS lag_hours FROM news ASOF LEFT JOIN sessions ON published_at + INTERVAL 24 HOUR <= open_ts", NEWS_SQL, SESSIONS_SQL),
 )
 def join_asof_session(spark: SparkSession, d: str) -> DataFrame:
-    # sessions have no key: a constant one, over one row a headline and a day
-    left, right = news(spark, d).withColumn("k", F.lit(0)), sessions(spark, d).withColumn("k", F.lit(0))
-    found = panels.forward_asof(left, F.col("published_at") + F.expr("INTERVAL 24 HOURS"), right, "open_ts", ["session", "open_ts"], ["k"])
+    found = panels.calendar_asof(news(spark, d), F.col("published_at") + F.expr("INTERVAL 24 HOURS"), sessions(spark, d), "open_ts", ["session", "open_ts"])
     return found.select("news_id", "session", F.round((F.unix_micros("open_ts") - F.unix_micros("published_at")) / 3.6e9, 6).alias("lag_hours"))
 
 
@@ -86,8 +84,7 @@ def join_asof_strict(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def join_news_alignment(spark: SparkSession, d: str) -> DataFrame:
-    left, right = news(spark, d).withColumn("k", F.lit(0)), sessions(spark, d).withColumn("k", F.lit(0))
-    found = panels.forward_asof(left, F.col("published_at") + F.expr("INTERVAL 24 HOURS"), right, "open_ts", ["session", "open_ts"], ["k"])
+    found = panels.calendar_asof(news(spark, d), F.col("published_at") + F.expr("INTERVAL 24 HOURS"), sessions(spark, d), "open_ts", ["session", "open_ts"])
     found = found.withColumn("lag_hours", (F.unix_micros("open_ts") - F.unix_micros("published_at")) / 3.6e9).where(F.col("lag_hours").between(24 - 1e-9, 72))
     rk = F.row_number().over(Window.partitionBy("ticker", "session").orderBy("lag_hours", "news_id")) - 1
     return found.withColumn("rk", rk).where("rk < 8").select("news_id", "ticker", "session", "rk")

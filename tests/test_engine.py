@@ -74,6 +74,9 @@ def test_as_of_takes_equal_times_unless_strict(spark):
     loose = {r.i: r.name for r in panels.forward_asof(left, F.col("t"), right, "at", ["name"], ["k"]).collect()}
     strict = {r.i: r.name for r in panels.forward_asof(left, F.col("t"), right, "at", ["name"], ["k"], strict=True).collect()}
     assert loose == {1: "a", 2: "b", 3: None} and strict == {1: "b", 2: "b", 3: None}
+    early = left.unionByName(spark.createDataFrame([(4, "2019-05-05 00:00:00")], "i int, t string").select("i", F.to_timestamp("t").alias("t"), F.lit(0).alias("k")))
+    by_day = {r.i: r.name for r in panels.calendar_asof(early, F.col("t"), right.drop("k"), "at", ["name"]).collect()}
+    assert by_day == {1: "a", 2: "b", 3: None, 4: "a"}
 
 
 def test_barriers(spark):
@@ -125,6 +128,14 @@ def test_near_fingerprints_are_complete(spark):
     assert found == {(i, j) for i in range(6) for j in range(i + 1, 6) if bin(prints[i] ^ prints[j]).count("1") <= 3}
 
 
+def test_simhash_votes(spark):
+    words = ["a", "b", "b", "c"]
+    votes = [sum(1 if text.fnv1a(w) >> i & 1 else -1 for w in words) for i in range(64)]
+    value = sum(1 << i for i in range(64) if votes[i] > 0)
+    found = spark.createDataFrame([(words,), ([],)], "t array<string>").select(text.simhash("t").alias("p")).collect()
+    assert found[0].p % 2**64 == value and found[1].p == 0
+
+
 def test_candles_open_at_the_close_before(spark):
     df = spark.createDataFrame([("x", 1, 10.0, 12.0, 9.0, 11.0), ("x", 2, 13.0, 14.0, 12.0, 13.0)], "ticker string, time int, open double, high double, low double, close double")
     second = candles.carried_open(df).where("time = 2").first()
