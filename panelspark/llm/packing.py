@@ -2,6 +2,8 @@
 
 A piece goes where the sum, over all gaps, of the squared number of open
 sequences with that gap becomes smallest; a full sequence no longer counts.  The
+rule runs over three orders of the pieces, in one of them without opening a
+sequence while another has room, and the packing of fewest sequences is taken.  The
 rule only looks at lengths, of which there are at most ``capacity``, so the plan
 is made from the histogram of lengths.  Beyond ``base_items`` pieces, k pieces of
 one length take each step together, each in one of k sequences alike; what k
@@ -28,13 +30,16 @@ from .token_store import encoded
 BASE_ITEMS = 1 << 17
 
 
-def place_all(items: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum-of-squares packing of the items in their order: sequence and offset of each, and the number of sequences."""
+def place_all(items: np.ndarray, capacity: int, sparing: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum-of-squares packing of the items in their order: sequence and offset of each, and the number of sequences.
+
+    sparing: a new sequence is a choice only where no open one has room.
+    """
     cost = np.zeros(capacity + 1, dtype=np.int64)  # 2 * open sequences with each gap; 0 for a closed one and for none
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     blocked = np.int64(1) << 40
     barred = np.full(capacity + 1, blocked)  # blocked where no sequence has that gap; a new one is always to be had
-    barred[capacity] = 0
+    barred[capacity] = blocked // 2 if sparing else 0
     where, offset, n = np.empty(len(items), np.int64), np.empty(len(items), np.int64), 0
     for i, s in enumerate(items.tolist()):
         change = cost[: capacity - s + 1] - cost[s:]
@@ -59,12 +64,12 @@ def place_all(items: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def place_best(items: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The rule over three orders of the items (longest first; over half first, the rest mixed; all mixed); the one with fewest sequences."""
+    """The rule over three orders of the items: longest first, sparing; over half first, the rest mixed; all mixed.  The one with fewest sequences."""
     long_first = np.sort(items)[::-1]
     mixed = np.random.Generator(np.random.PCG64(len(items))).permutation(items)
     big = long_first > capacity // 2
     orders = (long_first, np.concatenate([long_first[big], mixed[mixed <= capacity // 2]]), mixed)
-    tried = [(x, *place_all(x, capacity)) for x in orders]
+    tried = [(x, *place_all(x, capacity, sparing=i == 0)) for i, x in enumerate(orders)]
     return min(tried, key=lambda t: t[3])
 
 
