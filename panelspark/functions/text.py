@@ -48,7 +48,11 @@ def mark_links(x: Column) -> Column:
 
 
 def mark_entities(x: Column, entities: dict[str, str] = ENTITIES) -> Column:
-    x = F.regexp_replace(x, r"\$([A-Z]{1,5})\b", "<TICKER_$1>")
+    return mark_names(F.regexp_replace(x, r"\$([A-Z]{1,5})\b", "<TICKER_$1>"), entities)
+
+
+def mark_names(x: Column, entities: dict[str, str]) -> Column:
+    """Whole names in any case become their tickers, the longest first."""
     for name in sorted(entities, key=len, reverse=True):
         x = F.regexp_replace(x, rf"(?i)\b{name}\b", f"<TICKER_{entities[name]}>")
     return x
