@@ -11,15 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names and the tickers they stand for.
-ENTITIES = {"apple": "AAPL", "alphabet": "GOOGL", "google": "GOOGL", "microsoft": "MSFT", "amazon": "AMZN", "tesla": "TSLA", "nvidia": "NVDA", "meta": "META", "jpmorgan": "JPM"}
+#: Company names and the tickers they stand for.
+ENTITIES = {
+    "apple inc": "AAPL", "apple": "AAPL", "microsoft": "MSFT", "microsoft corp": "MSFT", "alphabet": "GOOGL", "google": "GOOGL", "amazon": "AMZN", "amazon.com": "AMZN",
+    "meta platforms": "META", "facebook": "META", "nvidia": "NVDA", "nvidia corp": "NVDA", "tesla": "TSLA", "tesla inc": "TSLA", "jpmorgan": "JPM", "jp morgan": "JPM", "jpmorgan chase": "JPM",
+    "bank of america": "BAC", "goldman sachs": "GS", "berkshire hathaway": "BRK", "johnson & johnson": "JNJ", "johnson and johnson": "JNJ", "procter & gamble": "PG", "procter and gamble": "PG",
+    "walt disney": "DIS", "disney": "DIS", "coca-cola": "KO", "coca cola": "KO", "visa inc": "V", "mastercard": "MA", "federal reserve": "FED", "the fed": "FED",
+    "securities and exchange commission": "SEC", "s&p 500": "SPX", "s&p500": "SPX", "sp500": "SPX", "nasdaq": "NDX", "dow jones": "DJI",
+}
+#: Patterns of money and of percentages.
+MONEY = r"(?i)\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?"
+PERCENT = r"(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)"
 #: Entities of HTML.
 HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-#: Words of the lexicon.
-POSITIVE = ["gain", "rise", "beat", "growth", "profit", "strong", "up", "the", "good"]
-NEGATIVE = ["loss", "fall", "miss", "decline", "weak", "down", "risk", "of", "bad"]
-#: Words that strengthen.
-INTENSE = ["very", "sharply", "strongly", "and"]
+#: Words of the news lexicon.
+POSITIVE = [
+    "beat", "beats", "exceeded", "exceeds", "surpass", "outperform", "upgrade", "upgraded", "buy", "bullish", "growth", "profit", "revenue", "record", "high", "surge", "rally", "gain", "gains",
+    "strong", "positive", "optimistic", "recovery", "improve", "expand", "expansion", "dividend", "buyback", "acquisition", "breakthrough", "innovation", "momentum", "accelerate",
+]
+NEGATIVE = [
+    "miss", "missed", "decline", "declined", "fall", "fell", "drop", "downgrade", "downgraded", "sell", "bearish", "loss", "losses", "weak", "negative", "pessimistic", "recession", "layoff",
+    "restructuring", "warning", "risk", "concern", "debt", "default", "bankruptcy", "fraud", "investigation", "lawsuit", "crash", "plunge", "tumble", "slump", "deteriorate",
+]
+INTENSE = ["significantly", "dramatically", "sharply", "record", "unprecedented", "massive", "huge", "enormous"]
+#: Words of the baseline lexicon.
+BASE_POSITIVE = ["gain", "gains", "beat", "beats", "surge", "surged", "profit", "profits", "growth", "upgrade", "upgraded", "strong", "record", "rally", "outperform"]
+BASE_NEGATIVE = ["loss", "losses", "miss", "missed", "plunge", "plunged", "decline", "declined", "downgrade", "downgraded", "weak", "lawsuit", "probe", "fraud", "underperform"]
 
 
 def strip_html(x: Column) -> Column:
@@ -54,14 +71,13 @@ def mark_entities(x: Column, entities: dict[str, str] = ENTITIES) -> Column:
 def mark_names(x: Column, entities: dict[str, str]) -> Column:
     """Whole names in any case become their tickers, the longest first."""
     for name in sorted(entities, key=len, reverse=True):
-        x = F.regexp_replace(x, rf"(?i)\b{name}\b", f"<TICKER_{entities[name]}>")
+        x = F.regexp_replace(x, rf"(?i)\b\Q{name}\E\b", f"<TICKER_{entities[name]}>")
     return x
 
 
 def mark_numbers(x: Column) -> Column:
-    x = F.regexp_replace(x, r"\$\d[\d,]*(\.\d+)?", "<MONEY>")
-    x = F.regexp_replace(x, r"\d+(\.\d+)?%", "<PERCENT>")
-    return F.regexp_replace(x, r"\b\d{6,}\b", "<NUM>")
+    x = F.regexp_replace(F.regexp_replace(x, MONEY, " <MONEY> "), PERCENT, " <PERCENT> ")
+    return F.regexp_replace(x, r"\b\d{6,}\b", " <BIGNUM> ")
 
 
 def collapse(x: Column) -> Column:
@@ -87,10 +103,14 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(x, r"\s+"), lambda t: t != "")
 
 
-def lexicon(words: Column) -> dict[str, Column]:
-    """Score, label and confidence by counts of the lexicon's words."""
-    count = lambda names: F.size(F.filter(words, lambda t: t.isin(names)))
-    pos, neg, strong = count(POSITIVE), count(NEGATIVE), count(INTENSE)
+def counted(words: Column, names: list[str]) -> Column:
+    return F.size(F.filter(words, lambda t: t.isin(names)))
+
+
+def lexicon(x: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE, intense: list[str] = INTENSE) -> dict[str, Column]:
+    """Score, label and confidence by counts of the lexicon's words among the lower-cased, space-separated ones."""
+    words = F.split(F.lower(x), r"\s+")
+    pos, neg, strong = (counted(words, names) for names in (positive, negative, intense))
     total = pos + neg
     raw = (pos - neg) / F.nullif(total, F.lit(0)) * (1 + 0.2 * F.least(strong, F.lit(3)))
     score = F.coalesce(F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
@@ -101,6 +121,12 @@ def lexicon(words: Column) -> dict[str, Column]:
     }
 
 
+def net_tone(x: Column, positive: list[str] = BASE_POSITIVE, negative: list[str] = BASE_NEGATIVE) -> Column:
+    """(positive - negative) / words, commas and periods as spaces; 0 without words."""
+    words = F.filter(F.split(F.lower(F.translate(x, ",.", "  ")), r"\s+"), lambda t: t != "")
+    return F.coalesce((counted(words, positive) - counted(words, negative)) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
+
+
 def vocabulary(words: DataFrame, col: str, least: int, most: int) -> DataFrame:
     """(token, n, id) of the ``most`` - 4 most frequent tokens; ids from 4, ties by the token."""
     counts = words.select(F.explode(col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -10,6 +10,9 @@ from ..sources.tables import events, table
 from .catalog import query
 
 
+NAMES = "|".join(n.replace(".", r"\.") for n in text.ENTITIES)
+
+
 # X1, X8, U3
 @query(
     "txt_strip_html",
@@ -28,16 +31,15 @@ def txt_links(spark: SparkSession, d: str) -> DataFrame:
 # X3, X4, X5, X6
 @query(
     "txt_mark",
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://\S+|www\.\S+)', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\$\d[\d,]*(\.\d+)?', '<MONEY>', 'g'), '\d+(\.\d+)?%', '<PERCENT>', 'g'), '\b\d{6,}\b', '<NUM>', 'g') AS marked FROM documents""",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://\S+|www\.\S+)', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?', ' <MONEY> ', 'gi'), '(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)', ' <PERCENT> ', 'g'), '\b\d{6,}\b', ' <BIGNUM> ', 'g') AS marked FROM documents""",
 )
 def txt_mark(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.mark_numbers(text.mark_links(F.col("text"))).alias("marked"))
 
 
-@query("txt_entities", r"""SELECT doc_id, regexp_replace(text, '\$([A-Z]{1,5})\b', '<TICKER_\1>', 'g') AS marked FROM documents WHERE NOT regexp_matches(text, '(?i)\b(apple|alphabet|google|microsoft|amazon|tesla|nvidia|meta|jpmorgan)\b')""")
+@query("txt_entities", r"SELECT doc_id, regexp_replace(text, '\$([A-Z]{1,5})\b', '<TICKER_\1>', 'g') AS marked FROM documents WHERE NOT regexp_matches(text, '(?i)(" + NAMES + r")')")
 def txt_entities(spark: SparkSession, d: str) -> DataFrame:
-    names = "|".join(text.ENTITIES)
-    return table(spark, d, "documents").where(~F.col("text").rlike(rf"(?i)\b({names})\b")).select("doc_id", text.mark_entities(F.col("text")).alias("marked"))
+    return table(spark, d, "documents").where(~F.col("text").rlike(rf"(?i)({NAMES})")).select("doc_id", text.mark_entities(F.col("text")).alias("marked"))
 
 
 # The whole cleaning, with the decomposition that SQL lacks
@@ -87,29 +89,41 @@ def in_list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-# X18, X19, T22
-@query(
-    "txt_lexicon",
-    f"""SELECT conv_id, turn, row_key, round(s, 6) AS score, CASE WHEN s > 0.15 THEN 'positive' WHEN s < -0.15 THEN 'negative' ELSE 'neutral' END AS label, round(CASE WHEN p + n = 0 THEN 0.3 ELSE least(0.4 + 0.1 * (p + n), 0.85) END, 6) AS confidence
+def lexicon_sql(positive: list[str], negative: list[str], intense: list[str]) -> str:
+    return f"""SELECT conv_id, turn, md5(text) AS row_key, round(s, 6) AS score, CASE WHEN s > 0.15 THEN 'positive' WHEN s < -0.15 THEN 'negative' ELSE 'neutral' END AS label, round(CASE WHEN p + n = 0 THEN 0.3 ELSE least(0.4 + 0.1 * (p + n), 0.85) END, 6) AS confidence
 FROM (SELECT *, coalesce(greatest(least((p - n) / nullif(p + n, 0)::DOUBLE * (1 + 0.2 * least(i, 3)), 1), -1), 0) AS s FROM (
-  SELECT conv_id, turn, md5(text) AS row_key, len(list_filter(t, lambda x: x IN {in_list(text.POSITIVE)})) AS p, len(list_filter(t, lambda x: x IN {in_list(text.NEGATIVE)})) AS n, len(list_filter(t, lambda x: x IN {in_list(text.INTENSE)})) AS i FROM (SELECT *, {TOKENS} AS t FROM conversations)))""",
-)
+  SELECT *, len(list_filter(t, lambda x: x IN {in_list(positive)})) AS p, len(list_filter(t, lambda x: x IN {in_list(negative)})) AS n, len(list_filter(t, lambda x: x IN {in_list(intense)})) AS i FROM (SELECT *, regexp_split_to_array(lower(text), '\\s+') AS t FROM conversations)))"""
+
+
+#: Words of the invented texts, so that a lexicon has something to find.
+FOUND = (["the", "la", "der"], ["of", "de", "und"], ["and", "que"])
+
+
+def scored(spark: SparkSession, d: str, *lists: list[str]) -> DataFrame:
+    parts = text.lexicon(F.col("text"), *lists)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("row_key"), F.round(parts["score"], 6).alias("score"), parts["label"].alias("label"), F.round(parts["confidence"], 6).alias("confidence"))
+
+
+# X18
+@query("txt_lexicon", lexicon_sql(text.POSITIVE, text.NEGATIVE, text.INTENSE))
 def txt_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").withColumn("t", text.tokens(F.col("text")))
-    parts = text.lexicon(F.col("t"))
-    return c.select("conv_id", "turn", F.md5("text").alias("row_key"), F.round(parts["score"], 6).alias("score"), parts["label"].alias("label"), F.round(parts["confidence"], 6).alias("confidence"))
+    return scored(spark, d)
+
+
+# With a caller's own lists
+@query("txt_lexicon_own", lexicon_sql(*FOUND))
+def txt_lexicon_own(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, *FOUND)
 
 
-# A28
+# X19, A28, T22
 @query(
     "txt_sentiment_by_role",
-    f"""SELECT role, count(*) AS n, round(avg((p - n) / nullif(len(t), 0)::DOUBLE), 6) AS mean_score FROM (SELECT role, t, len(list_filter(t, lambda x: x IN {in_list(text.POSITIVE)})) AS p, len(list_filter(t, lambda x: x IN {in_list(text.NEGATIVE)})) AS n FROM (SELECT *, {TOKENS} AS t FROM conversations)) GROUP BY role""",
+    f"""SELECT role, count(*) AS n, round(avg(coalesce((p - k) / nullif(len(t), 0)::DOUBLE, 0)), 6) AS mean_score FROM (SELECT role, t, len(list_filter(t, lambda x: x IN {in_list(FOUND[0])})) AS p, len(list_filter(t, lambda x: x IN {in_list(FOUND[1])})) AS k FROM (SELECT *, list_filter(regexp_split_to_array(lower(translate(text, ',.', '  ')), '\\s+'), lambda x: x <> '') AS t FROM conversations)) GROUP BY role""",
 )
 def txt_sentiment_by_role(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").withColumn("t", text.tokens(F.col("text")))
-    count = lambda names: F.size(F.filter("t", lambda w: w.isin(names)))
-    score = (count(text.POSITIVE) - count(text.NEGATIVE)) / F.nullif(F.size("t"), F.lit(0))
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("mean_score"))
+    tone = text.net_tone(F.col("text"), FOUND[0], FOUND[1])
+    return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(tone), 6).alias("mean_score"))
 
 
 # X14, X15, X16, X17, M17

@@ -115,8 +115,8 @@ def test_kelly_and_softmax(spark):
 
 
 def test_clean_text(spark):
-    df = spark.createDataFrame([("<script>x<y</script><b>Apple</b> &amp; $TSLA rose 5% to $1,200.50, see www.a.com or me@b.org 1234567",)], "t string")
-    assert df.select(text.clean(F.col("t"))).first()[0] == "<TICKER_AAPL> & <TICKER_TSLA> rose <PERCENT> to <MONEY>, see <URL> or <EMAIL> <NUM>"
+    df = spark.createDataFrame([("<script>x<y</script><b>Apple</b> &amp; $TSLA rose 5% to $1.2 billion, see www.a.com or me@b.org 1234567",)], "t string")
+    assert df.select(text.clean(F.col("t"))).first()[0] == "<TICKER_AAPL> & <TICKER_TSLA> rose <PERCENT> to <MONEY> , see <URL> or <EMAIL> <BIGNUM>"
 
 
 def test_near_fingerprints_are_complete(spark):
