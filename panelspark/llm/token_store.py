@@ -183,10 +183,10 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = True) -> DataF
 
 
 def fetch(spark: SparkSession, folder: str, doc_id) -> list[list[int]]:
-    """Ids of every document with this id; opens only its own frames of the blocks that can hold it."""
+    """Ids of every document with this id; opens only its own frames of the blocks that can hold it (null ids come first, so a block may begin with one)."""
     _, width, raw = load_dictionary(spark, folder)
     open_ = zstandard.ZstdDecompressor(dict_data=dictionary_from(raw))
-    blocks = spark.read.parquet(f"{folder}/blocks").where((F.col("first_id") <= F.lit(doc_id)) & (F.col("last_id") >= F.lit(doc_id)) & F.array_contains("ids", F.lit(doc_id)))
+    blocks = spark.read.parquet(f"{folder}/blocks").where((F.col("first_id").isNull() | (F.col("first_id") <= F.lit(doc_id))) & (F.col("last_id") >= F.lit(doc_id)) & F.array_contains("ids", F.lit(doc_id)))
     places = blocks.orderBy("shard", "block").select(F.posexplode("ids").alias("i", "id"), "ends", "payload").where(F.col("id") == F.lit(doc_id))
     begin = F.when(F.col("i") > 0, F.element_at("ends", F.col("i"))).otherwise(F.lit(0))
     frames = places.select(F.substring("payload", begin.cast("int") + 1, (F.element_at("ends", F.col("i") + 1) - begin).cast("int")))
