@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+ROWS_A_TASK = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long); root is the smallest node that links reach.
@@ -17,12 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     million neighbours is no task of its own.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
+    # few links need few tasks, whatever the session's number of partitions
+    tasks = max(4, both.count() // ROWS_A_TASK)
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root").coalesce(tasks), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         onward = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        step = written(lower.join(onward, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        step = written(lower.join(onward, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")).coalesce(tasks), "labels")
         labels = step.select("node", "root")
         if step.where("old <> root").limit(1).count() == 0:
             return labels

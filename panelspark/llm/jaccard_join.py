@@ -168,7 +168,7 @@ def shared_bitmaps(docs: DataFrame, text_col: str, total: int) -> tuple[np.ndarr
 
     sent = docs.select(text_col).mapInArrow(send, "part int, rest binary, n binary")
     several, heavy = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 6), np.uint8)
-    for row in sent.groupBy("part").applyInArrow(merge, "part int, several binary, heavy binary").toLocalIterator():
+    for row in sent.groupBy("part").applyInArrow(merge, "part int, several binary, heavy binary").collect():  # 36 MB at most
         for field, raw in ((several, row["several"]), (heavy, row["heavy"])):
             field[row["part"] * len(raw) : (row["part"] + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
     return several, heavy
@@ -244,13 +244,15 @@ def verify(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int) -> Da
     wanted = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
     # a bitmap of the wanted names, of bounded size, spares the others the shuffle; the joins are exact
     bits = 22
-    field = np.zeros(1 << bits, dtype=bool)
-    for row in wanted.select(F.shiftright("a", 63 - bits).cast("int").alias("i")).distinct().toLocalIterator():
-        field[row["i"]] = True
-    mask = spark.sparkContext.broadcast(np.packbits(field))
+    place = F.shiftright("a", 63 - bits)
+    words = wanted.groupBy(F.shiftright(place, 6).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(a, {63 - bits}) & 63 AS int))")).alias("w"))
+    field = np.zeros(1 << (bits - 6), dtype=np.int64)
+    for row in words.collect():  # 65536 rows at most
+        field[row["i"]] = row["w"]
+    mask = spark.sparkContext.broadcast(field)
 
     def run(batches):
-        some, sent = np.unpackbits(mask.value).astype(bool), set()
+        some, sent = np.unpackbits(mask.value.view(np.uint8), bitorder="little").astype(bool), set()
         for batch in batches:
             for _, counts, shingles in text_sets(batch.column(0)):
                 names = set_names(shingles, counts)
@@ -280,9 +282,8 @@ def verify(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int) -> Da
     return both.mapInArrow(check, "a long, b long")
 
 
-def link_components(docs: DataFrame, text_col: str, sizes: dict[int, int], percent: int) -> DataFrame:
-    """(node, root) over the names of all sets that link with another one."""
-    total = sum(s * n for s, n in sizes.items())
+def link_components(docs: DataFrame, text_col: str, sizes: dict[int, int], total: int, percent: int) -> DataFrame:
+    """(node, root) over the names of all sets that link with another one.  sizes: number of small sets; total: shingles of all sets."""
     boundary = small_boundary(sizes, percent)
     several, heavy = shared_bitmaps(docs, text_col, total)
     least = need(boundary + 1, boundary + 1, percent) if boundary else 1
@@ -318,9 +319,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = written(document_sets(docs, id_col, text_col), "sets-of-documents")
     full = names.where("n_shingles > 0")
     classes = written(full.groupBy("name").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("class_size"), F.first("n_shingles").alias("n")), "classes")
-    sizes = {r["n"]: r["k"] for r in classes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).toLocalIterator()}
-    if sizes:
-        roots = link_components(docs, text_col, sizes, percent)
+    rows = classes.groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).collect()
+    if rows:
+        roots = link_components(docs, text_col, {r["n"]: r["k"] for r in rows if r["n"] <= LARGEST_BOUNDARY}, sum(r["total"] for r in rows), percent)
         rooted = classes.join(roots.withColumnRenamed("node", "name"), "name")
         lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
         classes = classes.join(rooted.select("name", "root").join(lowest, "root").select("name", "lowest"), "name", "left").select("name", F.coalesce("lowest", "low").alias("component_id"), "class_size")
