@@ -145,7 +145,7 @@ def shared_bitmaps(docs: DataFrame, text_col: str, total: int) -> tuple[np.ndarr
                 keys.append(unique)
                 counts.append(n)
                 size += len(unique)
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield flush()
                     keys, counts, size = [], [], 0
         if size:
@@ -259,7 +259,7 @@ def verify(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int) -> Da
                 take = [i for i in np.flatnonzero(some[names >> (63 - bits)] & (counts > 0)).tolist() if names[i] not in sent]
                 _, once = np.unique(names[take], return_index=True)
                 take = np.array(take, np.int64)[np.sort(once)]
-                if len(sent) < 1 << 20:
+                if len(sent) < 1 << 17:
                     sent.update(names[take].tolist())
                 head = (np.cumsum(counts) - counts)[take]
                 yield pa.RecordBatch.from_arrays([pa.array(names[take]), list_array(shingles[ragged(head, counts[take])].view(np.int64), counts[take], pa.int64())], names=["name", "shingles"])
@@ -339,7 +339,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id count as one document, of which the row with the smallest text stays.
     """
     found = written(jaccard_join(docs, id_col, text_col, percent), "near-copies").where(F.col(id_col).isNotNull())
-    gone = found.groupBy(id_col).agg(F.min("component_id").alias("low")).where(F.col("low") < F.col(id_col)).select(id_col)
+    # as a table its size is known: the few ids of a small one are sent to the texts, not the texts to them
+    gone = written(found.groupBy(id_col).agg(F.min("component_id").alias("low")).where(F.col("low") < F.col(id_col)).select(id_col), "gone")
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
     if repeated.limit(1).count() == 0:
