@@ -17,7 +17,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 2**64)
 STEP = U64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, np.ndarray] = {}
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
