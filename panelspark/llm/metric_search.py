@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGE, FANOUT = 64, 16
-GROUP_ROWS, BLOCK_QUERIES = 4096, 2048
+PAGE, FANOUT = 512, 16
+GROUP_ROWS, BLOCK_QUERIES = 16384, 2048
 LARGEST = float(1 << 24)
 SLACK = 1e-6
 
