@@ -124,7 +124,8 @@ def duplicate_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int
     table = written(line_table(docs, id_col, text_col), "lines")
     held = table.select("key", "id", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(lines, words), x -> x.words > 0), x -> x.lines)"))).alias("line"))
     first = held.groupBy("line").agg(F.min(F.struct("id", "key")).alias("first"), F.max(F.struct("id", "key")).alias("last"))
-    shared = first.where(F.col("first") != F.col("last")).select("line", F.col("first.key").alias("earlier"))
+    # as a table: the join below then has an exchange of its own, in which Spark splits a hot line
+    shared = written(first.where(F.col("first") != F.col("last")).select("line", F.col("first.key").alias("earlier")), "first-holders")
     pairs = held.join(shared, "line").where(F.col("key") != F.col("earlier")).select("key", "earlier").distinct()
     one = table.select("key", "lines", "words").dropDuplicates(["key"])
     sides = pairs.join(one.select(F.col("key").alias("earlier"), F.col("lines").alias("before")), "earlier").join(one, "key")
