@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -212,6 +213,52 @@ def test_line_dedup(docs, nothing, texts):
     assert left[103][0].text == original[103]
 
 
+def passages_gone(rows: list[tuple], min_words: int) -> dict:
+    """Lines of each document that lie in an equal run with any earlier document, by comparing all pairs of lines."""
+    lines = {i: t.split("\n") for i, t in rows}
+    out = {i: set() for i, _ in rows}
+    for d in lines:
+        mine = lines[d]
+        enough = min(min_words, sum(len(x.split()) for x in mine))
+        for e in lines:
+            if e >= d:
+                continue
+            for i in range(len(mine)):
+                for j in range(len(lines[e])):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(lines[e]) and mine[i + n] == lines[e][j + n]:
+                        n += 1
+                    if n and sum(len(x.split()) for x in mine[i : i + n]) >= enough > 0:
+                        out[d] |= set(range(i, i + n))
+    return out
+
+
+def test_line_dedup_moved_and_repeated(spark):
+    p = [" ".join(f"p{i}w{j}" for j in range(12)) for i in range(10)]
+    short = [f"s{i} a b c d" for i in range(3)]
+    cases = [
+        (1, [p[0], "x one", p[0]]), (2, ["y two", p[0], "z three"]), (3, ["q four", p[0], "r", p[0]]),  # held twice
+        (10, [p[1], "x five", p[2]]), (11, [p[2], "y six", p[1]]),  # in another order
+        (20, p[3:]), (21, [x for i, y in enumerate(p[3:][::-1]) for x in (y, f"between {i}")]),
+        (30, [short[0], "t seven"]), (31, [short[1], "t eight"]), (32, [short[2], "t nine"]), (33, ["u", *short, "v"]), (34, ["w ten", *short, "w eleven"]),  # a run whose lines have other first holders
+        (40, ["k l", "m", "k l", "n"]), (41, ["m", "k l"]), (42, ["", "k l", "", "n"]), (43, ["k l", "n"]), (44, ["n", "k l"]),  # all the words of a short text
+    ]
+    rows = [(i, "\n".join(x)) for i, x in cases]
+    rnd = random.Random(10)
+    pool = ["", "a", "b b", "c c c", "d d d d", "e e e e e", "f f f f f f", "g g g g g g g g g g", "h h h h h h h h h h h"]
+    rows += [(100 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 9)))) for i in range(250)]
+    found = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    gone = passages_gone(rows, line_dedup.MIN_WORDS)
+    for i, text in rows:
+        lines = text.split("\n")
+        left = [x for n, x in enumerate(lines) if n not in gone[i]]
+        if len(text.split()) < line_dedup.MIN_WORDS:  # lines without words stand beside all its words as in one holder
+            assert found[i].text.split() == " ".join(left).split()
+        else:
+            assert found[i].text == "\n".join(left) and found[i].lines_deleted == len(gone[i])
+    assert found[2].text == "y two\nz three" and found[11].text == "y six" and found[34].text == "w ten\nw eleven"
+
+
 def test_pipeline_stages(spark, texts, tmp_path):
     import corpus_pipeline
 
