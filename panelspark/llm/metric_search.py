@@ -72,10 +72,11 @@ def build(x: np.ndarray, rows: np.ndarray, center: np.ndarray) -> Node:
 
 
 def search(root: Node, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id), ids other than ``own``; ties to the smaller id."""
+    """The k best (score, id), each id other than ``own`` once with its best score; ties to the smaller id."""
     square = float(q @ q)
     norm = np.sqrt(square)
     top: list[tuple[float, int]] = []  # heap of (score, -id), the worst first
+    held: dict[int, float] = {}  # id -> its score in the heap
     floor = -np.inf
     at = float(np.sqrt(max(0.0, float(((q - root.center) ** 2).sum()))))
     queue = [(-np.inf, 0, at, root)]
@@ -97,10 +98,18 @@ def search(root: Node, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> list
             for score, i in zip(product[good].tolist(), ids[node.rows[try_[good]]].tolist(), strict=True):
                 if i == own:
                     continue
-                if len(top) < k:
+                if i in held:
+                    if score <= held[i]:
+                        continue
+                    top[top.index((held[i], -i))] = (score, -i)
+                    heapq.heapify(top)
+                elif len(top) < k:
                     heapq.heappush(top, (score, -i))
                 elif (score, -i) > top[0]:
-                    heapq.heapreplace(top, (score, -i))
+                    del held[-heapq.heapreplace(top, (score, -i))[1]]
+                else:
+                    continue
+                held[i] = score
             if len(top) == k:
                 floor = top[0][0]
             continue
@@ -117,7 +126,7 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
     """(id, size, x) of the rows that take part; rows alike in both id and vector once."""
     sound = F.col("id").isNotNull() & F.col("raw").isNotNull() & (F.size("raw") > 0) & F.forall("raw", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(LARGEST / scale)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw")).where(sound)
-    return rows.select("id", F.size("raw").alias("size"), F.transform("raw", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("int")).alias("x"))
+    return rows.select("id", F.size("raw").alias("size"), F.transform("raw", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("int")).alias("x")).dropDuplicates(["id", "x"])
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -41,3 +41,27 @@ def test_tree_passes_over_entries():
         score = x @ x[q]
         order = sorted(((-s, i) for i, s in enumerate(score.tolist()) if i != q))[:5]
         assert metric_search.search(tree, ids, x[q], q, 5) == [(int(-s), i) for s, i in order]
+
+
+def test_copies_of_one_id_count_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) / 2).astype(np.float32).tolist()) for i in range(400)]
+    nearest = [8 * x for x in rows[50][1]]
+    rows += [(1001, nearest)] * 12  # more than k copies of the nearest row: one group by their hash
+    rows += [(1002, [x + n / 64 for x in nearest]) for n in range(120)]  # several near vectors of one id in each group
+    rows += [(100, rows[100][1])] * 7  # copies of a query
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert metric_search.scaled(table, "vec_id", "embedding", 256).where("id = 1001").count() == 1
+    found = [tuple(r) for r in metric_search.exact_top_k(table, k=5, every=50).collect()]
+    assert set(found) == brute(rows, 5, 50) and len(found) == 40
+
+
+def test_search_keeps_an_id_once():
+    rng = np.random.default_rng(9)
+    x = np.floor(256 * rng.normal(size=(3000, 4)))
+    ids = np.arange(3000) % 40
+    tree = metric_search.build(x, np.arange(3000), x[0])
+    for q in range(0, 3000, 100):
+        score = x @ x[q]
+        order = sorted((-int(score[ids == i].max()), i) for i in range(40) if i != ids[q])[:5]
+        assert metric_search.search(tree, ids, x[q], int(ids[q]), 5) == [(-s, i) for s, i in order]
