@@ -1,8 +1,11 @@
 """Array kernels on the UTF-8 buffers of Arrow string columns.
 
 Python never sees a text as a str here: words, lines and shingles are found
-and hashed by NumPy on the bytes, a few megabytes at a time.  Hashes are 64-bit
-polynomials over random byte values with a final mixing step.
+and hashed by NumPy on the bytes, a few megabytes at a time.  A span's hash is a
+sum of non-linear functions of its pieces of eight bytes and their places, so
+texts of a pattern (Thue-Morse words, say) do not meet as they do in polynomials
+modulo a power of two.  Where an answer must not rest on hashes, as in the word
+caches, bytes are compared (``Packed``).
 """
 
 from __future__ import annotations
@@ -11,26 +14,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240611))
-BYTE_VALUES = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
 STEP = U64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, np.ndarray] = {}
 CHUNK_BYTES = 1 << 20
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown on demand, kept per process."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
+#: The first n bytes of a piece of eight, n from 0 to 8.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,12 +84,24 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def pieces(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The up to eight bytes from each ``at`` on as one number; bytes past ``size`` count as 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    return every[at] & _HEADS[np.clip(size, 0, 8)]
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each data[start:end]."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=total[1:])
-    raw = (total[ends] - total[starts]) * powers(BASE_INV, len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * STEP)
+    size = ends - starts
+    number = (size + 7) >> 3
+    place = ragged(np.zeros(len(starts), np.int64), number)
+    at = np.repeat(starts, number) + 8 * place
+    left = np.repeat(size, number) - 8 * place
+    total = np.zeros(len(at) + 1, dtype=np.uint64)
+    np.cumsum(mix(mix(pieces(data, at, left) + STEP) ^ (place.astype(np.uint64) * U64(BASE))), out=total[1:])
+    high = np.cumsum(number)
+    return mix((total[high] - total[high - number]) + mix(size.astype(np.uint64) + U64(BASE)))
 
 
 def owners(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -173,24 +173,51 @@ class HashMap:
         return out
 
 
-class LossyCache:
-    """Direct-mapped cache from a 64-bit hash to a short row of integers; bounded, newer wins."""
+class Packed:
+    """Words of a chunk with their bytes in ``PIECES`` numbers each; longer words are ``wide``."""
+
+    PIECES = 4
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.size = ends - starts
+        self.wide = self.size > 8 * self.PIECES
+        self.bytes = np.stack([pieces(data, np.minimum(starts + 8 * k, len(data)), self.size - 8 * k) for k in range(self.PIECES)], axis=1)
+        self.keys = hash_spans(data, starts, ends)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a and b have the same bytes; False where they are too long to tell."""
+        return (self.size[a] == self.size[b]) & ~self.wide[a] & (self.bytes[a] == self.bytes[b]).all(axis=1)
+
+    def distinct(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that stand for all of ``some``, and the place of each one's stand-in among them."""
+        _, first, back = np.unique(self.keys[some], return_index=True, return_inverse=True)
+        other = np.flatnonzero(~self.same(some, some[first[back]]))
+        other = other[some[first[back[other]]] != some[other]]
+        back[other] = len(first) + np.arange(len(other))
+        return np.concatenate([some[first], some[other]]), back
+
+
+class WordCache:
+    """Direct-mapped cache from a word's bytes to a short row of integers; bounded, newer wins."""
 
     def __init__(self, bits: int, width: int, dtype=np.int32):
         self.shift, self.width = U64(64 - bits), width
-        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.size = np.full(1 << bits, -1, dtype=np.int16)
+        self.bytes = np.zeros((1 << bits, Packed.PIECES), dtype=np.uint64)
         self.counts = np.zeros(1 << bits, dtype=np.int32)
         self.rows = np.zeros((1 << bits, width), dtype=dtype) if width else None
 
-    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = ((keys * U64(BASE)) >> self.shift).astype(np.int64)
-        return slot, (self.keys[slot] == keys) & (self.counts[slot] > 0)
+    def slots(self, words: Packed) -> tuple[np.ndarray, np.ndarray]:
+        slot = (words.keys >> self.shift).astype(np.int64)
+        return slot, (self.size[slot] == words.size) & (self.bytes[slot] == words.bytes).all(axis=1) & ~words.wide
 
-    def put(self, keys: np.ndarray, counts: np.ndarray, rows: np.ndarray | None) -> None:
-        slot = ((keys * U64(BASE)) >> self.shift).astype(np.int64)
-        self.keys[slot], self.counts[slot] = keys, counts  # of several for one slot the last stays, in all three arrays
+    def put(self, words: Packed, some: np.ndarray, counts: np.ndarray, rows: np.ndarray | None) -> None:
+        some_ = ~words.wide[some]
+        some, counts = some[some_], counts[some_]
+        slot = (words.keys[some] >> self.shift).astype(np.int64)
+        self.size[slot], self.bytes[slot], self.counts[slot] = words.size[some], words.bytes[some], counts  # of several for one slot the last stays, in all arrays
         if rows is not None:
-            self.rows[slot] = rows
+            self.rows[slot] = rows[some_]
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

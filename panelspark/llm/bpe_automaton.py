@@ -10,10 +10,13 @@ An arc w leaves the state of u in the finished automaton exactly if no version
 took away the arcs of which w and u are made; that is read off by walking both
 labels back through the versions in which they appeared.
 
-Every state accepts and each text has one path, so each prefix of a word ends in
-one state.  Encoding steps through a word's symbols with the trie of labels and
-keeps, for every position, the one label whose arc leads there; reading those
-back gives the ids.  Decoding emits the labels of the arcs.
+The finished automaton has hundreds of millions of arcs; its transition table is
+compiled where texts need it: ``table[u, w]`` says whether an arc w leaves the
+state of u, and a row once compiled is only looked up.  Every state accepts and
+each text has one path, so each prefix of a word ends in one state.  Encoding
+steps through a word by the table: from each place it takes the longest label
+there that the table allows, and a place from which no path reaches the end is
+closed, so none is entered twice and the time is linear in the word.  Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -28,114 +31,92 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import HashMap, LossyCache, U64, hash_spans, ragged
-from .pretokens import split_words
-from .rank_merge import BpeTables, load_tables, pair_keys
+from .arrays import Packed, WordCache, ragged
+from .pretokens import safe_cuts, split_words
+from .rank_merge import BpeTables, load_tables
 
-NEVER = np.int64(1) << 40
+NEVER = 1 << 40
+#: Stands for the end of a word after its letters, which are bytes as code points 0 to 255.
+WORD_END = chr(256)
+HEAD = 4
+#: Arcs that a process keeps compiled; beyond it the table begins anew.
+TABLE_ARCS = 1 << 21
+#: Texts are encoded in groups of about so many letters, and a longer text is cut where words end.
+GROUP_LETTERS = 1 << 21
 
 
 class Automaton:
-    """Versioned automaton of one merge list, with the trie that finds labels in symbols."""
+    """Versioned automaton of one merge list, its table of arcs, and its labels by their letters."""
 
     def __init__(self, tables: BpeTables):
-        self.tables = tables
         n = max(len(tables.labels), int(tables.made.max()) + 1)
-        self.born = np.zeros(n, dtype=np.int64)
-        self.left = np.arange(n)
-        self.right = np.arange(n)
-        steps = np.arange(1, len(tables.made) + 1)
-        # the gadgets, in order: a label is made once, so the assignments are the construction itself
-        self.born[tables.made] = steps
-        self.left[tables.made] = tables.left
-        self.right[tables.made] = tables.right
-        self.lost = HashMap(pair_keys(tables.left, tables.right), steps)
-        self._build_trie()
-
-    def _build_trie(self) -> None:
-        base = {int(s): (int(s),) for s in np.concatenate([self.tables.first, self.tables.last])}
-        spelled = dict(base)
-        for u, v, w in zip(self.tables.left.tolist(), self.tables.right.tolist(), self.tables.made.tolist(), strict=True):
+        self.born, self.left, self.right = [0] * n, list(range(n)), list(range(n))
+        self.lost: dict[tuple[int, int], int] = {}
+        self.table: dict[int, bool] = {}  # u << 32 | w
+        spelled = {int(s): chr(i) for i, s in enumerate(tables.first)} | {int(s): chr(i) + WORD_END for i, s in enumerate(tables.last)}
+        for version, (u, v, w) in enumerate(zip(tables.left.tolist(), tables.right.tolist(), tables.made.tolist(), strict=True), 1):
+            self.lost[u, v] = version
+            self.born[w], self.left[w], self.right[w] = version, u, v
             spelled[w] = spelled[u] + spelled[v]
-        self.size = np.zeros(len(self.born), dtype=np.int64)
-        arcs: dict[tuple[int, int], int] = {}
-        label = [-1]
-        for w, symbols in spelled.items():
-            self.size[w] = len(symbols)
-            node = 0
-            for s in symbols:
-                nxt = arcs.get((node, s))
-                if nxt is None:
-                    nxt = arcs[node, s] = len(label)
-                    label.append(-1)
-                node = nxt
-            label[node] = w
-        keys = np.array([(node << 20) | s for node, s in arcs], dtype=np.uint64)
-        self.trie = HashMap(keys, np.array(list(arcs.values())))
-        self.label = np.array(label, dtype=np.int64)
-
-    def has_arc(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Whether the state after label u has an arc w. u < 0: the first state."""
-        ok = np.ones(len(u), dtype=bool)
-        at = np.flatnonzero(u >= 0)
-        u, w = u[at], w[at]
-        version = np.full(len(at), NEVER)
-        while len(at):
-            taken = self.lost.get(pair_keys(u, w))
-            gone = (taken >= 0) & (taken < version)
-            ok[at[gone]] = False
-            bu, bw = self.born[u], self.born[w]
-            back_u = bu > bw
+        self.label = {letters: w for w, letters in spelled.items()}
+        self.longest: dict[str, int] = {}  # letters of the longest label by its first HEAD letters
+        for letters in self.label:
+            head = letters[:HEAD]
+            self.longest[head] = max(len(letters), self.longest.get(head, 0))
+
+    def has_arc(self, u: int, w: int) -> bool:
+        """Whether the state after label u has an arc w, from the versions."""
+        version = NEVER
+        born, lost = self.born, self.lost
+        while True:
+            if lost.get((u, w), NEVER) < version:
+                return False
+            bu, bw = born[u], born[w]
+            if not (bu or bw):
+                return True
             # within one version the leftmost place merges first, so the arc on the right counts one version longer
-            version = np.where(back_u, bu, bw + 1)
-            u = np.where(back_u, self.right[u], u)
-            w = np.where(back_u, w, self.left[w])
-            go = ~gone & (np.maximum(bu, bw) > 0)
-            at, u, w, version = at[go], u[go], w[go], version[go]
-        return ok
-
-    def encode(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Labels of the path of every word; words as one ragged array of base symbols."""
-        n = len(counts)
-        head = np.cumsum(counts) - counts
-        # entering[head + i]: the label that leads to the state after i + 1 symbols
-        entering = np.full(len(symbols), -1, dtype=np.int64)
-        longest = int(counts.max()) if n else 0
-        by_size = np.argsort(-counts, kind="stable")
-        sizes = counts[by_size]
-        for j in range(longest):
-            word = by_size[: np.searchsorted(-sizes, -j, side="left")]  # words of more than j symbols
-            start = head[word] + j
-            before = entering[start - 1] if j else np.full(len(word), -1)
-            end = head[word] + counts[word]
-            node, at = np.zeros(len(word), dtype=np.int64), start
-            while len(at):
-                node = self.trie.get((node.astype(np.uint64) << U64(20)) | symbols[at].astype(np.uint64))
-                go = node >= 0
-                node, at, before, end = node[go], at[go], before[go], end[go]
-                w = self.label[node]
-                try_ = np.flatnonzero((w >= 0) & (entering[at] < 0))
-                if len(try_):
-                    good = try_[self.has_arc(before[try_], w[try_])]
-                    entering[at[good]] = w[good]
-                at = at + 1
-                go = at < end
-                node, at, before, end = node[go], at[go], before[go], end[go]
-        made = np.zeros(n, dtype=np.int64)
-        walk, pos = np.arange(n), head + counts - 1
-        trail = []
-        while len(walk):
-            w = entering[pos]
-            trail.append((walk, w))
-            made[walk] += 1
-            pos = pos - self.size[w]
-            go = pos >= head[walk]
-            walk, pos = walk[go], pos[go]
-        out = np.empty(int(made.sum()), dtype=np.int64)
-        tail = np.cumsum(made) - 1
-        for step, (walk, w) in enumerate(trail):
-            out[tail[walk] - step] = w
-        return out, made
+            if bu > bw:
+                version, u = bu, self.right[u]
+            else:
+                version, w = bw + 1, self.left[w]
+
+    def arc(self, u: int, w: int) -> bool:
+        """The entry of u and w in the transition table, compiled at its first use."""
+        known = self.table.get(u << 32 | w)
+        if known is None:
+            if len(self.table) >= TABLE_ARCS:
+                self.table.clear()
+            known = self.table[u << 32 | w] = self.has_arc(u, w)
+        return known
+
+    def encode(self, word: str) -> list[int]:
+        """Labels of the one path over a word's letters and its end."""
+        n = len(word)
+        label, table, longest = self.label.get, self.table.get, self.longest
+        path, at, closed = [], 0, set()
+        back: list[tuple[int, int]] = []  # places passed, and the next end to try from each
+        before, end = -1, min(n, longest.get(word[:HEAD], HEAD - 1))
+        while at < n:
+            while end > at:
+                w = label(word[at:end])
+                if w is not None and end not in closed:
+                    if before < 0:
+                        break
+                    allowed = table(before << 32 | w)
+                    if allowed or (allowed is None and self.arc(before, w)):
+                        break
+                end -= 1
+            if end > at:
+                path.append(w)
+                back.append((at, end - 1))
+                before, at = w, end
+                end = min(n, at + longest.get(word[at : at + HEAD], HEAD - 1))
+            else:  # a dead end: the place is closed
+                closed.add(at)
+                path.pop()
+                at, end = back.pop()
+                before = path[-1] if path else -1
+        return path
 
 
 @lru_cache(maxsize=2)
@@ -144,16 +125,16 @@ def load_automaton(path: str) -> Automaton:
 
 
 class WordEncoder:
-    """Encodes whole texts with a word-end BPE file; words seen lately come from a bounded cache."""
+    """Encodes whole texts with a word-end BPE file; words seen lately come from a bounded cache, by their bytes."""
 
     WIDTH = 8
 
-    def __init__(self, path: str, cache_bits: int = 20):
+    def __init__(self, path: str, cache_bits: int = 19):
         self.automaton = load_automaton(path)
-        self.tables = self.automaton.tables
+        self.tables = load_tables(path)
         if self.tables.byte_level:
             raise ValueError("the automaton encoder reads files with word ends only")
-        self.cache = LossyCache(cache_bits, self.WIDTH)
+        self.cache = WordCache(cache_bits, self.WIDTH)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.tables.specials)) + ")")
         self.labels = [x.encode() for x in self.tables.labels]
         self.decimals = [str(i).encode() for i in range(len(self.labels))]
@@ -173,33 +154,30 @@ class WordEncoder:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the count of each word."""
-        keys = hash_spans(data, starts, ends)
-        slot, hit = self.cache.slots(keys)
+        packed = Packed(data, starts, ends)
+        slot, hit = self.cache.slots(packed)
         counts = self.cache.counts[slot].astype(np.int64)
         rows = self.cache.rows[slot]
         miss = np.flatnonzero(~hit)
-        longer = {}
+        longer: dict[int, list[int]] = {}
         if len(miss):
-            _, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            some = miss[first]
-            size = ends[some] - starts[some]
-            symbols = self.tables.first[data[ragged(starts[some], size)]]
-            symbols[np.cumsum(size) - 1] = self.tables.last[data[ends[some] - 1]]
-            labels, made = self.automaton.encode(symbols, size)
-            head = np.cumsum(made) - made
+            some, back = packed.distinct(miss)
+            raw = data.tobytes().decode("latin-1")
+            labels = [self.automaton.encode(raw[a:b] + WORD_END) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+            made = np.array([len(x) for x in labels], dtype=np.int64)
             counts[miss] = made[back]
             fit = np.flatnonzero(made <= self.WIDTH)
             new_rows = np.zeros((len(some), self.WIDTH), dtype=np.int32)
-            new_rows[np.repeat(fit, made[fit]), ragged(np.zeros(len(fit), np.int64), made[fit])] = labels[ragged(head[fit], made[fit])]
+            new_rows[np.repeat(fit, made[fit]), ragged(np.zeros(len(fit), np.int64), made[fit])] = [w for b in fit.tolist() for w in labels[b]]
             rows[miss] = new_rows[back]
-            self.cache.put(keys[some[fit]], made[fit], new_rows[fit])
+            self.cache.put(packed, some[fit], made[fit], new_rows[fit])
             wide = made > self.WIDTH
             if wide.any():
-                longer = {int(m): labels[head[b] : head[b] + made[b]] for m, b in zip(miss.tolist(), back.tolist(), strict=True) if wide[b]}
+                longer = {int(m): labels[b] for m, b in zip(miss.tolist(), back.tolist(), strict=True) if wide[b]}
         if not longer:
             return rows[np.arange(self.WIDTH) < counts[:, None]], counts
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.empty(total[-1], dtype=np.int64)
+        ids = np.empty(total[-1], dtype=np.int32)
         fit = np.ones(len(counts), dtype=bool)
         fit[list(longer)] = False
         fit = np.flatnonzero(fit)
@@ -208,32 +186,60 @@ class WordEncoder:
             ids[total[k] : total[k + 1]] = v
         return ids, counts
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, special strings as their own ids."""
+    def pieces(self, texts: list[str]) -> tuple[list[bytes], list[int], dict[int, int]]:
+        """Normalized pieces, the text of each, and the ids of those that are special strings."""
         pieces, owner, marks = [], [], {}
         for i, text in enumerate(texts):
             for part in self.special.split(text) if "<|" in text else (text,):
                 if part in self.tables.specials:
                     marks[len(pieces)] = self.tables.specials[part]
                     part = ""
-                pieces.append(self.normalize(part))
-                owner.append(i)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        starts, ends = split_words(data, offsets, False)
-        ids, counts = self.words(data, starts, ends)
-        bound = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)].tolist()
-        flat = ids.tolist()
-        if not marks:
-            return [flat[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
-        out: list[list[int]] = [[] for _ in texts]
-        for j, i in enumerate(owner):
-            out[i] += [marks[j]] if j in marks else flat[bound[j] : bound[j + 1]]
-        return out
-
-    def decode(self, ids: list[int]) -> bytes:
+                raw = self.normalize(part)
+                cuts = safe_cuts(np.frombuffer(raw, np.uint8), GROUP_LETTERS) if len(raw) > GROUP_LETTERS else [(0, len(raw))]
+                pieces += [raw[a:b] for a, b in cuts]
+                owner += [i] * len(cuts)
+        return pieces, owner, marks
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, special strings as their own ids."""
+        pieces, owner, marks = self.pieces(texts)
+        found: list[np.ndarray] = []
+        while len(found) < len(pieces):
+            row, size = len(found), 0
+            group = []
+            while row < len(pieces) and (not group or size + len(pieces[row]) <= GROUP_LETTERS):
+                group.append(pieces[row])
+                row, size = row + 1, size + len(pieces[row])
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in group])]).astype(np.int64)
+            data = np.frombuffer(b"".join(group), dtype=np.uint8)
+            starts, ends = split_words(data, offsets, False)
+            ids, counts = self.words(data, starts, ends)
+            bound = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, offsets)].tolist()
+            found += [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        if len(pieces) == len(texts) and not marks:
+            return found
+        for j, special in marks.items():
+            found[j] = np.array([special], np.int32)
+        first = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        return [np.concatenate(found[a:b]) if b > a else np.empty(0, np.int32) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
         """The labels of the arcs, as the library joins them where a file has no decoder."""
-        return b" ".join(map(self.labels.__getitem__, ids))
+        return b" ".join(map(self.labels.__getitem__, ids.tolist()))
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
+def digest(ids: np.ndarray, names: list[bytes]) -> str:
+    """SHA-256 of the ids' names, joined by one space."""
+    out = hashlib.sha256()
+    for i in range(0, len(ids), 1 << 16):
+        out.update((b" " if i else b"") + b" ".join(map(names.__getitem__, ids[i : i + (1 << 16)].tolist())))
+    return out.hexdigest()
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
@@ -242,8 +248,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     Returns ``id_col, n_tokens, ids_sha256, decoded_sha256`` and, unless
     ``digests_only``, ``ids`` and ``decoded``.  One row per input row: repeated and
     null ids stay, a null text is as an empty one (no ids, an empty decoding), an
-    empty table gives no rows, other columns are ignored.  A very long text takes
-    memory in proportion to itself.  One pass, no shuffle.
+    empty table gives no rows, other columns are ignored.  Texts of any length are
+    whole: long ones go part by part, a few bytes of memory for each letter, and a
+    word of any length takes time in proportion to it.  One pass, no shuffle.
     """
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if not digests_only:
@@ -251,26 +258,24 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema = T.StructType(fields)
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             row = 0
-            while row < len(texts):
-                end, size = row, 0
-                while end < len(texts) and (end == row or size + len(texts[end]) <= 1 << 21):
-                    size += len(texts[end])
+            while row < batch.num_rows:
+                texts, end, size = [], row, 0
+                while end < batch.num_rows and (end == row or size <= GROUP_LETTERS):
+                    texts.append(batch.column(1)[end].as_py() or "")
+                    size += len(texts[-1])
                     end += 1
-                encoded = encoder.encode(texts[row:end])
-                decoded = [encoder.decode(x) for x in encoded]
-                names = [b" ".join(map(encoder.decimals.__getitem__, x)) for x in encoded]
+                encoded = encoder.encode(texts)
                 columns = [
                     batch.column(0).slice(row, end - row),
                     pa.array([len(x) for x in encoded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in names]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                    pa.array([digest(x, encoder.decimals) for x in encoded]),
+                    pa.array([digest(x, encoder.labels) for x in encoded]),
                 ]
                 if not digests_only:
-                    columns += [pa.array(encoded, pa.list_(pa.int32())), pa.array([x.decode() for x in decoded])]
+                    columns += [pa.array(encoded, pa.list_(pa.int32())), pa.array([encoder.decode(x).decode() for x in encoded])]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
                 row = end
 

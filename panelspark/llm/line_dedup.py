@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import BASE, BASE_INV, STEP, Words, hash_spans, list_array, mix, powers, text_chunks
+from .arrays import STEP, U64, Words, hash_spans, list_array, mix, text_chunks
 from .shared import written
 
 MIN_WORDS = 10
@@ -143,6 +143,34 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], min_wo
     return list(zip(edge[::2], edge[1::2], strict=True))
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    half, low = U64(31), U64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return reduced(U64(2) * (ah * bh) + (middle >> U64(30)) + ((middle & (low >> U64(1))) << half) + al * bl)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.full(len(out), pow(base, len(out), PRIME), np.uint64))])
+    return out[:n]
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """0 and the running sums of numbers below PRIME, modulo PRIME."""
+    half = U64(31)
+    high, low = np.cumsum(x >> half, dtype=np.uint64), np.cumsum(x & U64((1 << 31) - 1), dtype=np.uint64)
+    return np.concatenate([np.zeros(1, np.uint64), reduced(times(reduced(high), np.full(len(x), 1 << 31, np.uint64)) + reduced(low))])
+
+
 def key_of(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
@@ -152,14 +180,13 @@ def passages(hashes: np.ndarray, number: np.ndarray, text: np.ndarray, counts: n
     n, high = len(hashes), np.cumsum(counts)
     low = high - counts
     words = np.concatenate([[0], np.cumsum(number)])
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(BASE, n), out=total[1:])
-    back = powers(BASE_INV, n + 1)
+    total = running(times(reduced(hashes), powers(RADIX, n)))
+    back = powers(pow(RADIX, -1, PRIME), n + 1)
 
     def hashed(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         span = np.unique(start * (n + 1) + end)
         start, end = span // (n + 1), span % (n + 1)
-        return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * STEP), np.bincount(text[start], minlength=len(counts))
+        return mix(times(reduced(total[end] + U64(PRIME) - total[start]), back[start]) + (end - start).astype(np.uint64) * STEP), np.bincount(text[start], minlength=len(counts))
 
     at = np.arange(n)
     enough = np.clip(words[high] - words[low], 1, max(1, min_words))[text]

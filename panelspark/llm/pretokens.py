@@ -129,3 +129,28 @@ def cut_at(data: bytes, offsets: np.ndarray, marks: dict[str, int]) -> tuple[np.
         text.append(int(np.searchsorted(offsets, a, side="right")) - 1)
         special.append(inside[a][3] if a in inside else -1)
     return np.array([*bounds, int(cuts[-1])]), np.array(text), np.array(special)
+
+
+def safe_cuts(data: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """[start, end) of parts of about ``size`` bytes that can be split into words one by one.
+
+    A cut is made between an ASCII letter and a blank after it: there a word ends
+    in either kind of file, no special string holds a blank, and neither
+    composition nor lower case looks over it.  Without such a place a part is longer.
+    """
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        low = at + size
+        while low < len(data):
+            window = data[low - 1 : low + size]
+            after = window[1:]
+            letter = ((window[:-1] | 0x20) >= 97) & ((window[:-1] | 0x20) <= 122)
+            cut = np.flatnonzero(letter & ((after == 32) | (after == 10)))
+            if len(cut):
+                end = low + int(cut[0])
+                break
+            low += size
+        out.append((at, end))
+        at = end
+    return out

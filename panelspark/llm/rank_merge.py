@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import HashMap, LossyCache, U64, hash_spans, ragged, text_chunks
-from .pretokens import cut_at, split_words
+from .arrays import HashMap, Packed, U64, WordCache, ragged, text_chunks
+from .pretokens import cut_at, safe_cuts, split_words
 
 NO_RANK = np.int64(1) << 40
 
@@ -131,16 +131,16 @@ def merge_ragged(tables: BpeTables, symbols: np.ndarray, counts: np.ndarray) ->
 
 
 class RankEncoder:
-    """Encodes texts of a byte-level file; pre-tokens seen lately come from a bounded cache."""
+    """Encodes texts of a byte-level file; pre-tokens seen lately come from a bounded cache, by their bytes."""
 
     WIDTH = 8
 
-    def __init__(self, path: str, ids: bool, cache_bits: int = 20):
+    def __init__(self, path: str, ids: bool, cache_bits: int = 19):
         self.tables = load_tables(path)
         if not self.tables.byte_level:
             raise ValueError("the rank encoder reads byte-level files only")
         self.ids = ids
-        self.cache = LossyCache(cache_bits, self.WIDTH if ids else 0, np.uint16 if len(self.tables.labels) <= 1 << 16 else np.int32)
+        self.cache = WordCache(cache_bits, self.WIDTH if ids else 0, np.uint16 if len(self.tables.labels) <= 1 << 16 else np.int32)
 
     def _merge_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts
@@ -148,15 +148,14 @@ class RankEncoder:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Token count of each pre-token; its ids in a row of WIDTH; ids of those that are longer."""
-        keys = hash_spans(data, starts, ends)
-        slot, hit = self.cache.slots(keys)
+        packed = Packed(data, starts, ends)
+        slot, hit = self.cache.slots(packed)
         counts = self.cache.counts[slot].astype(np.int64)
         rows = self.cache.rows[slot] if self.ids else None
         longer: dict[int, np.ndarray] = {}
         miss = np.flatnonzero(~hit)
         if len(miss):
-            _, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            some = miss[first]
+            some, back = packed.distinct(miss)
             symbols, made = self._merge_words(data, starts[some], ends[some])
             counts[miss] = made[back]
             short = made <= self.WIDTH
@@ -172,7 +171,7 @@ class RankEncoder:
                     longer[j] = symbols[head[j] : head[j] + made[j]]
                 if longer:
                     longer = {int(m): longer[b] for m, b in zip(miss.tolist(), back.tolist(), strict=True) if b in longer}
-            self.cache.put(keys[some[short]], made[short], new_rows[short] if self.ids else None)
+            self.cache.put(packed, some[short], made[short], new_rows[short] if self.ids else None)
         return counts, rows, longer
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray):
@@ -192,6 +191,11 @@ class RankEncoder:
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
+        if len(offsets) == 2 and len(data) > PART_BYTES:  # a long text, part by part
+            return np.array([sum(int(self._count(data[a:b], np.array([0, b - a]))[0]) for a, b in safe_cuts(data, PART_BYTES))])
+        return self._count(data, offsets)
+
+    def _count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts, ends, special = self._pieces(data, offsets)
         counts, _, _ = self.words(data, starts, ends)
         if special is not None:
@@ -201,6 +205,12 @@ class RankEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's count."""
+        if len(offsets) == 2 and len(data) > PART_BYTES:
+            parts = [self._encode(data[a:b], np.array([0, b - a]))[0] for a, b in safe_cuts(data, PART_BYTES)]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
+        return self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, special = self._pieces(data, offsets)
         counts, rows, longer = self.words(data, starts, ends)
         if special is not None:
@@ -222,14 +232,14 @@ class RankEncoder:
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
-#: Bytes of text encoded at once; a worker's peak memory follows it.
-ENCODE_BYTES = 1 << 19
+#: Bytes of text encoded at once; a worker's peak memory follows it.  A longer text is cut into parts of about PART_BYTES where words end.
+ENCODE_BYTES, PART_BYTES = 1 << 19, 1 << 20
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str, ids: bool) -> RankEncoder:
-    """One encoder for all tasks of a Python worker."""
-    return RankEncoder(path, ids)
+def shared_encoder(path: str) -> RankEncoder:
+    """One counting encoder for all tasks of a Python worker."""
+    return RankEncoder(path, ids=False)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -238,14 +248,15 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Returns ``id_col, n_bytes, n_tokens, over_limit``, one row per input row:
     repeated and null ids stay as they are, a null text counts as empty (0 bytes,
     0 tokens), other columns are ignored whatever they are called, an empty table
-    gives no rows.  A text of any length is counted whole, in memory of about 60
-    bytes for each of its bytes.  One pass, no shuffle.
+    gives no rows.  A text of any length is counted whole, part by part; only a
+    single word of more than a megabyte takes memory in proportion to itself.  One
+    pass, no shuffle.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches):
-        encoder = shared_encoder(tokenizer_path, False)
+        encoder = shared_encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1)
             size, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

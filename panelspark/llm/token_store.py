@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .arrays import text_chunks
-from .rank_merge import ENCODE_BYTES, load_tables, shared_encoder
+from .rank_merge import ENCODE_BYTES, RankEncoder, byte_letters, load_tables
 
-#: Documents whose ids the dictionary is trained on, about; chosen by a hash of their ids.
+#: Documents whose ids the dictionary is trained on, about; chosen by a hash of their ids and texts, equal rows once.
 SAMPLE_DOCUMENTS = 1000
 #: Bytes of one training sample, and samples of one document at most, spread over all of it.
 SAMPLE_BYTES, SAMPLES_EACH = 8192, 4
@@ -41,9 +43,29 @@ DICTIONARY_BYTES = 65536
 BLOCK_BYTES, BLOCK_DOCUMENTS = 1 << 20, 1024
 
 
+class LibraryEncoder(RankEncoder):
+    """Texts are cut into pre-tokens by arrays; the ids of each distinct pre-token are the tokenizers library's."""
+
+    def __init__(self, path: str):
+        super().__init__(path, ids=True)
+        self.library = Tokenizer.from_file(path).model
+        self.letters = {i: c for i, c in enumerate(byte_letters())}
+
+    def _merge_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        ids = [[t.id for t in self.library.tokenize(raw[a:b].decode("latin-1").translate(self.letters))] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> LibraryEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return LibraryEncoder(path)
+
+
 def encoded(batches, path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """The batches, each with the ids of its second column's texts."""
-    encoder = shared_encoder(path, True)
+    encoder = shared_encoder(path)
     tail = np.empty(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
     for batch in batches:
         for row, data, offsets in text_chunks(batch.column(1), ENCODE_BYTES):
@@ -55,7 +77,7 @@ def encoded(batches, path: str, end_id: int | None) -> Iterator[tuple[pa.RecordB
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str, text_col: str, width: int, sample: int = SAMPLE_DOCUMENTS) -> zstandard.ZstdCompressionDict:
     """Dictionary of at most DICTIONARY_BYTES from about ``sample`` documents; empty if there is too little to learn from."""
     every = max(1, docs.count() // sample)
-    some = docs.select(id_col, text_col).where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
+    some = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("h")).where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).select(id_col, text_col)
 
     def run(batches):
         for _, arrays in encoded(batches, tokenizer_path, end_id):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -11,8 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from panelspark.llm import bpe_automaton, packing, rank_merge, token_store
-from panelspark.llm.arrays import HashMap, text_chunks
+from panelspark.llm import arrays, bpe_automaton, packing, rank_merge, token_store
+from panelspark.llm.arrays import HashMap, hash_spans, text_chunks
 from panelspark.llm.shared import shared_folder
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -33,9 +34,10 @@ def test_automaton_matches_library():
     texts = mixed(1500)
     encoder = bpe_automaton.WordEncoder(WORD, cache_bits=8)
     tokenizer = Tokenizer.from_file(WORD)
-    mine = encoder.encode(texts)
+    found = encoder.encode(texts)
+    mine = [x.tolist() for x in found]
     assert mine == library(WORD, texts)
-    assert [encoder.decode(x).decode() for x in mine] == [tokenizer.decode(x, skip_special_tokens=False) for x in mine]
+    assert [encoder.decode(x).decode() for x in found] == [tokenizer.decode(x, skip_special_tokens=False) for x in mine]
 
 
 def test_rank_merge_matches_library():
@@ -52,6 +54,59 @@ def test_rank_merge_matches_library():
     assert counts == [len(x) for x in found]
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def alike() -> list[str]:
+    """Words whose polynomial hashes modulo a power of two meet, and words that share long heads and tails."""
+    words = [thue_morse(n, *x) for n in (1024, 2048, 4096) for x in ("ab", "ba")]
+    words += ["z" * 40 + c + "z" * 40 for c in "pq"] + ["y" * n for n in (31, 32, 33, 34)] + ["ab\x00", "ab"]
+    return words + words[::-1]
+
+
+def test_words_that_hash_alike():
+    hashes = [hash_spans(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in set(alike())]
+    assert len(set(hashes)) == len(set(alike()))
+    texts = [*alike(), " ".join(alike())]
+    assert [x.tolist() for x in bpe_automaton.WordEncoder(WORD).encode(texts)] == library(WORD, texts)
+    for encoder in (rank_merge.RankEncoder(BYTE, ids=True), token_store.LibraryEncoder(BYTE)):
+        found = [encoder.encode(data, offsets)[0].tolist() for t in texts for _, data, offsets in text_chunks(pa.array([t]))]
+        assert found == library(BYTE, texts)
+
+
+def test_caches_compare_bytes(monkeypatch):
+    """Words stay apart even if all have one hash."""
+    monkeypatch.setattr(arrays, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = mixed(60)
+    assert [x.tolist() for x in bpe_automaton.WordEncoder(WORD).encode(texts)] == library(WORD, texts)
+    for encoder in (rank_merge.RankEncoder(BYTE, ids=True), token_store.LibraryEncoder(BYTE)):
+        found = []
+        for _, data, offsets in text_chunks(pa.array(texts), 512):
+            ids, n = encoder.encode(data, offsets)
+            found += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert found == library(BYTE, texts)
+
+
+def test_long_words_and_texts(monkeypatch):
+    rnd = random.Random(12)
+    word = "".join(rnd.choice("etaoinshr") for _ in range(300_000))
+    start = time.perf_counter()
+    assert bpe_automaton.WordEncoder(WORD).encode([word])[0].tolist() == library(WORD, [word])[0]
+    assert time.perf_counter() - start < 20
+    # parts of long texts
+    monkeypatch.setattr(rank_merge, "PART_BYTES", 200)
+    monkeypatch.setattr(bpe_automaton, "GROUP_LETTERS", 200)
+    texts = [" ".join(mixed(200)), "\n\n".join("it's " * rnd.randint(1, 9) for _ in range(300)), "x" * 5000, " " * 5000]
+    assert [x.tolist() for x in bpe_automaton.WordEncoder(WORD).encode(texts)] == library(WORD, texts)
+    wanted = library(BYTE, texts)
+    encoder, counter = token_store.LibraryEncoder(BYTE), rank_merge.RankEncoder(BYTE, ids=False)
+    for t, ids in zip(texts, wanted, strict=True):
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert encoder.encode(data, np.array([0, len(data)]))[0].tolist() == ids
+        assert counter.count(data, np.array([0, len(data)])).tolist() == [len(ids)]
+
+
 def test_hash_map_with_collisions():
     keys = np.arange(1, 3000, dtype=np.uint64) << np.uint64(50)
     table = HashMap(keys, np.arange(len(keys)))
