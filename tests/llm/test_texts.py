@@ -166,20 +166,69 @@ def test_language_model(docs, nothing, texts):
     assert language_model.score(nothing).count() == 0
 
 
+def plain_score(text: str | None, counts: Counter, own: list[str], most: int, code, model) -> float:
+    """The model's log10 probability of a text, token by token, each softmax written out."""
+    ends = {x: len(own) + code(x) % most for x in counts if x not in own}
+    sizes, words = Counter(), Counter()
+    for x, k in ends.items():
+        sizes[k] += counts[x]
+        words[k] += 1
+    a = b = len(model.bias)
+    total = 0.0
+    for x in [*WORD.findall((text or "").translate(LOW)), None]:
+        w = own.index(x) if x in own else len(own) + code(x) % most
+        logits = [float((model.r[j] * (model.c1 * model.q[a] + model.c2 * model.q[b])).sum() + model.bias[j]) for j in range(len(model.bias))]
+        high = max(logits)
+        total += (logits[w] - high - math.log(sum(math.exp(y - high) for y in logits))) / math.log(10)
+        if x not in own:
+            total += math.log10((counts[x] + 1) / (sizes[w] + words[w] + 1))
+        a, b = b, w
+    return total
+
+
+def test_language_model_against_plain_sums(spark, docs, texts):
+    count = Counter(x for i, t in texts for x in [*WORD.findall((t or "").translate(LOW)), None] if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2)
+    for limit in (language_model.MAX_FREQUENT, 30):
+        _, v, model = language_model.fit(docs, max_frequent=limit)
+        known = {int(language_model.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0]): x for x in count if x is not None}
+        own = [None, *(known[int(h)] for h in v.own[1:])]
+        code = lambda x: int(language_model.tokens(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[1][0])
+        found = {r.doc_id: r.score for r in language_model.score(docs, max_frequent=limit).collect()}
+        for i, t in texts:
+            if i in (0, 45, 92, 93, 95, 96, 99, 102, 204):
+                assert math.isclose(found[i], plain_score(t, count, own, v.ends, code, model), rel_tol=1e-4), (i, limit)
+
+
+def tongue(rnd: random.Random, ends: list[str], n: int) -> str:
+    return " ".join("".join(rnd.choice("bcdfgh") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3))) + rnd.choice(ends) for _ in range(n))
+
+
+def test_held_out_texts_gain_and_partitions_do_not_matter(spark):
+    rnd = random.Random(13)
+    rows = [(i, tongue(rnd, ["ing", "tion", "ed", "ly"] if i % 2 else ["chen", "ung", "keit", "lich"], 60)) for i in range(1500)]
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for n in (4, 16, 64):
+        found = language_model.score(base.repartition(n)).where("held_out").select("doc_id", "n_tokens", "score", "base_score").collect()
+        size = sum(r.n_tokens for r in found)
+        assert sum(r.score for r in found) / size > sum(r.base_score for r in found) / size + 0.1
+        scores.append({r.doc_id: r.score for r in found})
+    assert all(math.isclose(x, other[i], rel_tol=1e-6) for other in scores[1:] for i, x in scores[0].items())
+
+
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(2)
-    sizes = np.zeros(language_model.CLASSES, np.int64)
+    sizes = np.zeros(50, np.int64)
     sizes[:6] = 5000
-    model = language_model.Model.start(sizes)
-    trainer = language_model.Trainer(model, sizes, 1)
+    trainer = language_model.Trainer(language_model.Model.start(sizes), language_model.Model.of(np.full(51 * 16 + 50 * 16 + 32 + 50, 1e-5), 50), sizes, 1)
     b = rng.integers(0, 6, 60_000)
     w = (b + 1) % 6  # the next class follows from the one before
-    a = rng.integers(0, 6, 60_000)
-    for i in range(0, len(w), language_model.BATCH):
-        s = slice(i, i + language_model.BATCH)
-        trainer.step(a[s], b[s], w[s])
-    first, second, norm = model.tables()
-    p = np.exp(first[a[:50]] + second[b[:50]] - norm[a[:50], b[:50]][:, None])
+    trainer.feed(np.stack([rng.integers(0, 6, 60_000), b, w]))
+    trainer.flush()
+    model = trainer.m
+    first, second = model.halves()
+    a = rng.integers(0, 6, 50)
+    p = np.exp(first[a] + second[b[:50]] - model.norm()[a, b[:50]][:, None])
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
     assert p[np.arange(50), w[:50]].mean() > 0.5
 
