@@ -1,12 +1,17 @@
 """Quality rules and a hashed n-gram likelihood ratio (operator 7).
 
-Words, pairs of words and the words' shapes (letters of either case, digits and
-other characters, in place) fall into ``BUCKETS`` buckets by their hashes.  Two
-multinomials over the buckets are counted: one from all documents, one from
-trusted documents (labelled good and not toxic; at most ``max_trusted`` of them,
-those of the smallest hashed ids).  A document's verdict is the mean log ratio
-of its n-grams against a fixed threshold: the same for every document, at every
-size of the corpus, without random choice.
+Words fall into ``WORD_BUCKETS`` buckets by their hashes, pairs of words into
+``PAIR_BUCKETS``.  Two multinomials over the buckets are counted: one from all
+documents, one from trusted documents (labelled good and not toxic; at most
+``max_trusted`` of them, those of the smallest hashed ids).  A bucket's log ratio
+counts where it is large (``LEAST_RATIO``) and the trusted count is further from its
+expectation than chance would take it (``DEVIATIONS``); elsewhere it is 0, so rare
+words say nothing.
+
+A document's ratio is the lowest mean of log ratios over its windows of ``WINDOW_WORDS``
+words (over all words, if it has fewer): normalised by length, and a bad passage is
+not hidden by a long text around it.  It is held against a fixed threshold: the same
+for every document, at every size of the corpus, without random choice.
 """
 
 from __future__ import annotations
@@ -17,14 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import Words, U64, hash_spans, mix, sums, table_of, text_chunks
+from .arrays import Words, U64, hash_spans, mix, ragged, sums, table_of, text_chunks
 
-BUCKETS = 1 << 16
-#: Prior weight of the raw multinomial in the trusted one, in n-grams.
-PRIOR = 2.0 * BUCKETS
+WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
+BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
+#: Added to observed and expected counts.
+PRIOR = 2.0
+#: Standard deviations that a trusted count must be away from its expectation, and the log ratio's least size.
+DEVIATIONS, LEAST_RATIO = 4.0, 2.0
 MAX_TRUSTED = 20_000
-#: Documents whose mean log ratio is lower are rejected.
-THRESHOLD = -0.12
+WINDOW_WORDS = 30
+#: Documents with a window of a lower mean log ratio are rejected.
+THRESHOLD = -0.2
 #: The symbols that the rules count.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -34,24 +43,11 @@ WINDOW = 5
 _SYMBOL = table_of(*((ord(c), ord(c)) for c in SYMBOLS))
 
 
-def _shapes() -> np.ndarray:
-    out = np.arange(256, dtype=np.uint8)
-    out[ord("a") : ord("z") + 1] = ord("a")
-    out[128:] = ord("a")
-    out[ord("A") : ord("Z") + 1] = ord("A")
-    out[ord("0") : ord("9") + 1] = ord("0")
-    return out
-
-
-_SHAPE = _shapes()
-
-
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of words and shapes, two for each word; buckets of the pairs; the number of pairs in each text."""
-    pairs, _, n = words.windows(2)
-    shapes = mix(hash_spans(_SHAPE[words.data], words.starts, words.ends) + U64(1))
-    one = np.stack([words.hashes, shapes], axis=1).ravel()
-    return (one >> U64(48)).astype(np.int64), (pairs >> U64(48)).astype(np.int64), n
+    """Buckets of the words and of the pairs; the first word of each pair."""
+    pairs, at, _ = words.windows(2)
+    bucket = lambda hashes, n: (hashes >> U64(65 - n.bit_length())).astype(np.int64)
+    return bucket(words.hashes, WORD_BUCKETS), WORD_BUCKETS + bucket(pairs, PAIR_BUCKETS), at
 
 
 def gram_counts(docs: DataFrame, trusted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -60,14 +56,14 @@ def gram_counts(docs: DataFrame, trusted: np.ndarray, id_col: str, text_col: str
     def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            known = np.isin(batch.column(0).to_numpy(zero_copy_only=False), trusted)
+            known = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), trusted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for row, data, offsets in text_chunks(batch.column(1)):
                 words = Words(data, offsets)
-                one, two, n = grams(words)
-                raw += np.bincount(one, minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS)
-                mark = known[row : row + len(n)]
-                if mark.any():
-                    target += np.bincount(one[np.repeat(mark, 2 * words.counts)], minlength=BUCKETS) + np.bincount(two[np.repeat(mark, n)], minlength=BUCKETS)
+                good = known[row : row + len(words.counts)][words.text_of()]
+                one, two, at = grams(words)
+                for found, mark in ((one, good), (two, good[at])):
+                    np.add.at(raw, found, 1)
+                    np.add.at(target, found[mark], 1)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -84,12 +80,16 @@ def trusted_ids(labels: DataFrame, id_col: str, max_trusted: int) -> np.ndarray:
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """Log ratio of every bucket.  Without trusted documents all are 0, and the method rejects nothing."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in gram_counts(docs, trusted_ids(labels, id_col, max_trusted), id_col, text_col).collect():
-        raw[bucket], target[bucket] = r, t
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    p = (raw + 1) / (raw.sum() + BUCKETS)
-    return np.log((target + PRIOR * p) / (target.sum() + PRIOR)) - np.log(p)
+    rows = gram_counts(docs, trusted_ids(labels, id_col, max_trusted), id_col, text_col).toArrow()  # at most BUCKETS rows
+    raw[rows["bucket"].to_numpy()], target[rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
+    return log_ratios(raw, target)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of each bucket's trusted count and its expectation, 0 where they differ by chance."""
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    ratio = np.log((target + PRIOR) / (expected + PRIOR))
+    return np.where((np.abs(ratio) >= LEAST_RATIO) & (np.abs(target - expected) >= DEVIATIONS * np.sqrt(expected + 1)), ratio, 0.0)
 
 
 def rule_counts(words: Words) -> dict[str, np.ndarray]:
@@ -136,14 +136,28 @@ def rule_counts(words: Words) -> dict[str, np.ndarray]:
     }
 
 
+def lowest_windows(score: np.ndarray, words: Words) -> np.ndarray:
+    """Lowest mean of the words' scores over windows of WINDOW_WORDS words, or over all words of a shorter text; 0 without words."""
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    size = np.minimum(words.counts, WINDOW_WORDS)
+    number = np.where(words.counts > 0, words.counts - size + 1, 0)
+    begin = ragged(words.bounds[:-1], number)
+    width = np.repeat(size, number)
+    out = np.zeros(len(words.counts))
+    some = np.flatnonzero(number)
+    if len(some):
+        out[some] = np.minimum.reduceat((total[begin + width] - total[begin]) / width, np.cumsum(number)[some] - number[some])
+    return out
+
+
 def verdicts(words: Words, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Figures, failure of the base rules and mean log ratio of every text of a chunk."""
+    """Figures, failure of the base rules and lowest windows' log ratio of every text of a chunk."""
     figures = rule_counts(words)
-    one, two, n = grams(words)
-    total = sums(weight[one], 2 * words.bounds) + sums(weight[two], np.concatenate([[0], np.cumsum(n)]))
-    mean = total / np.maximum(2 * words.counts + n, 1)
+    one, two, at = grams(words)
+    score = weight[one]
+    score[at] += weight[two]
     failed = (figures["n_words"] < MIN_WORDS) | (100 * figures["n_repeat_words"] > MAX_REPEAT_PERCENT * figures["n_words"])
-    return figures, failed, mean
+    return figures, failed, lowest_windows(score, words)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -169,7 +183,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     fails, an empty table gives no rows, other columns are ignored.  Labels may be
     empty, repeated or null; a document counts as trusted if any row calls it so.
 
-    Two passes over the texts; the shuffle carries at most BUCKETS rows a task.
+    log_ratio is that of the lowest window.  Two passes over the texts; the shuffle
+    carries at most BUCKETS rows a task.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, labels, id_col, text_col, max_trusted))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -44,13 +44,52 @@ def test_quality_rules(spark, docs, nothing, texts):
     assert all(r.log_ratio == 0 for r in none)
 
 
-def test_ratio_separates(spark):
-    good = [(i, "the cat sat on the mat and looked at a small dog today") for i in range(30)]
-    bad = [(100 + i, "BUY!! NOW!! CHEAP!! PILLS!! ONLINE!! BEST!! PRICE!! CLICK!! HERE!! TODAY!! WIN!!") for i in range(10)]
-    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    ratio = {r.doc_id: r.log_ratio for r in quality.quality_rules(docs, labels).collect()}
-    assert min(ratio[i] for i, _ in good) > max(ratio[i] for i, _ in bad)
+def plain_ratio(rows: list[tuple], trusted: set) -> dict:
+    """Lowest windows' log ratios from counts of words and pairs as they are, without buckets."""
+    raw, target = Counter(), Counter()
+    grams = {i: [*WORD.findall(t or ""), *zip(WORD.findall(t or ""), WORD.findall(t or "")[1:], strict=False)] for i, t in rows}
+    for i, found in grams.items():
+        raw.update(found)
+        target.update(found if i in trusted else [])
+    share = sum(target.values()) / sum(raw.values())
+
+    def weight(g):
+        expected, ratio = raw[g] * share, math.log((target[g] + quality.PRIOR) / (raw[g] * share + quality.PRIOR))
+        return ratio if abs(ratio) >= quality.LEAST_RATIO and abs(target[g] - expected) >= quality.DEVIATIONS * math.sqrt(expected + 1) else 0.0
+
+    out = {}
+    for i, t in rows:
+        words = WORD.findall(t or "")
+        score = [weight(w) + (weight((w, words[j + 1])) if j + 1 < len(words) else 0) for j, w in enumerate(words)]
+        n = min(len(words), quality.WINDOW_WORDS)
+        out[i] = min((sum(score[j : j + n]) / n for j in range(len(words) - n + 1)), default=0.0) if n else 0.0
+    return out
+
+
+def test_ratio_against_plain_counts(spark):
+    rnd = random.Random(14)
+    clean = [(i, " ".join(rnd.choice(["the", "cat", "sat", "on", "a", "mat", "and", "looked", "at", "dogs"]) + str(rnd.randint(0, 4)) for _ in range(rnd.randint(12, 90)))) for i in range(300)]
+    bad = []
+    for i in range(60):  # among clean words, one bad one in fifteen
+        words = [x for _, t in clean[i : i + 2] for x in t.split()]
+        for j in range(0, len(words), 15):
+            words[j] = rnd.choice(["vile1", "vile2"])
+        bad.append((1000 + i, " ".join(words)))
+    rows = [*clean, *bad, (2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1000, 1, 1), (1001, 0, 1)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
+    wanted = plain_ratio(rows, set(range(200)))
+    assert all(math.isclose(found[i].log_ratio, x, rel_tol=1e-6, abs_tol=1e-9) for i, x in wanted.items())
+    assert all(found[i].kept == (not found[i].base_failed) for i, _ in clean) and not any(found[i].kept for i, _ in bad)
+
+
+def test_trusted_ids_beside_nulls(spark):
+    """Ids over 2**53 keep their own last digits where a batch holds a null id."""
+    big = 1 << 60
+    docs = spark.createDataFrame([(None, "a b c"), (big, "d e f"), (big + 1, "g h i")], "doc_id long, text string").coalesce(1)
+    rows = quality.gram_counts(docs, np.array([big]), "doc_id", "text").agg({"target": "sum"}).first()
+    assert rows[0] == 5
 
 
 def shingle_sets(texts) -> list[frozenset]:
