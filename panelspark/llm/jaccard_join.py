@@ -18,6 +18,8 @@ all others of their lists that size and place in the order allow.  Candidates ar
 verified with whole sets.  Copies and heavy lists so need no pair within one
 component, and no list is cut.
 
+The texts are read and cut into shingles once; all steps read the written sets.
+
 The boundary between small and large is chosen by cost from the histogram of
 sizes.
 """
@@ -89,14 +91,26 @@ def set_names(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType())])
+    """(id, key, n_shingles, name, shingles) of every document; key: a hash of its text; the shingles' hashes in ascending order as unsigned numbers."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
-            for row, counts, shingles in text_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts, pa.int64()), pa.array(set_names(shingles, counts))], names=schema.fieldNames())
+            for row, counts, shingles in text_sets(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(counts)) for c in batch.columns[:2]), pa.array(counts, pa.int64()), pa.array(set_names(shingles, counts)), list_array(shingles.view(np.int64), counts, pa.int64())], names=schema.fieldNames())
+
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+def sets_of(column: pa.Array, limit: int = 1 << 18):
+    """Yield (row, counts, shingles) of a column of sets, about ``limit`` shingles at a time."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy().view(np.uint64)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
+        yield row, np.diff(offsets[row : end + 1]).astype(np.int64), values[offsets[row] : offsets[end]]
+        row = end
 
 
 def small_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
@@ -111,7 +125,7 @@ def small_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return best
 
 
-def shared_bitmaps(docs: DataFrame, text_col: str, total: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_bitmaps(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the shingles (by their first bits) that several documents have, and of those that more than HEAVY have.
 
     Each task sends every shingle it has once, with a count, 5 bytes each; the
@@ -140,7 +154,7 @@ def shared_bitmaps(docs: DataFrame, text_col: str, total: int) -> tuple[np.ndarr
             )
 
         for batch in batches:
-            for _, _, shingles in text_sets(batch.column(0)):
+            for _, _, shingles in sets_of(batch.column(0)):
                 unique, n = np.unique(shingles, return_counts=True)
                 keys.append(unique)
                 counts.append(n)
@@ -166,7 +180,7 @@ def shared_bitmaps(docs: DataFrame, text_col: str, total: int) -> tuple[np.ndarr
             out.append(np.packbits(field).tobytes())
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([out[0]], pa.binary()), pa.array([out[1]], pa.binary())], names=["part", "several", "heavy"])
 
-    sent = docs.select(text_col).mapInArrow(send, "part int, rest binary, n binary")
+    sent = sets.select("shingles").mapInArrow(send, "part int, rest binary, n binary")
     several, heavy = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 6), np.uint8)
     for row in sent.groupBy("part").applyInArrow(merge, "part int, several binary, heavy binary").collect():  # 36 MB at most
         for field, raw in ((several, row["several"]), (heavy, row["heavy"])):
@@ -179,15 +193,15 @@ def has_bit(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (field[(at >> U64(3)).astype(np.int64)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 > 0
 
 
-def list_entries(docs: DataFrame, text_col: str, several: np.ndarray, heavy: np.ndarray, least: int, percent: int) -> DataFrame:
+def list_entries(sets: DataFrame, several: np.ndarray, heavy: np.ndarray, least: int, percent: int) -> DataFrame:
     """(x, name, size, place): the part of every set of ``least`` shingles and more that inverted lists need."""
-    fields = docs.sparkSession.sparkContext.broadcast((several, heavy))
+    fields = sets.sparkSession.sparkContext.broadcast((several, heavy))
 
     def run(batches):
         some, much = fields.value
         for batch in batches:
-            for _, counts, shingles in text_sets(batch.column(0)):
-                names = set_names(shingles, counts)
+            for row, counts, shingles in sets_of(batch.column(1)):
+                names = batch.column(0).slice(row, len(counts)).to_numpy()
                 owner = np.repeat(np.arange(len(counts)), counts)
                 kind = has_bit(some, shingles).astype(np.int64)
                 kind += has_bit(much, shingles) & (kind > 0)
@@ -198,19 +212,19 @@ def list_entries(docs: DataFrame, text_col: str, several: np.ndarray, heavy: np.
                 take = np.flatnonzero((kind > 0) & (place < prefix(size, percent)) & (size >= least))
                 yield pa.RecordBatch.from_arrays([pa.array(shingles[take].view(np.int64)), pa.array(names[owner[take]]), pa.array(size[take], pa.int32()), pa.array(place[take], pa.int32())], names=["x", "name", "size", "place"])
 
-    return docs.select(text_col).mapInArrow(run, "x long, name long, size int, place int").distinct()
+    return sets.where(F.col("n_shingles") >= least).select("name", "shingles").mapInArrow(run, "x long, name long, size int, place int").distinct()
 
 
-def subset_links(docs: DataFrame, text_col: str, boundary: int, percent: int) -> DataFrame:
+def subset_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """(a, b) of linked small sets: a star for each subset."""
 
     def run(batches):
         for batch in batches:
             keys, names, sizes, subset = [], [], [], []
-            for _, counts, shingles in text_sets(batch.column(0)):
+            for row, counts, shingles in sets_of(batch.column(1)):
                 head = np.cumsum(counts) - counts
-                name = set_names(shingles, counts)
-                for i in np.flatnonzero((counts > 0) & (counts <= boundary)).tolist():
+                name = batch.column(0).slice(row, len(counts)).to_numpy()
+                for i in range(len(counts)):
                     own, s = shingles[head[i] : head[i] + counts[i]], int(counts[i])
                     for c in range(-(-percent * s // 100), s + 1):
                         picks = np.array(list(combinations(range(s), c)))
@@ -221,7 +235,8 @@ def subset_links(docs: DataFrame, text_col: str, boundary: int, percent: int) ->
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(subset, pa.int32()), pa.array(names, pa.int64()), pa.array(sizes, pa.int32())], names=["key", "c", "name", "size"])
 
-    rows = docs.select(text_col).mapInArrow(run, "key long, c int, name long, size int").distinct()
+    small = sets.where(F.col("n_shingles").between(1, boundary)).select("name", "shingles").dropDuplicates(["name"])
+    rows = small.mapInArrow(run, "key long, c int, name long, size int")
     center = rows.groupBy("key", "c").agg(F.min(F.struct("size", "name")).alias("m"), F.max(F.struct("size", "name")).alias("far")).where(F.col("m") != F.col("far"))
     joined = rows.join(center, ["key", "c"]).where((F.col("name") != F.col("m.name")) & (need_column(F.col("size"), F.col("m.size"), percent) <= F.col("c")))
     return joined.select(F.col("m.name").alias("a"), F.col("name").alias("b")).distinct()
@@ -237,35 +252,15 @@ def possible(percent: int, boundary: int) -> Column:
     return (F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) >= need_) & (F.least("l.size", "r.size") >= need_) & (F.greatest("l.size", "r.size") > boundary)
 
 
-def verify(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int) -> DataFrame:
+def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of names that link, by their whole sets."""
-    spark = docs.sparkSession
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
-    # a bitmap of the wanted names, of bounded size, spares the others the shuffle; the joins are exact
-    bits = 22
-    place = F.shiftright("a", 63 - bits)
-    words = wanted.groupBy(F.shiftright(place, 6).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(a, {63 - bits}) & 63 AS int))")).alias("w"))
-    field = np.zeros(1 << (bits - 6), dtype=np.int64)
-    for row in words.collect():  # 65536 rows at most
-        field[row["i"]] = row["w"]
-    mask = spark.sparkContext.broadcast(field)
-
-    def run(batches):
-        some, sent = np.unpackbits(mask.value.view(np.uint8), bitorder="little").astype(bool), set()
-        for batch in batches:
-            for _, counts, shingles in text_sets(batch.column(0)):
-                names = set_names(shingles, counts)
-                take = [i for i in np.flatnonzero(some[names >> (63 - bits)] & (counts > 0)).tolist() if names[i] not in sent]
-                _, once = np.unique(names[take], return_index=True)
-                take = np.array(take, np.int64)[np.sort(once)]
-                if len(sent) < 1 << 17:
-                    sent.update(names[take].tolist())
-                head = (np.cumsum(counts) - counts)[take]
-                yield pa.RecordBatch.from_arrays([pa.array(names[take]), list_array(shingles[ragged(head, counts[take])].view(np.int64), counts[take], pa.int64())], names=["name", "shingles"])
-
-    sets = docs.select(text_col).mapInArrow(run, "name long, shingles array<long>").dropDuplicates(["name"])
-    sets = written(sets.join(wanted.select(F.col("a").alias("name")), "name", "left_semi"), "sets")
+    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+    # a bitmap of the wanted names, 65536 rows at most, spares the other sets the shuffle; the joins are exact
+    place, bit = F.shiftright("name", 47).cast("int"), F.shiftright("name", 41).bitwiseAND(63).cast("int")
+    bitmap = wanted.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    marked = sets.select("name", "shingles").join(F.broadcast(bitmap), place == F.col("place")).where(F.call_function("shiftright", "bits", bit).bitwiseAND(1) == 1)
+    sets = written(marked.select("name", "shingles").dropDuplicates(["name"]).join(wanted, "name", "left_semi"), "sets")
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -282,18 +277,18 @@ def verify(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int) -> Da
     return both.mapInArrow(check, "a long, b long")
 
 
-def link_components(docs: DataFrame, text_col: str, sizes: dict[int, int], total: int, percent: int) -> DataFrame:
+def link_components(sets: DataFrame, sizes: dict[int, int], total: int, percent: int) -> DataFrame:
     """(node, root) over the names of all sets that link with another one.  sizes: number of small sets; total: shingles of all sets."""
     boundary = small_boundary(sizes, percent)
-    several, heavy = shared_bitmaps(docs, text_col, total)
+    several, heavy = shared_bitmaps(sets, total)
     least = need(boundary + 1, boundary + 1, percent) if boundary else 1
     least = min(least, -(-percent * (boundary + 1) // 100))
-    entries = written(list_entries(docs, text_col, several, heavy, least, percent), "entries")
+    entries = written(list_entries(sets, several, heavy, least, percent), "entries")
     lists = entries.groupBy("x").agg(F.min(F.struct("place", "size", "name")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     l = entries.alias("l").join(lists.select("x", F.struct(F.col("m.name").alias("name"), F.col("m.size").alias("size"), F.col("m.place").alias("place")).alias("r")), "x")
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = l.where((F.col("l.name") != F.col("r.name")) & possible(percent, boundary)).select(*order("l.name", "r.name"))
-    links = written(verify(docs, text_col, stars, percent).union(subset_links(docs, text_col, boundary, percent)), "star-links")
+    links = written(verify(sets, stars, percent).union(subset_links(sets, boundary, percent)), "star-links")
     first = components(links)
     # members of a list outside its center's component, against all members of other components
     labelled = entries.join(lists.select("x", F.col("m.name").alias("center")), "x")
@@ -301,10 +296,28 @@ def link_components(docs: DataFrame, text_col: str, sizes: dict[int, int], total
     labelled = written(labelled.join(first.select(F.col("node").alias("center"), F.col("root").alias("main")), "center", "left").select("x", "name", "size", "place", "root", F.coalesce("main", "center").alias("main")), "labelled")
     apart = labelled.where("root <> main").alias("l").join(labelled.alias("r"), (F.col("l.x") == F.col("r.x")) & (F.col("l.root") != F.col("r.root")) & possible(percent, boundary))
     again = apart.select(*order("l.name", "r.name")).distinct().join(links.select(*order("a", "b")), ["a", "b"], "left_anti")
-    more = written(verify(docs, text_col, again, percent), "more-links")
+    more = written(verify(sets, again, percent), "more-links")
     return components(links.union(more)) if more.limit(1).count() else first
 
 
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, key, n_shingles, root, component_id, class_size), one row per input row; root names the component, null for an empty set."""
+    names = written(document_sets(docs, id_col, text_col), "sets-of-documents")
+    full = names.where("n_shingles > 0")
+    classes = written(full.groupBy("name").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("class_size"), F.first("n_shingles").alias("n")), "classes")
+    rows = classes.groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).collect()
+    if rows:
+        roots = link_components(full, {r["n"]: r["k"] for r in rows if r["n"] <= LARGEST_BOUNDARY}, sum(r["total"] for r in rows), percent)
+        rooted = classes.join(roots.withColumnRenamed("node", "name"), "name")
+        lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+        classes = classes.join(rooted.select("name", "root").join(lowest, "root"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), F.coalesce("lowest", "low").alias("component_id"), "class_size")
+    else:
+        classes = classes.select("name", F.col("name").alias("root"), F.col("low").alias("component_id"), "class_size")
+    columns = ["id", "key", "n_shingles", "root", "component_id", "class_size"]
+    empty = names.where("n_shingles = 0").select("id", "key", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"), F.lit(1).cast("long").alias("class_size"))
+    return full.join(classes, "name").select(*columns).unionByName(empty)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Near duplicates among all documents.
 
@@ -316,35 +329,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is never the smallest unless all are null; an empty table gives no rows; other
     columns are ignored.  Sets are compared by 64-bit hashes of their shingles.
     """
-    names = written(document_sets(docs, id_col, text_col), "sets-of-documents")
-    full = names.where("n_shingles > 0")
-    classes = written(full.groupBy("name").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("class_size"), F.first("n_shingles").alias("n")), "classes")
-    rows = classes.groupBy(F.least("n", F.lit(LARGEST_BOUNDARY + 1)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).collect()
-    if rows:
-        roots = link_components(docs, text_col, {r["n"]: r["k"] for r in rows if r["n"] <= LARGEST_BOUNDARY}, sum(r["total"] for r in rows), percent)
-        rooted = classes.join(roots.withColumnRenamed("node", "name"), "name")
-        lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
-        classes = classes.join(rooted.select("name", "root").join(lowest, "root").select("name", "lowest"), "name", "left").select("name", F.coalesce("lowest", "low").alias("component_id"), "class_size")
-    else:
-        classes = classes.select("name", F.col("low").alias("component_id"), "class_size")
-    filled = full.join(classes, "name").select(id_col, "n_shingles", "component_id", "class_size")
-    empty = names.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), F.lit(1).cast("long").alias("class_size"))
-    return filled.unionByName(empty)
+    return near_duplicates(docs, id_col, text_col, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "class_size")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, one document of each component: that of the smallest id.
+    """The rows of ``docs``, one document of each component: that of the smallest id, and of its texts the one of the smallest hash.
 
-    All columns stay.  Texts without words, and null ids, stay.  Rows that repeat
-    an id count as one document, of which the row with the smallest text stays.
+    All columns stay.  Texts without words, and null ids, stay.  Rows alike in id
+    and text count as one document, of which one row stays; rows that share an id
+    only are documents of their own.
     """
-    found = written(jaccard_join(docs, id_col, text_col, percent), "near-copies").where(F.col(id_col).isNotNull())
+    found = written(near_duplicates(docs, id_col, text_col, percent), "near-copies").where(F.col("id").isNotNull() & F.col("root").isNotNull())
+    stays = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("stays"))
     # as a table its size is known: the few ids of a small one are sent to the texts, not the texts to them
-    gone = written(found.groupBy(id_col).agg(F.min("component_id").alias("low")).where(F.col("low") < F.col(id_col)).select(id_col), "gone")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    gone = written(found.join(stays, "root").where(F.struct("id", "key") != F.col("stays")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    key = F.xxhash64(text_col)
+    kept = docs.join(gone, (F.col(id_col) == F.col("_id")) & (key == F.col("_key")), "left_anti").select(docs.columns)
+    repeated = written(found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key")), "repeated")
     if repeated.limit(1).count() == 0:
         return kept
-    order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    once = kept.join(repeated, id_col, "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(docs.columns)
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(once)
+    same = (F.col(id_col) == F.col("_id")) & (key == F.col("_key"))
+    once = kept.join(repeated, same, "left_semi").withColumn("_text", key).dropDuplicates([id_col, "_text"]).select(docs.columns)
+    return kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)

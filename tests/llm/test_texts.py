@@ -147,12 +147,16 @@ def test_jaccard_join_of_dense_groups(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == wanted
 
 
-def test_one_of_each_group_stays(docs, texts):
+def test_one_of_each_group_stays(spark, docs, texts):
     sets = shingle_sets(texts)
     component = brute_components(texts, sets)
     kept = jaccard_join.without_near_copies(docs).collect()
     wanted = {i for (i, _), c in zip(texts, component, strict=True) if i is None or i == c}
     assert Counter(r.doc_id for r in kept) == Counter(wanted)
+    # rows that share an id only are documents of their own
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "P q r s t u v"), (4, ""), (4, "")]
+    left = jaccard_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text.lower()) for r in left) == Counter([(1, "a b c d e f g"), (1, "p q r s t u v"), (4, ""), (4, "")])
 
 
 def test_small_sets_boundary():
