@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import difflib
 import math
 import random
 import re
@@ -209,6 +210,47 @@ def test_language_model(docs, nothing, texts):
     assert language_model.score(nothing).count() == 0
 
 
+def plain_license(text: str) -> tuple[str, float]:
+    """Labels and best score by aligning every template with every stretch of the text that shares a run of K words with it."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW))
+    words, good = split(text), []
+    for label, template in license_scan.TEMPLATES:
+        wanted, k = split(template), license_scan.K
+        votes = Counter((i - j) for i in range(len(words) - k + 1) for j in range(len(wanted) - k + 1) if words[i : i + k] == wanted[j : j + k])
+        if not votes:
+            continue
+        low, high = max(0, min(votes)), max(votes) + len(wanted)
+        near = words[max(0, low - len(wanted)) : high + len(wanted)]
+        blocks = [b for b in difflib.SequenceMatcher(None, near, wanted, autojunk=False).get_matching_blocks() if b.size]
+        score = sum(b.size for b in blocks) / len(wanted)
+        if score >= license_scan.MIN_SCORE and sum(votes.values()) >= max(1, int(license_scan.MIN_VOTES * (len(wanted) - k + 1))):
+            at = max(0, low - len(wanted))
+            good.append((score, at + blocks[0].a, at + blocks[-1].a + blocks[-1].size, label))
+    best = [g for g in good if not any(h[0] > g[0] and h[1] < g[2] and g[1] < h[2] for h in good)]
+    return ",".join(sorted({g[3] for g in best})), max((g[0] for g in best), default=0.0)
+
+
+def test_license_labels_against_plain_alignment(spark):
+    rnd = random.Random(15)
+    filler = lambda n: " ".join(rnd.choice(["code", "main", "int", "return", "value", "list", "read"]) for _ in range(n))
+    rows = []
+    for i, (_, text) in enumerate(license_scan.TEMPLATES):
+        rows.append((3 * i, f"{filler(9)}\n{text}\n{filler(5)}"))
+        words = text.split()
+        for _ in range(max(1, len(words) // 30)):
+            words[rnd.randrange(len(words))] = "altered"
+        rows.append((3 * i + 1, f"# {filler(2)} " + " ".join(words)))
+        rows.append((3 * i + 2, " ".join(text.split()[: max(3, len(words) // 3)]) + " " + filler(6)))
+    found = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in rows:
+        labels, score = plain_license(text)
+        base = set(filter(None, found[i].base_labels.split(",")))
+        assert set(filter(None, found[i].labels.split(","))) == base | set(filter(None, labels.split(","))), (text, found[i])
+        assert near(found[i].score, score)
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in found[3 * i].labels.split(",") and found[3 * i].score == 1.0
+
+
 def plain_score(text: str | None, counts: Counter, own: list[str], most: int, code, model) -> float:
     """The model's log10 probability of a text, token by token, each softmax written out."""
     ends = {x: len(own) + code(x) % most for x in counts if x not in own}
