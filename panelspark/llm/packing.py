@@ -2,13 +2,17 @@
 
 A piece goes where the sum, over all gaps, of the squared number of open
 sequences with that gap becomes smallest; a full sequence no longer counts.  The
-rule runs over three orders of the pieces, in one of them without opening a
-sequence while another has room, and the packing of fewest sequences is taken.  The
-rule only looks at lengths, of which there are at most ``capacity``, so the plan
-is made from the histogram of lengths.  Beyond ``base_items`` pieces, k pieces of
-one length take each step together, each in one of k sequences alike; what k
-leaves over is planned again with a smaller k, down to single pieces.  So the
-driver's work and the plan's size have a fixed bound, and every piece is placed.
+rule runs over three orders of the pieces, in one of them with a new sequence as a
+choice only where no open one has room, and the packing of fewest sequences is
+taken.
+
+Pieces are dealt to shards of at most ``SHARD_PIECES``, as many of each length to one
+as to the other, and each shard is packed by the rule.  The rule only looks at
+lengths, so shards alike are packed alike and one plan, made from the histogram of
+lengths, serves them all: a slot of the plan takes the pieces of a length that have
+its place in their shards.  What does not divide by the number of shards is dealt
+and packed in the same way over fewer shards, down to one.  So the driver's work and
+the plan's size have a fixed bound, and every piece is placed by the rule.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import types as T
 from .shared import written
 from .token_store import encoded
 
-#: Pieces that one level of the plan places at most, in each of three orders; all levels together place less than twice as many.
-BASE_ITEMS = 1 << 17
+#: Pieces of a shard, at most; the shards of all levels of the plan together have less than twice as many.
+SHARD_PIECES = 1 << 17
 
 
 def place_all(items: np.ndarray, capacity: int, sparing: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -84,7 +88,7 @@ class Plan:
     sequences: int
 
 
-def make_plan(histogram: np.ndarray, capacity: int, base_items: int = BASE_ITEMS) -> Plan:
+def make_plan(histogram: np.ndarray, capacity: int, shard_pieces: int = SHARD_PIECES) -> Plan:
     """Plan for histogram[length] pieces of each length 1..capacity."""
     left = histogram.astype(np.int64).copy()
     rows, base = [], 0
@@ -92,16 +96,16 @@ def make_plan(histogram: np.ndarray, capacity: int, base_items: int = BASE_ITEMS
         rows.append((np.array([capacity]), np.array([left[capacity]]), np.array([0]), np.array([0])))
         base = int(left[capacity])
         left[capacity] = 0
-    step = max(1, -(-int(left.sum()) // base_items))
+    shards = max(1, -(-int(left.sum()) // shard_pieces))
     while left.any():
-        times = left // step
+        times = left // shards  # pieces of each length in a shard
         if times.any():
             items = np.repeat(np.arange(capacity, 0, -1), times[:0:-1])
             items, where, offset, n = place_best(items, capacity)
-            rows.append((items, np.full(len(items), step), base + where * step, offset))
-            base += n * step
-            left -= times * step
-        step = max(1, min(step // 2, -(-int(left.sum()) // base_items)))
+            rows.append((items, np.full(len(items), shards), base + where * shards, offset))
+            base += n * shards
+            left -= times * shards
+        shards = max(1, min(shards // 2, -(-int(left.sum()) // shard_pieces)))
     if not rows:
         rows.append(tuple(np.empty(0, np.int64) for _ in range(4)))
     size, count, sequence, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -147,7 +151,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int |
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", base_items: int = BASE_ITEMS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Packs every document into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: ``doc_id, piece, start, length, ids_crc32,
@@ -164,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in by_part.groupBy("length").agg(F.sum("n")).collect():
         histogram[length] = n
-    plan = docs.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity, base_items))
+    plan = docs.sparkSession.sparkContext.broadcast(make_plan(histogram, capacity, shard_pieces))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))

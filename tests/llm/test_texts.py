@@ -412,3 +412,59 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert not ids & {90, 91, 92, 93, 94}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids
+
+
+def plain_line_dedup(rows: list[tuple]) -> dict:
+    gone = passages_gone([(i, t or "") for i, t in rows], line_dedup.MIN_WORDS)
+    out = {}
+    for i, t in rows:
+        left = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i])
+        if not gone[i] or WORD.search(left):
+            out[i] = left if gone[i] else t
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """run() against brute-force versions of its stages, with nulls, copies, passages, toxic and short documents."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(17)
+    word = lambda: rnd.choice(["lo", "mi", "ra", "te", "su"]) + rnd.choice(["na", "ko", "vi", "du"]) + str(rnd.randint(0, 60))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows: list[tuple] = [(i, "\n".join(line(rnd.randint(4, 14)) for _ in range(rnd.randint(3, 8)))) for i in range(120)]
+    passage = line(60)
+    rows += [(200 + i, f"{line(20)}\n{passage}\n{line(12)}") for i in range(10)]
+    rows += [(300 + i, rows[i][1]) for i in range(6)]  # exact copies
+    for i in range(6):  # near copies on one line, so that no line is shared
+        text = " ".join(rows[10 + i][1].split())
+        rows += [(400 + 2 * i, text + " one more"), (401 + 2 * i, text + " another one")]
+    for i in range(40):  # toxic passages in clean prose
+        words = line(90).split()
+        for j in range(3, 90, 14):
+            words[j] = rnd.choice(["vile", "foul"])
+        rows.append((500 + i, " ".join(words)))
+    rows += [(600, None), (601, ""), (602, "too short"), (603, "again and again " * 12)]
+    labels = [(i, 1, 0) for i in range(100)] + [(500, 1, 1), (None, 1, 0), (7, None, None)]
+
+    def store(folder, rows, labels):
+        spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+
+    store(tmp_path / "some", rows, labels)
+    ratio = plain_ratio(rows, set(range(100)))
+    left = [(i, t) for i, t in rows if not figures(t)[5] and ratio[i] >= quality.THRESHOLD]
+    assert {i for i, _ in rows} - {i for i, _ in left} == {*range(500, 540), *range(600, 604)}
+    left = sorted(plain_line_dedup(left).items())
+    component = brute_components(left, shingle_sets(left))
+    kept = {i: t for (i, t), c in zip(left, component, strict=True) if i == c}
+    ids = {i: [*e.ids, 2] for i, e in zip(kept, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(list(kept.values()), add_special_tokens=False), strict=True)}
+    found = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in found} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+    assert not {r.doc_id for r in found} & {300, 301, 302, 303, 304, 305} and all(400 + 2 * i not in kept or 401 + 2 * i not in kept for i in range(6))
+    # tables without rows, and rows that repeat
+    store(tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    store(tmp_path / "twice", rows[:5] * 2, labels)
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "twice")).collect()) == Counter(range(5))

@@ -206,6 +206,15 @@ def test_plan_places_everything(base):
     assert len(used) == plan.sequences
 
 
+def test_shards_keep_near_the_bound():
+    """Half a million pieces over several shards take hardly more sequences than their tokens fill."""
+    rng = np.random.default_rng(16)
+    sizes = np.clip(rng.lognormal(5.3, 0.9, 500_000).astype(np.int64), 1, 1024)
+    histogram = np.bincount(sizes, minlength=1025)
+    plan = packing.make_plan(histogram, 1024)
+    assert plan.sequences <= 1.002 * -(-int(sizes.sum()) // 1024)
+
+
 def test_sum_of_squares_rule():
     """Each place has the smallest sum of squares of all that were to be had."""
     rng = np.random.default_rng(1)
