@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,15 @@ ENTITIES = {
 #: Patterns of money and of percentages.
 MONEY = r"(?i)\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?"
 PERCENT = r"(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)"
-#: Entities of HTML.
-HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+#: Entities of HTML, in the order in which they are decoded.
+HTML_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
+#: Abbreviations whose period ends no sentence.
+ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Inc", "Corp", "Ltd", "Co", "Jr", "Sr", "vs", "etc", "vol", "no")
+#: Patterns of script and style blocks, tags, links and mail addresses.
+BLOCKS, TAGS, LINKS = r"(?is)<(script|style)[^>]*>.*?</\1>", r"<[^>]+>", (r"https?://\S+", r"www\.\S+")
+MAIL = r"(?<!\S)\S+@\S+\.\S+"
+#: White space as the splitting of fingerprints' words knows it.
+WHITE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 #: Words of the news lexicon.
 POSITIVE = [
     "beat", "beats", "exceeded", "exceeds", "surpass", "outperform", "upgrade", "upgraded", "buy", "bullish", "growth", "profit", "revenue", "record", "high", "surge", "rally", "gain", "gains",
@@ -41,8 +50,7 @@ BASE_NEGATIVE = ["loss", "losses", "miss", "missed", "plunge", "plunged", "decli
 
 def strip_html(x: Column) -> Column:
     """Without script and style blocks; tags become spaces, entities their characters."""
-    x = F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    x = F.regexp_replace(x, r"<[^>]+>", " ")
+    x = F.regexp_replace(F.regexp_replace(x, BLOCKS, ""), TAGS, " ")
     for name, char in HTML_ENTITIES.items():
         x = F.replace(x, F.lit(name), F.lit(char))
     return x
@@ -51,17 +59,18 @@ def strip_html(x: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _decomposed(x: pd.Series) -> pd.Series:
     keep = set("€£¥°±×÷")
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if ord(c) < 128 or c in keep))
+    return x.map(lambda t: None if t is None else t if t.isascii() else "".join(c if ord(c) < 128 or c in keep else " " for c in unicodedata.normalize("NFKD", t)))
 
 
 def ascii_folded(x: Column) -> Column:
-    """Compatibility decomposition without what is not ASCII, but for a few signs."""
+    """Compatibility decomposition; what is not ASCII becomes a space, but for a few signs."""
     return _decomposed(x)
 
 
 def mark_links(x: Column) -> Column:
-    x = F.regexp_replace(x, r"(https?://\S+|www\.\S+)", "<URL>")
-    return F.regexp_replace(x, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<EMAIL>")
+    for pattern in LINKS:
+        x = F.regexp_replace(x, pattern, " <URL> ")
+    return F.regexp_replace(x, MAIL, " <EMAIL> ")
 
 
 def mark_entities(x: Column, entities: dict[str, str] = ENTITIES) -> Column:
@@ -81,18 +90,20 @@ def mark_numbers(x: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"[ \t\n\r\f\v]+", " "))
+    return F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " "))
 
 
-def clean(x: Column, most: int = 2560) -> Column:
-    return F.substring(collapse(mark_numbers(mark_entities(mark_links(strip_html(x))))), 1, most)
+def clean(x: Column, most: int = 2560, entities: dict[str, str] = ENTITIES) -> Column:
+    """The whole cleaning of a text: markup, letters, links, names, numbers, white space, length."""
+    return F.substring(collapse(mark_numbers(mark_entities(mark_links(ascii_folded(strip_html(x))), entities))), 1, most)
 
 
 def sentences(x: Column) -> Column:
-    """Split after . ! or ? and a space, abbreviations protected; sentences of over 10 characters."""
-    x = F.regexp_replace(x, r"\b(Mr|Mrs|Dr|Inc|Ltd|Corp|vs|etc)\.", "$1\u0001")
-    parts = F.split(x, r"(?<=[.!?])[ \n]+")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit(".")))), lambda s: F.length(s) > 10)
+    """Split after . ! or ? and white space, abbreviations protected; sentences of over 10 characters."""
+    x = F.regexp_replace(x, rf"({'|'.join(ABBREVIATIONS)})\.", "$1<DOT>")
+    parts = F.split(x, r"(?<=[.!?])[ \t\n\r\f\x0B]+")
+    trimmed = F.transform(parts, lambda s: F.regexp_replace(F.replace(s, F.lit("<DOT>"), F.lit(".")), r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""))
+    return F.filter(trimmed, lambda s: F.length(s) > 10)
 
 
 def tokens(x: Column) -> Column:
@@ -127,6 +138,11 @@ def net_tone(x: Column, positive: list[str] = BASE_POSITIVE, negative: list[str]
     return F.coalesce((counted(words, positive) - counted(words, negative)) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
 
 
+def day_text(x: Column, order: Column) -> Column:
+    """An aggregate: the texts of a group in order, joined by a period between spaces."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), x.alias("t")))), lambda s: s["t"]), " . ")
+
+
 def vocabulary(words: DataFrame, col: str, least: int, most: int) -> DataFrame:
     """(token, n, id) of the ``most`` - 4 most frequent tokens; ids from 4, ties by the token."""
     counts = words.select(F.explode(col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -135,11 +151,12 @@ def vocabulary(words: DataFrame, col: str, least: int, most: int) -> DataFrame:
 
 
 def encode(words: Column, table: dict[str, int], length: int) -> Column:
-    """Begin (2), ids (1: unknown) and end (3), cut or padded (0) to ``length``."""
+    """Begin (2), ids (1: unknown) and end (3), cut or padded (0) to ``length``; padding alone without words."""
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     ids = F.transform(F.slice(words, 1, length - 2), lambda t: F.coalesce(known[t], F.lit(1)))
     full = F.concat(F.array(F.lit(2)), ids, F.array(F.lit(3)))
-    return F.slice(F.concat(full, F.array_repeat(F.lit(0), length)), 1, length)
+    empty = F.array_repeat(F.lit(0), length)
+    return F.when(F.size(words) == 0, empty).otherwise(F.slice(F.concat(full, empty), 1, length))
 
 
 @lru_cache(maxsize=1 << 18)
@@ -150,9 +167,14 @@ def fnv1a(token: str) -> int:
     return h
 
 
+def print_words(x: Column) -> Column:
+    """Words that vote for a fingerprint: lower case, split at white space."""
+    return F.filter(F.split(F.lower(x), WHITE), lambda t: t != "")
+
+
 @F.pandas_udf(T.LongType())
 def simhash(words: pd.Series) -> pd.Series:
-    """64-bit fingerprint: every token votes with the bits of its hash."""
+    """64-bit fingerprint: every word votes with the bits of its hash; 0 without words."""
 
     def one(tokens) -> int:
         hashes = np.fromiter(map(fnv1a, tokens), dtype="<u8", count=len(tokens))
@@ -162,11 +184,40 @@ def simhash(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
-def near_fingerprints(df: DataFrame, key: str, print_col: str, most: int = 3) -> DataFrame:
-    """(a, b) of keys whose fingerprints differ in at most 3 bits: by the pigeonhole they share one of four 16-bit bands."""
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(print_col, 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)])
-    distinct = df.groupBy(print_col).agg(F.min(key).alias(key))
-    rows = distinct.select(key, print_col, F.explode(bands).alias("band"))
-    a, b = (rows.select(F.col(key).alias(n), F.col(print_col).alias(f"f{n}"), "band") for n in ("a", "b"))
+def near_fingerprints(prints: DataFrame, print_col: str, most: int = 3) -> DataFrame:
+    """(a, b), a < b by ``n``, of distinct fingerprints (print_col, n) that differ in at most ``most`` bits.
+
+    Cut into most + 3 fields, two such fingerprints agree in three fields at least, so
+    they meet under one of the choices of three: keys of half the bits, which hardly
+    any other fingerprints share.
+    """
+    fields = most + 3
+    edges = [64 * i // fields for i in range(fields + 1)]
+    part = lambda i: F.shiftrightunsigned(F.col(print_col), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*(part(i) for i in some)).alias("v")) for k, some in enumerate(combinations(range(fields), 3))])
+    rows = prints.select("n", print_col, F.explode(keys).alias("key"))
+    a, b = (rows.select(F.col("n").alias(x), F.col(print_col).alias(f"f{x}"), "key") for x in ("a", "b"))
     hit = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most
-    return a.join(b, "band").where((F.col("a") < F.col("b")) & hit).select("a", "b").distinct()
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & hit).select("a", "b").distinct()
+
+
+def keep_first(df: DataFrame, key: str, print_col: str, store: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
+    """(key, kept): greedy removal in the order of ``key``; a row goes if a kept row before it is within ``most`` bits.
+
+    Rows of one fingerprint share the fate of their first one, which the others
+    then duplicate.  Among distinct fingerprints a row is kept once all near rows
+    before it are gone, and goes once one of them is kept; all rows are decided at
+    once, in as many rounds as the longest chain of such dependences has rows.
+    ``store`` writes a table and reads it.
+    """
+    first = store(df.groupBy(print_col).agg(F.min(key).alias("n")))
+    near = store(near_fingerprints(first, print_col, most))
+    state = store(first.select("n", F.lit(None).cast("boolean").alias("kept")))
+    while True:
+        before = near.join(state.select(F.col("n").alias("a"), "kept"), "a").groupBy(F.col("b").alias("n")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
+        decided = F.when(F.coalesce("near_kept", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
+        state = store(state.join(before, "n", "left").select("n", F.coalesce("kept", decided).alias("kept")))
+        if state.where("kept IS NULL").limit(1).count() == 0:
+            break
+    fate = first.join(state, "n")
+    return df.join(fate, print_col).select(key, (F.col("kept") & (F.col(key) == F.col("n"))).alias("kept"))

@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import files
 from ..sources.tables import events, table
-from .catalog import query
+from .catalog import ORACLES, query
 
 
-NAMES = "|".join(n.replace(".", r"\.") for n in text.ENTITIES)
+def nested(x: str, steps: list[tuple[str, str]]) -> str:
+    """SQL that replaces patterns in x one after another."""
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return x
+
+
+def decoded(x: str) -> str:
+    for name, char in text.HTML_ENTITIES.items():
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+STRIPPED = decoded(nested("html", [("(?is)<script[^>]*>.*?</script>", ""), ("(?is)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " ")]))
+LINKED = [(r"https?://\S+", " <URL> "), (r"www\.\S+", " <URL> "), (r"\S+@\S+\.\S+", " <EMAIL> ")]
+NUMBERED = [(r"(?i)\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?", " <MONEY> "), (r"(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)", " <PERCENT> "), (r"\b\d{6,}\b", " <BIGNUM> ")]
+NAMED = [(r"\$([A-Z]{1,5})\b", r"<TICKER_\1>"), *((rf"(?i)\b\Q{n}\E\b", f"<TICKER_{text.ENTITIES[n]}>") for n in sorted(text.ENTITIES, key=len, reverse=True))]
+BLANK = r"[ \t\n\r\f\v]+"
 
 
 # X1, X8, U3
-@query(
-    "txt_strip_html",
-    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS body FROM pages""",
-)
+@query("txt_strip_html", f"SELECT page_id, trim({nested(STRIPPED, [(BLANK, ' ')])}) AS body FROM pages")
 def txt_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.collapse(text.strip_html(F.col("html"))).alias("body"))
 
@@ -28,31 +43,45 @@ def txt_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
 
 
-# X3, X4, X5, X6
-@query(
-    "txt_mark",
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://\S+|www\.\S+)', '<URL>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'), '\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?', ' <MONEY> ', 'gi'), '(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)', ' <PERCENT> ', 'g'), '\b\d{6,}\b', ' <BIGNUM> ', 'g') AS marked FROM documents""",
-)
+# X3, X5
+@query("txt_mark", f"SELECT doc_id, {nested('text', [*LINKED, *NUMBERED])} AS marked FROM documents")
 def txt_mark(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.mark_numbers(text.mark_links(F.col("text"))).alias("marked"))
 
 
-@query("txt_entities", r"SELECT doc_id, regexp_replace(text, '\$([A-Z]{1,5})\b', '<TICKER_\1>', 'g') AS marked FROM documents WHERE NOT regexp_matches(text, '(?i)(" + NAMES + r")')")
+#: Sentences that name companies, as the invented texts do not.
+HEADLINES = ["$AAPL and Apple Inc. rise", "bank of america, JPMorgan Chase & Co", "Amazon.com or amazon?", "the S&P 500, nasdaq", "johnson & johnson beat Visa Inc", "pineapple is no Apple"]
+IN_LISTS = "[" + ", ".join(f"'{h}'" for h in HEADLINES) + "]"
+
+
+# All documents, each with a headline before it
+@query("txt_entities", f"SELECT doc_id, {nested('t', NAMED)} AS marked FROM (SELECT doc_id, {IN_LISTS}[doc_id % {len(HEADLINES)} + 1] || ' ' || text AS t FROM documents)")
 def txt_entities(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(~F.col("text").rlike(rf"(?i)({NAMES})")).select("doc_id", text.mark_entities(F.col("text")).alias("marked"))
+    headline = F.element_at(F.array(*map(F.lit, HEADLINES)), (F.col("doc_id") % len(HEADLINES) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", text.mark_entities(F.concat(headline, F.lit(" "), "text")).alias("marked"))
 
 
-# The whole cleaning, with the decomposition that SQL lacks
+# The whole cleaning, of texts in ASCII, whose letters SQL need not decompose
+@query("txt_clean_ascii", f"SELECT page_id, substr(trim({nested(STRIPPED, [*LINKED, *NAMED, *NUMBERED, (BLANK, ' ')])}), 1, 2560) AS cleaned FROM pages WHERE regexp_full_match(html, '[\\x00-\\x7F]*')")
+def txt_clean_ascii(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").where(F.length("html") == F.octet_length("html")).select("page_id", text.clean(F.col("html")).alias("cleaned"))
+
+
+# With the decomposition that SQL lacks
 @query("txt_clean")
 def txt_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.clean(text.ascii_folded(F.col("text"))).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
 
+SENTENCES = f"list_filter(list_transform(string_split({nested('t', [('(' + '|'.join(text.ABBREVIATIONS) + r')\.', r'\1<DOT>'), (r'([.!?])' + BLANK, r'\1' + chr(2))])}, chr(2)), lambda s: trim(replace(s, '<DOT>', '.'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: length(s) > 10)"
 
-# X7
-@query("txt_sentences", r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(2), 'g'), chr(2)), lambda s: length(trim(s)) > 10)) AS n FROM documents WHERE NOT regexp_matches(text, '\b(Mr|Mrs|Dr|Inc|Ltd|Corp|vs|etc)\.')""")
+
+# All documents, each with abbreviations before it
+@query("txt_sentences", f"SELECT doc_id, len(s) AS n, s[1] AS first_one, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {SENTENCES} AS s FROM (SELECT doc_id, 'Mr. Fox vs. Dr. Owl Inc. met Prof. Hare etc. today. ' || text AS t FROM documents))")
 def txt_sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"\b(Mr|Mrs|Dr|Inc|Ltd|Corp|vs|etc)\."))
-    return docs.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
+    found = text.sentences(F.concat(F.lit("Mr. Fox vs. Dr. Owl Inc. met Prof. Hare etc. today. "), "text"))
+    docs = table(spark, d, "documents").select("doc_id", found.alias("s"))
+    return docs.select("doc_id", F.size("s").cast("long").alias("n"), F.element_at("s", 1).alias("first_one"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', '', 'g'), '[^a-z0-9\s.,\-%$]', '', 'g'), '([0-9]+)', ' \1 ', 'g'), '\s+'), lambda t: t <> '')"
@@ -72,6 +101,14 @@ def txt_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return text.vocabulary(docs, "t", 2, 500).select("token", "n", F.col("id").cast("long").alias("id"))
 
 
+# Written as JSON and read back
+@query("txt_vocabulary_file", ORACLES["txt_vocabulary"])
+def txt_vocabulary_file(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "vocabulary")
+    files.write_vocabulary(txt_vocabulary(spark, d), path)
+    return files.read_vocabulary(spark, path)
+
+
 # A fixed table of 16 tokens
 SMALL = {t: i + 4 for i, t in enumerate(["the", "and", "of", "de", "la", "der", "die", "und", "que", "les", "in", "to", "a", "is", "el", "los"])}
 
@@ -85,6 +122,17 @@ def txt_encode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
 
 
+# The texts of a group joined and encoded; padding alone where there are no words
+@query(
+    "txt_day_encode",
+    f"SELECT conv_id, CASE WHEN len(t) = 0 THEN array_to_string(list_transform(range(32), lambda i: 0), ' ') ELSE array_to_string(list_concat(list_concat([2], list_transform(t[1:30], lambda x: coalesce(m[x], 1))), list_concat([3], list_transform(range(32), lambda i: 0)))[1:32], ' ') END AS ids FROM (SELECT conv_id, {TOKENS} AS t, MAP {{{', '.join(f"'{k}': {v}" for k, v in SMALL.items())}}} AS m FROM (SELECT conv_id, string_agg(text, ' . ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id))",
+)
+def txt_day_encode(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(text.day_text(F.col("text"), F.col("turn")).alias("text"))
+    ids = text.encode(text.tokens(F.col("text")), SMALL, 32)
+    return joined.select("conv_id", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
+
+
 def in_list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -126,15 +174,29 @@ def txt_sentiment_by_role(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(tone), 6).alias("mean_score"))
 
 
-# X14, X15, X16, X17, M17
-@query("txt_simhash")
+#: FNV-1a of each distinct word with 128-bit arithmetic, and the words' votes on each bit.
+PRINTS = f"""w AS (SELECT doc_id, t, count(*) AS k FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\v\\f\\r\\x1C-\\x1F \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda t: t <> '')) AS t FROM documents) GROUP BY ALL),
+h AS (SELECT t, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, octet_length(encode(t)) + 1), lambda i: ('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM (SELECT DISTINCT t FROM w)),
+v AS (SELECT doc_id, i, sum(CASE WHEN (h // (1::HUGEINT << i)) % 2 = 1 THEN k ELSE -k END) AS v FROM w JOIN h USING (t), (SELECT unnest(range(64))::INTEGER AS i) GROUP BY ALL),
+p AS (SELECT doc_id, coalesce(f, 0) AS f FROM documents LEFT JOIN (SELECT doc_id, sum(CASE WHEN v > 0 THEN 1::HUGEINT << i ELSE 0 END)::HUGEINT AS f FROM v GROUP BY doc_id) USING (doc_id))"""
+
+
+# X14, X15
+@query("txt_simhash", f"WITH {PRINTS} SELECT doc_id, (CASE WHEN f >= 9223372036854775808::HUGEINT THEN f - 18446744073709551616::HUGEINT ELSE f END)::BIGINT AS print FROM p")
 def txt_simhash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.simhash(text.tokens(F.col("text"))).alias("print"))
+    return table(spark, d, "documents").select("doc_id", text.simhash(text.print_words(F.coalesce("text", F.lit("")))).alias("print"))
 
 
-@query("txt_near_prints")
+# Pairs of distinct fingerprints, by their first documents
+@query("txt_near_prints", f"WITH {PRINTS}, u AS (SELECT f, min(doc_id) AS n FROM p GROUP BY f) SELECT x.n AS a, y.n AS b FROM u x JOIN u y ON x.n < y.n AND bit_count(xor(x.f, y.f)) <= 3")
 def txt_near_prints(spark: SparkSession, d: str) -> DataFrame:
-    return text.near_fingerprints(txt_simhash(spark, d), "doc_id", "print")
+    return text.near_fingerprints(txt_simhash(spark, d).groupBy("print").agg(F.min("doc_id").alias("n")), "print")
+
+
+# Greedy, the first of near documents stays; tested against the loop
+@query("txt_keep_first")
+def txt_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return text.keep_first(files.stored(txt_simhash(spark, d)), "doc_id", "print", files.stored)
 
 
 # Literals of SQL text

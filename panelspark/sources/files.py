@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,34 @@ def factors_csv(spark: SparkSession, path: str, date_column: str = "date") -> Da
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; a temporary one in a local session without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="panelspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows of df as a table in a scratch folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_vocabulary(df: DataFrame, path: str) -> None:
+    """A vocabulary (token, n, id) as JSON, one file: its size has a bound."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("token string, n long, id long").json(path)
+
+
 def cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
     """Reads the table at ``path``; builds and writes it if it is not there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
