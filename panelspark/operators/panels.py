@@ -79,10 +79,17 @@ def interval_join(news: DataFrame, dates: DataFrame, lookback_hours: int, min_la
 
 
 def membership(changes: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(ticker, session) for every session from an add up to the day before the next removal."""
+    """(ticker, session) for every session from an add up to the day before the next removal.
+
+    A spell asks for its days, so the join with the sessions is an equi-join; an
+    open spell ends after the last session.
+    """
     order = Window.partitionBy("ticker").orderBy("effective_date", "prio")
-    spells = changes.withColumn("until", F.lead("effective_date").over(order)).where("action = 'add'")
-    return sessions.join(spells, (F.col("session") >= F.col("effective_date")) & (F.col("until").isNull() | (F.col("session") < F.col("until")))).select("ticker", "session").distinct()
+    ends = sessions.agg(F.date_add(F.max("session"), 1).alias("_end"))  # one row
+    spells = changes.withColumn("until", F.lead("effective_date").over(order)).where("action = 'add'").crossJoin(F.broadcast(ends))
+    last = F.date_sub(F.least(F.coalesce("until", "_end"), "_end"), 1)
+    days = spells.where(last >= F.col("effective_date")).select("ticker", F.explode(F.sequence("effective_date", last)).alias("session"))
+    return days.join(sessions.select("session").distinct(), "session").select("ticker", "session").distinct()
 
 
 # -- labels -----------------------------------------------------------------
@@ -147,12 +154,22 @@ def walk_forward(dates: DataFrame, horizon: int, embargo_pct: float, train: int,
     )
 
 
-def concurrency(df: DataFrame) -> DataFrame:
-    """(pos, conc): labels alive at each position; labels live from pos to t1.  Events, not a join of intervals."""
-    events = df.where("t1 IS NOT NULL").select(F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("t1") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    steps = events.groupBy(F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    every = df.select("pos").join(steps, "pos", "left")
-    return every.select("pos", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("conc"))
+def concurrency(df: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, pos, conc): labels of the key alive at each position; labels live from pos to t1.  Events, not a join of intervals."""
+    events = df.where("t1 IS NOT NULL").select(key, F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("t1") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
+    steps = events.groupBy(key, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+    every = df.select(key, "pos").join(steps, [key, "pos"], "left")
+    alive = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return every.select(key, "pos", alive.alias("conc"))
+
+
+def uniqueness(df: DataFrame, key: str = "ticker") -> DataFrame:
+    """(key, pos, uniq): the mean of 1 / concurrency over each label's life, from running sums."""
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sums = concurrency(df, key).select(key, "pos", F.sum(1.0 / F.nullif("conc", F.lit(0))).over(w).alias("s"))
+    at = df.where("t1 IS NOT NULL").select(key, "pos", "t1").join(sums.select(key, F.col("pos").alias("t1"), F.col("s").alias("hi")), [key, "t1"])
+    at = at.join(sums.select(key, (F.col("pos") + 1).alias("pos"), F.col("s").alias("lo")), [key, "pos"], "left")
+    return at.select(key, "pos", ((F.col("hi") - F.coalesce("lo", F.lit(0.0))) / (F.col("t1") - F.col("pos") + 1)).alias("uniq"))
 
 
 def liquidity_universe(df: DataFrame, window: int, min_periods: int, floor: float, top: int) -> DataFrame:

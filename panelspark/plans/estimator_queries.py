@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..operators import indicators as ind
 from ..sources.tables import bars
 from .catalog import query
 from .metric_queries import market, predictions
+from .window_queries import lives
 
 
 # T17, T18
@@ -38,19 +38,7 @@ def est_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
 # SP8
 @query("est_sequential_bootstrap")
 def est_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    n = 60
-    t1 = np.minimum(np.arange(n) + 5, n - 1)
-    return spark.createDataFrame([(i, int(p)) for i, p in enumerate(est.sequential_bootstrap(t1, n, 3))], "draw int, pos int")
-
-
-# T8
-@query("est_overfitting")
-def est_overfitting(spark: SparkSession, d: str) -> DataFrame:
-    r = ind.with_returns(bars(spark, d)).where("ret IS NOT NULL")
-    # one column for each of at most 25 nations, one row a week
-    wide = r.groupBy("date").pivot("ticker", list(range(25))).agg(F.first("ret")).orderBy("date").toPandas().drop(columns="date").fillna(0.0)
-    p, splits = est.overfitting_probability(wide.to_numpy(float), 10)
-    return spark.createDataFrame([(float(p), splits)], "pbo double, splits int")
+    return est.sequential_bootstraps(lives(spark, d), "ticker", 40, 3)
 
 
 # T10 to T15

@@ -16,7 +16,7 @@ from ..streaming import candles
 from .catalog import query
 from .metric_queries import MARKET, PRED, YHAT, market, predictions
 from .relational_queries import sql
-from .window_queries import RET, roll, rounded, with_bars
+from .window_queries import RET, W, roll, rounded, with_bars
 
 
 # The first names of each market, in their order
@@ -54,21 +54,49 @@ def agg_key_values(spark: SparkSession, d: str) -> DataFrame:
     return one.select(F.expr("stack(3, 'mean', mean, 'sd', sd, 'n', n) AS (key, value)"))
 
 
-# The suite of unseeded indicators, complete rows only
+def recursion(columns: dict[str, tuple[str, float, int]]) -> str:
+    """CTE e(ticker, pos, ...) that carries all unseeded means at once: {out: (input of x, alpha, first position)}."""
+    start = ", ".join(f"CASE WHEN {first} = 1 THEN {x} END AS {out}" for out, (x, _, first) in columns.items())
+    step = ", ".join(f"CASE WHEN x.pos < {first} THEN NULL WHEN x.pos = {first} THEN x.{c} ELSE e.{out} + {alpha!r} * (x.{c} - e.{out}) END" for out, (c, alpha, first) in columns.items())
+    return f"e AS (SELECT ticker, pos, {start} FROM x WHERE pos = 1 UNION ALL SELECT x.ticker, x.pos, {step} FROM e JOIN x ON x.ticker = e.ticker AND x.pos = e.pos + 1)"
+
+
+def mean_sql(x: str, n: int, fn: str = "avg") -> str:
+    return f"CASE WHEN count({x}) OVER {roll(n)} >= {n} THEN {fn}({x}) OVER {roll(n)} END"
+
+
+SUITE_STEPS = {f"ema_{n}": ("close", 2 / (n + 1), 1) for n in (5, 10, 12, 20, 26, 50, 200)} | {f"{g}_{n}": (g, 1 / n, 2) for n in (14, 21) for g in ("gain", "loss")} | {"atr_14": ("tr", 1 / 14, 1)}
+SUITE_SUMS = {f"sma_{n}": mean_sql("close", n) for n in (5, 10, 20, 50, 200)}
+SUITE = {
+    "rsi_14": "coalesce(100 - 100 / (1 + gain_14 / nullif(loss_14, 0)), 50)", "rsi_21": "coalesce(100 - 100 / (1 + gain_21 / nullif(loss_21, 0)), 50)", "macd": "ema_12 - ema_26", "macd_signal": "sig", "macd_hist": "ema_12 - ema_26 - sig",
+    "bb_mid": "sma_20", "bb_upper": "sma_20 + 2 * sd", "bb_lower": "sma_20 - 2 * sd", "bb_width": "4 * sd / nullif(sma_20, 0)", "bb_position": "(close - (sma_20 - 2 * sd)) / nullif(4 * sd, 0)", "atr_14": "atr_14", "obv": "obv", "vwap": "vwap",
+    "volume_sma_20": "volume_sma_20", "volume_ratio": "volume / nullif(volume_sma_20, 0)", **{f"{k}_{n}": f"{k}_{n}" for n in (5, 10, 20, 50, 200) for k in ("ema", "sma")},
+    "price_vs_sma50": "(close - sma_50) / nullif(sma_50, 0)", "price_vs_sma200": "(close - sma_200) / nullif(sma_200, 0)", "golden_cross": "coalesce(sma_50 > sma_200, false)::INT", "doji": "doji", "hammer": "hammer", "engulfing": "engulfing",
+    "log_return": "log_return", "volatility_20": "vol * sqrt(252)", "stoch_k": "stoch_k", "stoch_d": "stoch_d",
+}
+FLAGS = ("golden_cross", "doji", "hammer", "engulfing")
+
+
+# The suite of the price branch, complete rows only
 @query(
     "win_suite_complete",
-    with_bars(
-        "SELECT ticker, date, round(s5, 6) AS s5, round(s20, 6) AS s20, round(v, 6) AS v FROM x WHERE s5 IS NOT NULL AND s20 IS NOT NULL AND v IS NOT NULL",
-        RET,
-        f"x AS (SELECT ticker, date, CASE WHEN count(close) OVER {roll(5)} >= 5 THEN avg(close) OVER {roll(5)} END AS s5, CASE WHEN count(close) OVER {roll(20)} >= 20 THEN avg(close) OVER {roll(20)} END AS s20, CASE WHEN count(ret) OVER {roll(20)} >= 20 THEN stddev_samp(ret) OVER {roll(20)} END AS v FROM r)",
-    ),
+    "WITH RECURSIVE "
+    + with_bars(
+        f"SELECT * FROM (SELECT ticker, date, {', '.join(f'{x} AS {c}' if c in FLAGS else f'round({x}, 6) AS {c}' for c, x in SUITE.items())} FROM y JOIN e USING (ticker, pos) JOIN g USING (ticker, pos)) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SUITE)}",
+        f"b AS (SELECT *, row_number() OVER {W} AS pos, lag(close) OVER {W} AS c0, lag(open) OVER {W} AS o0 FROM bars)",
+        "x AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN greatest(close - c0, 0) END AS gain, CASE WHEN c0 IS NOT NULL THEN greatest(c0 - close, 0) END AS loss, greatest(high - low, abs(high - c0), abs(low - c0)) AS tr, ln(close / c0) AS log_return FROM b)",
+        recursion(SUITE_STEPS),
+        "k AS (SELECT ticker, pos, ema_12 - ema_26 AS v FROM e)",
+        "g AS (SELECT ticker, pos, v AS sig FROM k WHERE pos = 1 UNION ALL SELECT k.ticker, k.pos, g.sig + 0.2 * (k.v - g.sig) FROM g JOIN k ON k.ticker = g.ticker AND k.pos = g.pos + 1)",
+        f"""z AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in SUITE_SUMS.items())}, {mean_sql('close', 20, 'stddev_samp')} AS sd, {mean_sql('volume', 20)} AS volume_sma_20, {mean_sql('log_return', 20, 'stddev_samp')} AS vol,
+  sum(CASE WHEN close - c0 >= 0 THEN volume ELSE -volume END) OVER {W} AS obv, sum((high + low + close) / 3 * volume) OVER {W} / nullif(sum(volume) OVER {W}, 0) AS vwap,
+  100 * (close - {mean_sql('low', 14, 'min')}) / ({mean_sql('high', 14, 'max')} - {mean_sql('low', 14, 'min')} + 1e-10) AS stoch_k,
+  (abs(close - open) / (high - low + 1e-10) < 0.1)::INT AS doji, (least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) < abs(close - open))::INT AS hammer, coalesce(close > open AND c0 < o0 AND close > o0 AND open < c0, false)::INT AS engulfing FROM x)""",
+        f"y AS (SELECT *, {mean_sql('stoch_k', 3)} AS stoch_d FROM z)",
+    )[len("WITH ") :],
 )
 def win_suite_complete(spark: SparkSession, d: str) -> DataFrame:
-    df = ind.with_returns(bars(spark, d))
-    c = F.col("close")
-    w = by_ticker().rowsBetween(-19, 0)
-    df = df.withColumns({"s5": ind.sma(c, 5), "s20": ind.sma(c, 20), "v": F.when(F.count("ret").over(w) >= 20, F.stddev_samp("ret").over(w))})
-    return rounded(df.na.drop(subset=["s5", "s20", "v"]), "s5", "s20", "v")
+    return rounded(ind.suite(bars(spark, d)), *SUITE)
 
 
 # Batches of whole dates in an order by hash

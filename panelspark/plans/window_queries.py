@@ -382,34 +382,31 @@ def lbl_triple_barrier(spark: SparkSession, d: str) -> DataFrame:
 
 
 # On the positions of one ticker
-@query(
-    "lbl_concurrency",
-    with_bars(
-        """SELECT x.pos, count(y.pos) AS conc FROM x LEFT JOIN x y ON y.t1 IS NOT NULL AND y.pos <= x.pos AND x.pos <= y.t1 GROUP BY x.pos""",
-        "x AS (SELECT pos, CASE WHEN pos + 5 <= n - 1 THEN pos + 5 END AS t1 FROM (SELECT row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM bars WHERE ticker = 0))",
-    ),
-)
+LIVES = "x AS (SELECT ticker, pos, CASE WHEN pos + 5 <= n - 1 THEN pos + 5 END AS t1 FROM (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM bars))"
+ALIVE = "c AS (SELECT x.ticker, x.pos, count(y.pos) AS conc FROM x LEFT JOIN x y ON y.ticker = x.ticker AND y.t1 IS NOT NULL AND y.pos <= x.pos AND x.pos <= y.t1 GROUP BY ALL)"
+
+
+def lives(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of five bars of every name; null where the bars end before."""
+    pos = bars(spark, d).select("ticker", (F.row_number().over(by_ticker()) - 1).cast("long").alias("pos"), F.count(F.lit(1)).over(Window.partitionBy("ticker")).alias("n"))
+    return pos.select("ticker", "pos", F.when(F.col("pos") + 5 <= F.col("n") - 1, F.col("pos") + 5).alias("t1"))
+
+
+@query("lbl_concurrency", with_bars("SELECT ticker, pos, conc FROM c", LIVES, ALIVE))
 def lbl_concurrency(spark: SparkSession, d: str) -> DataFrame:
-    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(by_ticker()) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
-    return panels.concurrency(one.select("pos", F.when(F.col("pos") + 5 <= F.col("n") - 1, F.col("pos") + 5).alias("t1"))).select("pos", F.col("conc").cast("long").alias("conc"))
+    return panels.concurrency(lives(spark, d)).select("ticker", "pos", F.col("conc").cast("long").alias("conc"))
 
 
-# W46, W47, A38
-@query(
-    "lbl_uniqueness",
-    with_bars(
-        "SELECT x.pos, round(avg(1.0 / c.conc), 6) AS uniq FROM x JOIN c ON c.pos BETWEEN x.pos AND x.t1 GROUP BY x.pos",
-        "x AS (SELECT pos, CASE WHEN pos + 5 <= n - 1 THEN pos + 5 END AS t1 FROM (SELECT row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM bars WHERE ticker = 0))",
-        "c AS (SELECT x.pos, count(y.pos) AS conc FROM x JOIN x y ON y.t1 IS NOT NULL AND y.pos <= x.pos AND x.pos <= y.t1 GROUP BY x.pos)",
-    ),
-)
+# W46, W47
+@query("lbl_uniqueness", with_bars("SELECT x.ticker, x.pos, round(avg(1.0 / c.conc), 6) AS uniq FROM x JOIN c ON c.ticker = x.ticker AND c.pos BETWEEN x.pos AND x.t1 GROUP BY ALL", LIVES, ALIVE))
 def lbl_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    one = bars(spark, d).where("ticker = 0").withColumn("pos", (F.row_number().over(by_ticker()) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker")))
-    live = one.select("pos", F.when(F.col("pos") + 5 <= F.col("n") - 1, F.col("pos") + 5).alias("t1"))
-    prefix = panels.concurrency(live).select("pos", F.sum(1.0 / F.nullif("conc", F.lit(0))).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    at = live.where("t1 IS NOT NULL").join(prefix.select(F.col("pos").alias("t1"), F.col("s").alias("hi")), "t1")
-    at = at.join(prefix.select((F.col("pos") + 1).alias("pos"), F.col("s").alias("lo")), "pos", "left")
-    return at.select("pos", F.round((F.col("hi") - F.coalesce("lo", F.lit(0.0))) / (F.col("t1") - F.col("pos") + 1), 6).alias("uniq"))
+    return panels.uniqueness(lives(spark, d)).select("ticker", "pos", F.round("uniq", 6).alias("uniq"))
+
+
+# A38
+@query("agg_effective_size", with_bars("SELECT ticker, count(*) AS labels, round(sum(u), 6) AS effective FROM (SELECT x.ticker, x.pos, avg(1.0 / c.conc) AS u FROM x JOIN c ON c.ticker = x.ticker AND c.pos BETWEEN x.pos AND x.t1 GROUP BY ALL) GROUP BY ticker", LIVES, ALIVE))
+def agg_effective_size(spark: SparkSession, d: str) -> DataFrame:
+    return panels.uniqueness(lives(spark, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("labels"), F.round(F.sum("uniq"), 6).alias("effective"))
 
 
 # W33, DM5

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.operators import inference
 from panelspark.operators import estimators as est
 from panelspark.sources import files
 
@@ -36,13 +38,64 @@ def test_sequential_bootstrap_prefers_unique_labels():
     assert np.mean([d >= 10 for d in draws]) > 3 / 13
 
 
-def test_overfitting_of_noise_and_of_skill():
+def test_overfitting_of_noise_and_of_skill(spark):
     rng = np.random.default_rng(3)
-    noise = rng.normal(size=(400, 10))
-    skill = noise + np.array([0.5] + [0.0] * 9)
-    p, splits = est.overfitting_probability(noise, 6)
-    assert splits == 20 and p > 0.1
-    assert est.overfitting_probability(skill, 6)[0] == 0
+    noise = rng.normal(size=(200, 8))
+
+    def plain(x, blocks):
+        group = ((np.arange(len(x)) + 1) * blocks - 1) // len(x)
+        sharpe = lambda r: r.mean(axis=0) / r.std(axis=0, ddof=1)
+        below = []
+        for chosen in itertools.combinations(range(blocks), blocks // 2):
+            inside = np.isin(group, chosen)
+            out = sharpe(x[~inside])
+            below.append(((out < out[sharpe(x[inside]).argmax()]).sum() + 1) / (x.shape[1] + 1) <= 0.5)
+        return np.mean(below), len(below)
+
+    for x in (noise, noise + np.array([0.6] + [0.0] * 7)):
+        rows = [(i, j, float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+        found = inference.overfitting_probability(spark.createDataFrame(rows, "date int, s int, ret double"), "date", "s", "ret", 6).first()
+        assert (found.pbo, found.splits) == pytest.approx(plain(x, 6)) and found.strategies == 8 and found.periods == 200
+
+
+def test_resamples_are_blocks(spark):
+    rows = inference.stationary_draws(spark, 50, 100, 10.0).groupBy("resample").agg({"times": "sum", "pos": "max"}).collect()
+    assert len(rows) == 50 and all(r["sum(times)"] == 100 and r["max(pos)"] < 100 for r in rows)
+
+
+def test_tests_of_many_models(spark):
+    """A model that is better by far is found, noise alone is not."""
+    rng = np.random.default_rng(5)
+    for lift, low in ((0.5, True), (0.0, False)):
+        f = rng.normal(size=(120, 6)) + np.array([lift] + [0.0] * 5)
+        rows = [(i, j, float(v)) for i, r in enumerate(f) for j, v in enumerate(r)]
+        df = spark.createDataFrame(rows, "date int, model int, f double")
+        for studentised in (False, True):
+            out = inference.best_of_many(df, "date", "model", "f", 100, 5.0, studentised).first()
+            assert (out.p_value < 0.05) == low and out.n_models == 6 and out.n_periods == 120
+            assert out.best_model == 0 if low else True
+
+
+def test_signal_backtest_passes_over_what_costs_too_much():
+    money, taken = est.signal_backtest(np.array([10.0, 10.0, 10.0]), np.array([11.0, 9.0, 12.0]), np.array([5.0, 50.0, 5.0]), np.array([1.0, 1.0, -1.0]), 100.0, 0.0, 0.0)
+    assert taken.tolist() == [True, False, True] and money.tolist() == [105.0, 105.0, 95.0]
+
+
+def test_portfolios_reach_their_aims():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)) * [1, 2, 1, 3, 1] + [0.2, 0.1, 0.0, 0.3, 0.05]
+    mu, cov = x.mean(axis=0), np.cov(x.T)
+    some = rng.dirichlet(np.ones(5), 4000)
+    shortfall = lambda w: -np.sort(x @ w)[:15].mean()
+    assert shortfall(est.least_shortfall(x)) <= min(map(shortfall, some)) + 0.02
+    sharpe = lambda w: mu @ w / np.sqrt(w @ cov @ w)
+    assert sharpe(est.maximum_sharpe(mu, cov)) >= max(map(sharpe, some)) - 0.01
+    w = est.mean_variance(mu, cov, cap=0.4, leverage=1.0)
+    gain = lambda w: mu @ w - 2.5 * w @ cov @ w
+    others = [est.project(v, 0.4, 1.0) for v in rng.normal(size=(4000, 5)) / 5]
+    assert abs(w.sum()) < 1e-9 and np.abs(w).max() <= 0.4 + 1e-9 and gain(w) >= max(map(gain, others)) - 1e-3
+    held = est.mean_variance(mu, cov, turnover=10.0, before=np.array([0.1, -0.1, 0.0, 0.0, 0.0]))
+    assert np.allclose(held, [0.1, -0.1, 0, 0, 0])
 
 
 def test_portfolios():
