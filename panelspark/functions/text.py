@@ -210,8 +210,8 @@ def keep_first(df: DataFrame, key: str, print_col: str, store: Callable[[DataFra
     once, in as many rounds as the longest chain of such dependences has rows.
     ``store`` writes a table and reads it.
     """
-    first = store(df.groupBy(print_col).agg(F.min(key).alias("n")))
-    near = store(near_fingerprints(first, print_col, most))
+    first = store(df.groupBy(F.col(print_col).alias("_print")).agg(F.min(key).alias("n")))
+    near = store(near_fingerprints(first, "_print", most))
     state = store(first.select("n", F.lit(None).cast("boolean").alias("kept")))
     while True:
         before = near.join(state.select(F.col("n").alias("a"), "kept"), "a").groupBy(F.col("b").alias("n")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
@@ -219,5 +219,5 @@ def keep_first(df: DataFrame, key: str, print_col: str, store: Callable[[DataFra
         state = store(state.join(before, "n", "left").select("n", F.coalesce("kept", decided).alias("kept")))
         if state.where("kept IS NULL").limit(1).count() == 0:
             break
-    fate = first.join(state, "n")
-    return df.join(fate, print_col).select(key, (F.col("kept") & (F.col(key) == F.col("n"))).alias("kept"))
+    fate = first.join(state, "n").select("_print", F.col("n").alias("_n"), F.col("kept").alias("_kept"))
+    return df.select(key, F.col(print_col).alias("_print")).join(fate, "_print").select(key, (F.col("_kept") & (F.col(key) == F.col("_n"))).alias("kept"))

@@ -92,6 +92,14 @@ def membership(changes: DataFrame, sessions: DataFrame) -> DataFrame:
     return days.join(sessions.select("session").distinct(), "session").select("ticker", "session").distinct()
 
 
+def assert_no_lookahead(df: DataFrame, published: str, open_ts: str, min_lag_hours: float) -> DataFrame:
+    """The rows, unless one of them was published later than ``min_lag_hours`` before its session opens: then an error names it."""
+    lag = (F.unix_micros(open_ts) - F.unix_micros(published)) / 3.6e9
+    told = F.raise_error(F.concat(F.lit("a row looks ahead: published "), F.col(published).cast("string"), F.lit(", session opens "), F.col(open_ts).cast("string")))
+    # the check is part of a column that is returned, so that no plan leaves it out
+    return df.withColumn(open_ts, F.when(lag < min_lag_hours - 1e-9, told.cast("timestamp")).otherwise(F.col(open_ts))).where(F.col(open_ts).isNotNull())
+
+
 # -- labels -----------------------------------------------------------------
 
 def forward_return(h: int) -> Column:

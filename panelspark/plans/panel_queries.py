@@ -22,13 +22,6 @@ def scan_by_file(spark: SparkSession, d: str) -> DataFrame:
     return one("nation", "n_nationkey").unionByName(one("region", "r_regionkey")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Rows that would look ahead; none may be there
-@query("flt_lookahead_rows", "SELECT count(*) AS bad FROM events a JOIN events b ON a.event_id = b.event_id WHERE a.ts > b.ts")
-def flt_lookahead_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).select("event_id", "ts")
-    return e.join(e.withColumnRenamed("ts", "later"), "event_id").where("ts > later").agg(F.count(F.lit(1)).alias("bad"))
-
-
 # Positions of dates, warm-up dropped
 @query("flt_warm_up", with_bars("SELECT ticker, date, round(close, 6) AS close FROM bars JOIN (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM bars)) USING (date) WHERE pos >= 60"))
 def flt_warm_up(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from panelspark.functions import finance, recursive, text
 from panelspark.functions.rolling import cross_sectional_rank
+from panelspark.sources import files
 from panelspark.operators import metrics, panels
 from panelspark.plans import catalog
 from panelspark.schema import require_columns
@@ -119,13 +120,43 @@ def test_clean_text(spark):
     assert df.select(text.clean(F.col("t"))).first()[0] == "<TICKER_AAPL> & <TICKER_TSLA> rose <PERCENT> to <MONEY> , see <URL> or <EMAIL> <BIGNUM>"
 
 
+def prints_of(rng) -> list[int]:
+    """Fingerprints around a few centres, some equal."""
+    out = []
+    for _ in range(12):
+        base = int(rng.integers(0, 2**62))
+        out += [base, base] + [base ^ sum(1 << int(b) for b in rng.choice(62, size=k, replace=False)) for k in (1, 1, 2, 2, 3, 3, 4, 5)]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
 def test_near_fingerprints_are_complete(spark):
-    rng = np.random.default_rng(3)
-    base = int(rng.integers(0, 2**62))
-    prints = [base] + [base ^ sum(1 << int(b) for b in rng.choice(62, size=k, replace=False)) for k in (1, 2, 3, 4, 5)]
-    df = spark.createDataFrame(list(enumerate(prints)), "id int, p long")
-    found = {(r.a, r.b) for r in text.near_fingerprints(df, "id", "p").collect()}
-    assert found == {(i, j) for i in range(6) for j in range(i + 1, 6) if bin(prints[i] ^ prints[j]).count("1") <= 3}
+    prints = list(dict.fromkeys(prints_of(np.random.default_rng(3))))
+    df = spark.createDataFrame(list(enumerate(prints)), "n int, p long")
+    found = {(r.a, r.b) for r in text.near_fingerprints(df, "p").collect()}
+    assert found == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if bin(prints[i] ^ prints[j]).count("1") <= 3}
+
+
+def test_greedy_removal_keeps_the_first(spark):
+    prints, kept = prints_of(np.random.default_rng(4)), []
+    for i, p in enumerate(prints):
+        if all(bin(p ^ prints[k]).count("1") > 3 for k in kept):
+            kept.append(i)
+    df = spark.createDataFrame(list(enumerate(prints)), "n int, p long")
+    found = text.keep_first(df, "n", "p", files.stored)
+    assert sorted(r.n for r in found.where("kept").collect()) == kept and found.count() == len(prints)
+
+
+def test_cleaning_in_order(spark):
+    rows = [("<p>Apple&nbsp;Inc &amp;lt; caf\u00e9 a@b.co www.x.y</p><script>x</script>",), ("Visa Inc \u20ac5 $1.2 million 3.5% 1234567",)]
+    found = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.clean(F.col("t"))).collect()]
+    assert found == ["<TICKER_AAPL> < cafe <EMAIL> <URL>", "<TICKER_V> \u20ac5 <MONEY> <PERCENT> <BIGNUM>"]
+
+
+def test_look_ahead_raises(spark):
+    df = spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS published_at, TIMESTAMP'2024-01-02 09:30:00' AS open_ts")
+    assert panels.assert_no_lookahead(df, "published_at", "open_ts", 24).count() == 1
+    with pytest.raises(Exception, match="looks ahead"):
+        panels.assert_no_lookahead(df, "published_at", "open_ts", 48).collect()
 
 
 def test_simhash_votes(spark):

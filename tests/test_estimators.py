@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import inference
+from panelspark.operators import inference, panels, walkforward
 from panelspark.operators import estimators as est
 from panelspark.sources import files
 
@@ -147,3 +147,33 @@ def test_factor_files(spark, tmp_path):
         files.factors_csv(spark, str(tmp_path / "g.csv"))
     (tmp_path / "s.txt").write_text("Symbol|Name\nA|x\nA|x\nFile Creation Time: 1|\n")
     assert [r.Symbol for r in files.symbols(spark, str(tmp_path / "s.txt")).collect()] == ["A"]
+
+
+def test_walk_forward_study(spark):
+    """A feature that tells the class is found in every fold; no model sees a row of its later blocks."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for t in range(160):
+        for k in range(6):
+            y = int(rng.integers(0, 3))
+            rows.append((t, k, float(y - 1 + rng.normal() * 0.8), float(rng.normal()), float((y - 1) * 0.01), y))
+    panel = spark.createDataFrame(rows, "date int, ticker int, f1 double, f2 double, fwd_ret double, y int")
+    folds = panels.walk_forward(panel.select("date").distinct(), 3, 0.01, 60, 20, 20)
+    bounds = {r.fold: r for r in folds.collect()}
+
+    def checked(inner):
+        def fit(train, val, test, seed, fold):
+            b = bounds[fold]
+            assert train["date"].max() < b.train_hi <= b.val_lo - 3 and val["date"].min() >= b.val_lo and val["date"].max() < b.val_hi <= b.test_lo - 3 and test["date"].min() == b.test_lo
+            return inner(train, val, test, seed, fold)
+
+        return fit
+
+    for model in (walkforward.logistic_model(["f1", "f2"]), walkforward.stump_model(["f1", "f2"]), walkforward.share_model("f1")):
+        result = walkforward.study(panel, folds, checked(model), [0, 1])
+        found = walkforward.fold_metrics(result).collect()
+        assert {(r.fold, r.seed) for r in found} == {(f, s) for f in bounds for s in (0, 1)}
+        assert np.mean([r.accuracy for r in found]) > 0.5 and np.mean([r.ic for r in found]) > 0.4
+        assert np.mean([r.nll for r in found]) < np.log(3)
+        covered = result.selectExpr("avg(cast(set_size = 3 OR p_down + p_neutral + p_up BETWEEN 0.999 AND 1.001 AS double)) AS c").first().c
+        assert covered == 1.0
