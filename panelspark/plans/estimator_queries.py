@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rolling import lag, lead
 from ..operators import estimators as est
 from ..operators import indicators as ind
+from ..operators import inference
 from ..sources.tables import bars
 from .catalog import query
-from .metric_queries import market, predictions
-from .window_queries import lives
+from .inference_queries import BLOCK, RESAMPLES, draws_sql
+from .metric_queries import MARKET, PRED, market, predictions
+from .relational_queries import sql
+from .window_queries import lives, with_bars
+
+
+LOGITS = "pz AS (SELECT doc_id % 4 AS fold, ln(p0) AS z0, ln(p1) AS z1, ln(p2) AS z2, y, greatest(ln(p0), ln(p1), ln(p2)) AS h, CASE y WHEN 0 THEN ln(p0) WHEN 1 THEN ln(p1) ELSE ln(p2) END AS own FROM pred)"
+
+
+def passes_sql(points: int = 24, passes: int = 4) -> list[str]:
+    """CTEs t0 to t4: the best temperature so far of each fold, closer in each pass."""
+    middle, width = (math.log(0.05) + math.log(20.0)) / 2, (math.log(20.0) - math.log(0.05)) / 2
+    out = [f"t0 AS (SELECT DISTINCT fold, {middle!r} AS m FROM pz)"]
+    for k in range(passes):
+        steps = ", ".join(repr(float(s)) for s in np.linspace(-width, width, points))
+        out.append(
+            f"t{k + 1} AS (SELECT fold, any_value(m) + arg_min(s, loss) AS m, any_value(n) AS n FROM (SELECT fold, m, s, count(*) AS n, sum(ln(exp((z0 - h) * t) + exp((z1 - h) * t) + exp((z2 - h) * t)) - (own - h) * t) AS loss FROM (SELECT pz.*, m, s, exp(-(m + s)) AS t FROM pz JOIN t{k} USING (fold), (SELECT unnest([{steps}])::DOUBLE AS s)) GROUP BY fold, m, s) GROUP BY fold)"
+        )
+        width = 2 * width / (points - 1)
+    return out
 
 
 # T17, T18
-@query("est_temperature")
+@query("est_temperature", sql("SELECT fold, round(exp(m), 4) AS temperature, n FROM t4", PRED, LOGITS, *passes_sql()))
 def est_temperature(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d).select((F.col("doc_id") % 4).alias("fold"), *[F.log(f"p{i}").alias(f"z{i}") for i in range(3)], "y")
-    return est.temperatures(p, "fold", ["z0", "z1", "z2"], "y")
+    return est.temperatures(p, "fold", ["z0", "z1", "z2"], "y").withColumn("temperature", F.round("temperature", 4))
 
 
 # ST14
@@ -29,10 +51,19 @@ def est_online_conformal(spark: SparkSession, d: str) -> DataFrame:
 
 
 # T4, SP9
-@query("est_bootstrap_interval")
+@query(
+    "est_bootstrap_interval",
+    with_bars(
+        "SELECT round(quantile_cont(s, 0.025), 8) AS low, round(avg(s), 8) AS mean, round(quantile_cont(s, 0.975), 8) AS high FROM (SELECT resample, sum(times * ret) / sum(times) AS s FROM dr JOIN (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS pos FROM m) USING (pos) GROUP BY resample)",
+        MARKET,
+        draws_sql("(SELECT count(*) FROM m)", 7),
+    ),
+)
 def est_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    means = est.bootstrap_means(market(spark, d), "date", "ret", 500, 10.0, 7)
-    return means.agg(F.percentile("stat", F.lit(0.025)).alias("low"), F.avg("stat").alias("mean"), F.percentile("stat", F.lit(0.975)).alias("high"))
+    series = inference.placed(market(spark, d), "date")
+    draws = inference.stationary_draws(spark, RESAMPLES, series.count(), BLOCK, 7).join(series, "pos")
+    means = draws.groupBy("resample").agg((F.sum(F.col("times") * F.col("ret")) / F.sum("times")).alias("s"))
+    return means.agg(F.round(F.percentile("s", F.lit(0.025)), 8).alias("low"), F.round(F.avg("s"), 8).alias("mean"), F.round(F.percentile("s", F.lit(0.975)), 8).alias("high"))
 
 
 # SP8

@@ -155,7 +155,7 @@ def fn_period_start(spark: SparkSession, d: str) -> DataFrame:
     return each.select("period", F.date_sub("last", F.col("days")).alias("since"))
 
 
-# ST2: ticks older than their key's newest bucket so far
+# ST2: in batch, ticks older than their key's newest bucket so far
 @query(
     "st_late_ticks",
     "SELECT event_type, count(*) AS late FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS b, max(time_bucket(INTERVAL 1 HOUR, ts)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events) WHERE b < newest GROUP BY event_type",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.tables import events
 from ..streaming import candles
 from .catalog import query
@@ -70,7 +71,36 @@ def st_retrain_triggers(spark: SparkSession, d: str) -> DataFrame:
     return candles.finished(candles.retrain_triggers(candles.ticks(spark, d)), "append")
 
 
-# ST11, ST12, ST16
+# ST2: late ticks by the newest bucket in state
+@query(
+    "st_late_rule",
+    "SELECT event_type AS ticker, count(*) AS n, count(*) FILTER (WHERE b < newest) AS late FROM (SELECT event_type, epoch(ts)::BIGINT // 3600 AS b, max(epoch(ts)::BIGINT // 3600) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events) GROUP BY event_type",
+)
+def st_late_rule(spark: SparkSession, d: str) -> DataFrame:
+    rows = candles.finished(candles.in_time(candles.ticks(spark, d), 3600), "append")
+    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
+
+
+# A stream's rows as JSON lines, read back
+@query("st_json_sink", "SELECT event_id, user_id, event_type, value FROM events")
+def st_json_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "json-lines")
+    candles.to_json_lines(candles.ticks(spark, d).select("event_id", "user_id", "event_type", "value"), path)
+    return spark.read.schema("event_id long, user_id long, event_type string, value double").json(path)
+
+
+# ST16: values that are not finite, and empty names, leave the state as it is
+@query(
+    "st_merged_state",
+    "SELECT user_id, arg_max(v, (ts, event_id)) FILTER (WHERE v IS NOT NULL) AS v, arg_max(state, (ts, event_id)) FILTER (WHERE state <> '') AS state FROM (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 <> 0 THEN value END AS v, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS state FROM events) GROUP BY user_id",
+)
+def st_merged_state(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value")).otherwise(F.lit(float("nan")))
+    name = F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.col("event_type"))
+    return candles.finished(candles.merged_state(candles.ticks(spark, d), "user_id", F.struct("ts", "event_id"), {"v": value}, {"state": name}), "complete")
+
+
+# ST11
 @query("st_latest_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id")
 def st_latest_state(spark: SparkSession, d: str) -> DataFrame:
     return plain_time(candles.finished(candles.latest_state(candles.ticks(spark, d)), "complete"), "at")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import files
+
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream; event time as TIMESTAMP."""
@@ -36,30 +38,89 @@ def carried_open(candles: DataFrame) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a bounded stream to its end; its rows as a table of this session (tests and small results)."""
-    name = f"s{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a bounded stream to its end; its rows as a table in the shared folder, written by the executors.
+
+    append: the rows of all batches; complete: those of the last one.
+    """
+    spark, path = stream.sparkSession, files.scratch(stream.sparkSession, "stream")
+    written: list[int] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a batch that is run again replaces itself
+        written.append(batch)
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    batches = sorted(set(written)) if mode == "append" else written[-1:]
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={b}" for b in batches])
 
 
-def retrain_triggers(stream: DataFrame, least: int = 20, cooldown: int = 300) -> DataFrame:
-    """(ticker, at_tick): a trigger at ``least`` new ticks since the last one, ``cooldown`` seconds apart at least."""
+def to_json_lines(stream: DataFrame, path: str, every: str | None = None) -> None:
+    """Appends a stream's rows as JSON lines; each row once, whatever fails in between.  ``every``: time between batches; else what is there now."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    run = stream.writeStream.format("json").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(**trigger).start()
+    if not every:
+        run.awaitTermination()
+
+
+def in_time(stream: DataFrame, width: int) -> DataFrame:
+    """Ticks (ticker, event_id, second, value, late); late: of an older bucket of ``width`` seconds than the newest one that its key has seen before it."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, base, last = state.get if state.exists else (0, 0, -1)
+        newest = state.get[0] if state.exists else -(1 << 62)
         out = []
         for part in parts:
-            for at in sorted(part["second"].tolist()):
-                seen += 1
-                if seen - base >= least and (last < 0 or at - last >= cooldown):
-                    out.append(seen)
-                    base, last = seen, at
-        state.update((seen, base, last))
+            out.append(part)
+        rows = pd.concat(out).sort_values("event_id", kind="stable")
+        bucket = rows["second"].to_numpy() // width
+        before = np.maximum.accumulate(np.concatenate([[newest], bucket]))
+        rows["late"] = bucket < before[:-1]
+        state.update((int(before[-1]),))
+        yield rows
+
+    rows = stream.select(F.col("event_type").alias("ticker"), "event_id", F.unix_seconds("ts").alias("second"), "value")
+    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, event_id long, second long, value double, late boolean", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+#: Least mean and least largest move of the prices that a retraining is worth; prices looked at, and needed for a judgement.
+LEAST_MEAN, LEAST_SPIKE, LAST_PRICES, ENOUGH_PRICES = 0.0015, 0.004, 40, 8
+
+
+def quiet(prices: list[float]) -> bool:
+    """Whether enough prices are known and none of their moves is worth a retraining."""
+    known = [p for p in prices if p > 0]
+    if len(known) < ENOUGH_PRICES:
+        return False
+    moves = [abs(b - a) / max(abs(a), 1e-6) for a, b in zip(known, known[1:], strict=False)]
+    return sum(moves) / len(moves) < LEAST_MEAN and max(moves) < LEAST_SPIKE
+
+
+def retrain_triggers(stream: DataFrame, least: int = 20, cooldown: int = 300) -> DataFrame:
+    """(ticker, at_tick): a trigger at ``least`` new ticks since the last one, ``cooldown`` seconds apart at least, unless the last prices are quiet."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, base, last, prices = state.get if state.exists else (0, 0, -1, [])
+        prices, out = list(prices), []
+        rows = pd.concat(list(parts)).sort_values(["second", "event_id"], kind="stable")
+        for at, price in zip(rows["second"].tolist(), rows["price"].tolist(), strict=True):
+            seen += 1
+            prices = [*prices[1 - LAST_PRICES :], price]
+            if seen - base >= least and (last < 0 or at - last >= cooldown) and not quiet(prices):
+                out.append(seen)
+                base, last = seen, at
+        state.update((seen, base, last, prices))
         yield pd.DataFrame({"ticker": [key[0]] * len(out), "at_tick": out})
 
-    rows = stream.select(F.col("event_type").alias("ticker"), F.unix_seconds("ts").alias("second"))
-    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, at_tick long", "seen long, base long, last long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col("event_type").alias("ticker"), "event_id", F.unix_seconds("ts").alias("second"), F.coalesce("value", F.lit(0.0)).alias("price"))
+    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, at_tick long", "seen long, base long, last long, prices array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def merged_state(stream: DataFrame, key: str, order: Column, numbers: dict[str, Column], names: dict[str, Column]) -> DataFrame:
+    """The last finite value of each number and the last non-empty one of each name; what is neither leaves the state as it is."""
+    finite = {n: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for n, c in numbers.items()} | {n: F.nullif(c, F.lit("")) for n, c in names.items()}
+    return stream.groupBy(key).agg(*[F.max_by(c, F.when(c.isNotNull(), order)).alias(n) for n, c in finite.items()])
 
 
 def latest_state(stream: DataFrame) -> DataFrame:

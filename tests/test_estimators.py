@@ -27,11 +27,6 @@ def test_online_conformal_covers_through_a_break():
     assert np.isnan(levels[:50]).all() and levels[50] == 0.1
 
 
-def test_stationary_indices_are_blocks():
-    i = est.stationary_indices(1000, 20, np.random.default_rng(2))
-    assert ((np.diff(i) % 1000) == 1).mean() > 0.9 and i.min() >= 0 and i.max() < 1000
-
-
 def test_sequential_bootstrap_prefers_unique_labels():
     t1 = np.array([9] * 9 + [9, 10, 11, 12])
     draws = est.sequential_bootstrap(t1, 400, 1)
