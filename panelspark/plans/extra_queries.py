@@ -131,10 +131,10 @@ def fn_execution_cost(spark: SparkSession, d: str) -> DataFrame:
 # risk of an equal portfolio from the pairs' covariances
 @query(
     "fn_portfolio_var",
-    with_bars("SELECT round(1.645 * sqrt(sum(c) / pow(max(n), 2)), 6) AS var_95, round(max(CASE WHEN t1 <> t2 THEN rho END), 6) AS top_rho FROM (SELECT a.ticker AS t1, b.ticker AS t2, covar_samp(a.ret, b.ret) AS c, corr(a.ret, b.ret) AS rho, count(DISTINCT a.ticker) OVER () AS n FROM r a JOIN r b ON a.date = b.date WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.ticker < 4 AND b.ticker < 4 GROUP BY a.ticker, b.ticker)", RET),
+    with_bars("SELECT round(1.645 * sqrt(sum(c) / pow(max(n), 2)), 6) AS var_95, round(max(CASE WHEN t1 <> t2 THEN rho END), 6) AS top_rho FROM (SELECT a.ticker AS t1, b.ticker AS t2, covar_samp(a.ret, b.ret) AS c, corr(a.ret, b.ret) AS rho, count(DISTINCT a.ticker) OVER () AS n FROM r a JOIN r b ON a.date = b.date WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.ticker, b.ticker)", RET),
 )
 def fn_portfolio_var(spark: SparkSession, d: str) -> DataFrame:
-    r = ind.with_returns(bars(spark, d)).where("ret IS NOT NULL AND ticker < 4").select("date", "ticker", "ret")
+    r = ind.with_returns(bars(spark, d)).where("ret IS NOT NULL").select("date", "ticker", "ret")
     pairs = r.select("date", F.col("ticker").alias("t1"), F.col("ret").alias("x")).join(r.select("date", F.col("ticker").alias("t2"), F.col("ret").alias("y")), "date")
     c = pairs.groupBy("t1", "t2").agg(F.covar_samp("x", "y").alias("c"), F.corr("x", "y").alias("rho"))
     return c.agg(F.round(1.645 * F.sqrt(F.sum("c") / F.pow(F.countDistinct("t1"), 2)), 6).alias("var_95"), F.round(F.max(F.when(F.col("t1") != F.col("t2"), F.col("rho"))), 6).alias("top_rho"))
