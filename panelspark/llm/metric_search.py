@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .arrays import list_array
 from .shared import written
 
-PAGE, FANOUT = 256, 16
+PAGE, FANOUT = 1024, 16
 #: Rows of a group, and queries that meet a group in one task.
 GROUP_ROWS, BLOCK_QUERIES = 16384, 16384
 #: Components of all rows that the top level's routing vectors are chosen from, and of all these vectors, at most (32 and 8 MB).
@@ -132,14 +132,21 @@ class Search:
             some = np.flatnonzero(most >= floor)
             if not len(some):
                 continue
-            self.computed += len(some)
-            product = page.vectors[some] @ q
+            if 2 * len(some) > len(most):  # most of a page: all of it is cheaper than a copy of what is left
+                self.computed += len(most)
+                product = (page.vectors @ q)[some]
+            else:
+                self.computed += len(some)
+                product = page.vectors[some] @ q
             if page.radii is None:
-                for j in some[product + (slack[some] if wide else 0) >= floor].tolist():
+                good = np.flatnonzero(product + (slack[some] if wide else 0) >= floor)
+                for j, score in zip(some[good].tolist(), product[good].tolist(), strict=True):
+                    if not wide and len(best) == self.k and score < best[0][0]:
+                        continue
                     i, times = int(page.ids[j]), int(page.times[j])
                     if i == own and not skipped and (page.vectors[j] == q).all():
                         times, skipped = times - 1, True
-                    entry = (inner(page.vectors[j], q, wide), -i)
+                    entry = (exact_product(page.vectors[j], q) if wide else int(score), -i)
                     if least is not None and entry[0] < least:
                         continue
                     for _ in range(min(times, self.k)):
@@ -159,10 +166,8 @@ class Search:
         return [(s, -i) for s, i in sorted(best, key=lambda t: (-t[0], -t[1]))]
 
 
-def inner(a: np.ndarray, b: np.ndarray, wide: bool) -> int:
-    if wide:
-        return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
-    return int(a @ b)
+def exact_product(a: np.ndarray, b: np.ndarray) -> int:
+    return sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
 def matrix(vectors: pa.Array, size: int) -> np.ndarray:
