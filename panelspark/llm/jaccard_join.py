@@ -256,11 +256,12 @@ def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of names that link, by their whole sets."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-    # a bitmap of the wanted names, 65536 rows at most, spares the other sets the shuffle; the joins are exact
+    # a bitmap of the wanted names, 65536 rows at most, spares the other sets the shuffle; the joins below are exact
+    # (a semi-join with the names here would be moved before the bitmap, and shuffle all sets)
     place, bit = F.shiftright("name", 47).cast("int"), F.shiftright("name", 41).bitwiseAND(63).cast("int")
     bitmap = wanted.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     marked = sets.select("name", "shingles").join(F.broadcast(bitmap), place == F.col("place")).where(F.call_function("shiftright", "bits", bit).bitwiseAND(1) == 1)
-    sets = written(marked.select("name", "shingles").dropDuplicates(["name"]).join(wanted, "name", "left_semi"), "sets")
+    sets = written(marked.select("name", "shingles").dropDuplicates(["name"]), "sets")
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
