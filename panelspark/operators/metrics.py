@@ -52,3 +52,24 @@ def conformal_level(n: Column, alpha: float) -> Column:
     """1-based rank of the split-conformal quantile among n sorted scores ("higher")."""
     level = F.least(F.ceil((n + 1) * F.lit(1 - alpha)) / n, F.lit(1.0))
     return F.ceil(level * (n - 1)).cast("long") + 1
+
+
+def shrinkage(df: DataFrame, order: str, name: str, ret: str) -> DataFrame:
+    """One row: n dates, k names, mu and the share of shrinkage to mu times the identity (Ledoit and Wolf); all dates for every name."""
+    x = df.select(order, name, (F.col(ret) - F.avg(ret).over(Window.partitionBy(name))).alias("x"))
+    a, b = x.select(order, F.col(name).alias("t1"), F.col("x").alias("xa")), x.select(order, F.col(name).alias("t2"), F.col("x").alias("xb"))
+    # the pairs of names are the covariance itself
+    pairs = a.join(b, order).groupBy("t1", "t2").agg(F.avg(F.col("xa") * F.col("xb")).alias("c"))
+    own = pairs.agg(F.countDistinct("t1").alias("k"), (F.sum(F.when(F.col("t1") == F.col("t2"), F.col("c"))) / F.countDistinct("t1")).alias("mu"), F.sum(F.col("c") * F.col("c")).alias("s2"))
+    days = x.groupBy(order).agg(F.sum(F.col("x") * F.col("x")).alias("r2")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r2") * F.col("r2")).alias("q"))
+    n, k, mu = F.col("n"), F.col("k"), F.col("mu")
+    far = (F.col("s2") - mu * mu * k) / k
+    noise = (F.col("q") / n - F.col("s2")) / (n * k)
+    return own.crossJoin(F.broadcast(days)).select("n", "k", "mu", F.when(far > 0, F.least(F.greatest(noise, F.lit(0.0)) / far, F.lit(1.0))).otherwise(0.0).alias("share"))
+
+
+def limited_position(raw: Column, drawdown: Column, sd: Column, halt: float = 0.15, most: float = 0.1, var_limit: float = 0.02, leverage: float = 1.0) -> Column:
+    """A position within all limits; 0 in a drawdown beyond the halt, no risk limit where the deviation is not known."""
+    within = lambda x, cap: F.greatest(F.least(x, cap), -cap)
+    by_risk = F.coalesce(var_limit / F.nullif(1.645 * sd, F.lit(0.0)), F.lit(float("inf")))
+    return F.when(drawdown < -halt, 0.0).otherwise(within(within(within(raw, F.lit(most)), by_risk), F.lit(leverage)))

@@ -19,13 +19,6 @@ from .relational_queries import sql
 from .window_queries import RET, W, roll, rounded, with_bars
 
 
-# The first names of each market, in their order
-@query("scan_market_universe", "SELECT c_mktsegment, c_custkey, k FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) WHERE k <= 20")
-def scan_market_universe(spark: SparkSession, d: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    return table(spark, d, "customer").withColumn("k", k).where("k <= 20").select("c_mktsegment", "c_custkey", "k")
-
-
 # Payloads of several providers, the best one of each key
 @query("scan_provider_quotes", "SELECT user_id, arg_min(value, (prio, event_id)) AS price, arg_min((props ->> '$.k')::BIGINT, (prio, event_id)) AS k FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS prio FROM events) GROUP BY user_id")
 def scan_provider_quotes(spark: SparkSession, d: str) -> DataFrame:

@@ -187,14 +187,6 @@ def fn_recency(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).where("value >= 0").select("event_id", F.round(F.sin(h * 1.0), 6).alias("s1"), F.round(F.cos(h * 0.1), 6).alias("c2"))
 
 
-# limits on a position
-@query("fn_risk_limits", with_bars("SELECT ticker, date, round(least(0.2, 0.02 / nullif(1.645 * v, 0)), 6) AS cap FROM (SELECT ticker, date, CASE WHEN count(ret) OVER " + roll(20) + " >= 20 THEN stddev_pop(ret) OVER " + roll(20) + " END AS v FROM r) WHERE v IS NOT NULL", RET))
-def fn_risk_limits(spark: SparkSession, d: str) -> DataFrame:
-    w = by_ticker().rowsBetween(-19, 0)
-    x = ind.with_returns(bars(spark, d)).withColumn("v", F.when(F.count("ret").over(w) >= 20, F.stddev_pop("ret").over(w))).where("v IS NOT NULL")
-    return x.select("ticker", "date", F.round(F.least(F.lit(0.2), 0.02 / F.nullif(1.645 * F.col("v"), F.lit(0.0))), 6).alias("cap"))
-
-
 # Baselines of momentum and of holding
 @query("agg_baselines", with_bars("SELECT 'hold' AS model, round(avg(ret), 8) AS mean FROM m UNION ALL SELECT 'momentum', round(avg(sign(l) * ret), 8) FROM (SELECT ret, lag(ret) OVER (ORDER BY date) AS l FROM m) WHERE l IS NOT NULL", MARKET))
 def agg_baselines(spark: SparkSession, d: str) -> DataFrame:
