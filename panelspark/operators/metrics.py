@@ -20,6 +20,15 @@ def performance(df: DataFrame, ret: str, periods: int) -> DataFrame:
     )
 
 
+def sharpe_moments(df: DataFrame, ret: str) -> DataFrame:
+    """One row: n, sr, s, k, se: the ratio of a period, bias-corrected skew and (not excess) kurtosis, and the ratio's standard error."""
+    n = F.col("n").cast("double")
+    a = df.agg(F.count(ret).alias("n"), (F.avg(ret) / F.stddev_samp(ret)).alias("sr"), F.skewness(ret).alias("g1"), F.kurtosis(ret).alias("g2"))
+    a = a.withColumns({"s": F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2), "k": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3})
+    variance = F.greatest(1 - F.col("s") * F.col("sr") + (F.col("k") - 1) / 4 * F.col("sr") * F.col("sr"), F.lit(1e-12))
+    return a.select("n", "sr", "s", "k", F.sqrt(variance / (n - 1)).alias("se"))
+
+
 def drawdown(df: DataFrame, ret: str, order: str) -> DataFrame:
     """Adds the compounded equity and its share below the running peak; one row a date."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

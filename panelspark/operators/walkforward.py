@@ -33,13 +33,23 @@ def calibration_error(p: np.ndarray, y: np.ndarray, bins: int = BINS) -> float:
     return float(sum(abs(hit[at == b].sum() - conf[at == b].sum()) for b in np.unique(at)) / len(y))
 
 
-def chosen_temperature(z: np.ndarray, y: np.ndarray) -> float:
-    """1 or the fitted temperature, by the error on the later third of the validation block, on which neither was fitted."""
-    cut = max(1, 2 * len(y) // 3)
-    fitted = fit_temperature(z[:cut], y[:cut])
+def fit_vector(z: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 300, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """A positive scale and a shift of each class, drawn to 1 and 0, by gradient descent on the log-likelihood."""
+    log_scale, shift, hot = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.eye(z.shape[1])[y]
+    for _ in range(rounds):
+        off = softmax(z * np.exp(log_scale) + shift) - hot
+        log_scale -= rate * ((off * z * np.exp(log_scale)).mean(axis=0) + 2 * penalty * (np.exp(log_scale) - 1) * np.exp(log_scale))
+        shift -= rate * (off.mean(axis=0) + 2 * penalty * shift)
+    return np.exp(log_scale), shift
+
+
+def chosen_map(z: np.ndarray, y: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Name, scales and shifts of the identity, temperature or vector map of least error on the later third of the validation block, on which none was fitted."""
+    cut, one, zero = max(1, 2 * len(y) // 3), np.ones(z.shape[1]), np.zeros(z.shape[1])
     if len(y) - cut < 5:
-        return 1.0
-    return fitted if calibration_error(softmax(z[cut:] / fitted), y[cut:]) < calibration_error(softmax(z[cut:]), y[cut:]) else 1.0
+        return "none", one, zero
+    maps = [("none", one, zero), ("temperature", one / fit_temperature(z[:cut], y[:cut]), zero), ("vector", *fit_vector(z[:cut], y[:cut]))]
+    return min(maps, key=lambda m: calibration_error(softmax(z[cut:] * m[1] + m[2]), y[cut:]))
 
 
 def conformal_quantile(p: np.ndarray, y: np.ndarray, alpha: float) -> float:
@@ -60,15 +70,15 @@ def blocks(panel: DataFrame, folds: DataFrame, order: str) -> DataFrame:
 
 
 def study(panel: DataFrame, folds: DataFrame, model: FitPredict, seeds: list[int], key: str = "ticker", order: str = "date", label: str = "y", forward: str = "fwd_ret", alpha: float = 0.1) -> DataFrame:
-    """(fold, seed, order, key, score, p_down, p_neutral, p_up, raw ones, temperature, in_set sizes, y, forward) of every test row.
+    """(fold, seed, order, key, score, p_down, p_neutral, p_up, raw ones, calibrator, set_size, tradeable, y, forward) of every test row.
 
-    Each model sees its training block only; the temperature and the conformal
-    quantile come from the validation block; the test block is predicted.
+    Each model sees its training block only; the calibration map and the
+    conformal quantile come from the validation block; the test block is predicted.
     ``set_size`` counts the classes of the prediction set (at least the likeliest),
     ``tradeable`` says that it is one.  A fold without a row in a block is left out.
     """
     kind = lambda c: panel.schema[c].dataType.simpleString()
-    schema = f"fold int, seed int, {order} {kind(order)}, {key} {kind(key)}, score double, p_down double, p_neutral double, p_up double, raw_down double, raw_neutral double, raw_up double, temperature double, set_size int, tradeable boolean, y int, {forward} double"
+    schema = f"fold int, seed int, {order} {kind(order)}, {key} {kind(key)}, score double, p_down double, p_neutral double, p_up double, raw_down double, raw_neutral double, raw_up double, calibrator string, set_size int, tradeable boolean, y int, {forward} double"
     names = [c.split(" ")[0] for c in schema.split(", ")]
     rows = blocks(panel.where(F.col(label).isNotNull()), folds, order).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
 
@@ -80,12 +90,12 @@ def study(panel: DataFrame, folds: DataFrame, model: FitPredict, seeds: list[int
         fold, seed = int(part["fold"].iloc[0]), int(part["seed"].iloc[0])
         z_val, z_test, score = model(train, val, test, seed, fold)
         y_val = val[label].to_numpy(int)
-        temperature = chosen_temperature(z_val, y_val)
-        p_val, p, raw = softmax(z_val / temperature), softmax(z_test / temperature), softmax(z_test)
+        name, scale, shift = chosen_map(z_val, y_val)
+        p_val, p, raw = softmax(z_val * scale + shift), softmax(z_test * scale + shift), softmax(z_test)
         inside = (1 - p) <= conformal_quantile(p_val, y_val, alpha)
         inside[np.arange(len(p)), p.argmax(axis=1)] = True
         size = inside.sum(axis=1)
-        columns = [np.full(len(p), fold), np.full(len(p), seed), test[order].to_numpy(), test[key].to_numpy(), score, *p.T, *raw.T, np.full(len(p), temperature), size, size == 1, test[label].to_numpy(int), test[forward].to_numpy(float)]
+        columns = [np.full(len(p), fold), np.full(len(p), seed), test[order].to_numpy(), test[key].to_numpy(), score, *p.T, *raw.T, np.full(len(p), name), size, size == 1, test[label].to_numpy(int), test[forward].to_numpy(float)]
         return pd.DataFrame(dict(zip(names, columns, strict=True)))
 
     return rows.groupBy("fold", "seed").applyInPandas(run, schema)

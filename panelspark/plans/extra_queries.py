@@ -14,7 +14,7 @@ from ..operators import metrics
 from ..sources.tables import bars, events, table
 from ..streaming import candles
 from .catalog import query
-from .metric_queries import MARKET, PRED, YHAT, market, predictions
+from .metric_queries import MARKET, PRED, SHARPE, YHAT, market, predictions
 from .relational_queries import sql
 from .window_queries import RET, W, roll, rounded, with_bars
 
@@ -188,9 +188,8 @@ def udf_entity_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 # quantiles of the normal law on the driver
-@query("stat_track_record_length")
+@query("stat_track_record_length", with_bars(f"SELECT round(1 + (1 - s * sr + (k - 1) / 4 * sr * sr) * pow({statistics.NormalDist().inv_cdf(0.95)!r} / sr, 2), 4) AS periods FROM sh", MARKET, SHARPE))
 def stat_track_record_length(spark: SparkSession, d: str) -> DataFrame:
-    m = market(spark, d).agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("s"), F.kurtosis("ret").alias("k")).first()
-    z = statistics.NormalDist().inv_cdf(0.95)
-    spread = 1 - m["s"] * m["sr"] + (m["k"] + 2) / 4 * m["sr"] ** 2
-    return spark.createDataFrame([(float(1 + spread * (z / m["sr"]) ** 2),)], "periods double")
+    m, z = metrics.sharpe_moments(market(spark, d), "ret"), statistics.NormalDist().inv_cdf(0.95)
+    spread = 1 - F.col("s") * F.col("sr") + (F.col("k") - 1) / 4 * F.col("sr") * F.col("sr")
+    return m.select(F.round(1 + spread * F.pow(z / F.col("sr"), 2), 4).alias("periods"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 
 import pandas as pd
@@ -153,25 +154,39 @@ def stat_diebold_mariano(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n", F.round(F.col("t_stat") * F.sqrt((n + 1 - 2 * 5 + 5 * 4.0 / n) / n), 6).alias("dm"))
 
 
-# Standard error and z of the probabilistic Sharpe ratio
-@query(
-    "stat_psr",
-    with_bars("SELECT n, round(sr, 6) AS sr, round(sqrt((1 - s * sr + (k - 1) / 4 * sr * sr) / (n - 1)), 6) AS se, round(sr / sqrt((1 - s * sr + (k - 1) / 4 * sr * sr) / (n - 1)), 6) AS z FROM (SELECT n, mu / sd AS sr, m3 / pow(m2, 1.5) AS s, m4 / (m2 * m2) AS k FROM (SELECT count(*) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, avg(pow(c, 2)) AS m2, avg(pow(c, 3)) AS m3, avg(pow(c, 4)) AS m4 FROM (SELECT ret, ret - avg(ret) OVER () AS c FROM m)))", MARKET),
-)
+#: Per-period Sharpe ratio with bias-corrected skew and (not excess) kurtosis, its standard error and z.
+SHARPE = """sh AS (SELECT n, sr, s, k, sqrt(greatest(1 - s * sr + (k - 1) / 4 * sr * sr, 1e-12) / (n - 1)) AS se FROM (SELECT n, mu / sd AS sr, m3 / pow(m2, 1.5) * sqrt(n * (n - 1.0)) / (n - 2) AS s, (n - 1.0) / ((n - 2.0) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) + 3 AS k
+FROM (SELECT count(*) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, avg(pow(c, 2)) AS m2, avg(pow(c, 3)) AS m3, avg(pow(c, 4)) AS m4 FROM (SELECT ret, ret - avg(ret) OVER () AS c FROM m))))"""
+
+
+def normal_cdf_sql(z: str) -> str:
+    """The normal distribution function as its series in odd powers."""
+    return f"(0.5 + exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(150), lambda i: sign({z}) * exp((2 * i + 1) * ln(greatest(abs({z}), 1e-300)) - ((i + 1) * ln(2) + lgamma(i + 1.5) - ln(pi()) / 2)))))"
+
+
+# T5: standard error and z of the probabilistic Sharpe ratio
+@query("stat_psr", with_bars("SELECT n, round(sr, 6) AS sr, round(se, 6) AS se, round(sr / se, 6) AS z FROM sh", MARKET, SHARPE))
 def stat_psr(spark: SparkSession, d: str) -> DataFrame:
-    a = market(spark, d).agg(F.count(F.lit(1)).alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("s"), (F.kurtosis("ret") + 3).alias("k"))
-    se = F.sqrt((1 - F.col("s") * F.col("sr") + (F.col("k") - 1) / 4 * F.col("sr") * F.col("sr")) / (F.col("n") - 1))
-    return a.select("n", F.round("sr", 6).alias("sr"), F.round(se, 6).alias("se"), F.round(F.col("sr") / se, 6).alias("z"))
+    a = metrics.sharpe_moments(market(spark, d), "ret")
+    return a.select("n", F.round("sr", 6).alias("sr"), F.round("se", 6).alias("se"), F.round(F.col("sr") / F.col("se"), 6).alias("z"))
+
+
+TRIALS = 20
+
+
+def trial_factor() -> float:
+    """Expected largest of TRIALS standard normal ratios, nearly."""
+    norm, gamma = statistics.NormalDist(), 0.5772156649015329
+    return (1 - gamma) * norm.inv_cdf(1 - 1 / TRIALS) + gamma * norm.inv_cdf(1 - 1 / (TRIALS * math.e))
 
 
-# Normal quantiles on the driver, a few numbers
-@query("stat_deflated_sharpe")
+# Normal probabilities of a few numbers on the driver
+@query("stat_deflated_sharpe", with_bars(f"SELECT {TRIALS}::INT AS trials, round(se * {trial_factor()!r}, 6) AS expected_max, round({normal_cdf_sql('(sr / se)')}, 6) AS psr, round({normal_cdf_sql(f'((sr - se * {trial_factor()!r}) / se)')}, 6) AS dsr FROM sh", MARKET, SHARPE))
 def stat_deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
-    row = stat_psr(spark, d).first()
-    norm, trials = statistics.NormalDist(), 20
-    gamma = 0.5772156649015329
-    high = row["se"] * ((1 - gamma) * norm.inv_cdf(1 - 1 / trials) + gamma * norm.inv_cdf(1 - 1 / (trials * 2.718281828459045)))
-    return spark.createDataFrame([(trials, float(high), float(norm.cdf(row["z"])), float(norm.cdf((row["sr"] - high) / row["se"])))], "trials int, expected_max double, psr double, dsr double")
+    row, norm = metrics.sharpe_moments(market(spark, d), "ret").first(), statistics.NormalDist()
+    high = row["se"] * trial_factor()
+    figures = (high, norm.cdf(row["sr"] / row["se"]), norm.cdf((row["sr"] - high) / row["se"]))
+    return spark.createDataFrame([(TRIALS, *(round(float(x), 6) for x in figures))], "trials int, expected_max double, psr double, dsr double")
 
 
 # T9, J13

@@ -74,13 +74,24 @@ def st_retrain_triggers(spark: SparkSession, d: str) -> DataFrame:
 # ST2: late ticks by the newest bucket in state
 @query(
     "st_late_rule",
-    "SELECT event_type AS ticker, count(*) AS n, count(*) FILTER (WHERE b < newest) AS late FROM (SELECT event_type, epoch(ts)::BIGINT // 3600 AS b, max(epoch(ts)::BIGINT // 3600) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events) GROUP BY event_type",
+    "SELECT event_type AS ticker, count(*) AS n, count(*) FILTER (WHERE b < newest) AS late FROM (SELECT event_type, floor(epoch(ts))::BIGINT // 3600 AS b, max(floor(epoch(ts))::BIGINT // 3600) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events) GROUP BY event_type",
 )
 def st_late_rule(spark: SparkSession, d: str) -> DataFrame:
     rows = candles.finished(candles.in_time(candles.ticks(spark, d), 3600), "append")
     return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
 
 
+# ST1, ST2: candles in state, the open carried over, late ticks dropped
+@query(
+    "st_carried_candles",
+    """WITH t AS (SELECT event_type AS ticker, event_id, value, floor(epoch(ts))::BIGINT // 3600 AS b FROM events), k AS (SELECT * FROM (SELECT *, max(b) OVER (PARTITION BY ticker ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM t) WHERE newest IS NULL OR b >= newest),
+c AS (SELECT ticker, b, arg_min(value, event_id) AS first, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close FROM k GROUP BY ALL)
+SELECT ticker, b AS bucket, o AS open, greatest(high, o) AS high, least(low, o) AS low, close FROM (SELECT *, coalesce(lag(close) OVER (PARTITION BY ticker ORDER BY b), first) AS o FROM c)""",
+)
+def st_carried_candles(spark: SparkSession, d: str) -> DataFrame:
+    return candles.finished(candles.carried_candles(candles.ticks(spark, d), 3600), "append")
+
+
 # A stream's rows as JSON lines, read back
 @query("st_json_sink", "SELECT event_id, user_id, event_type, value FROM events")
 def st_json_sink(spark: SparkSession, d: str) -> DataFrame:

@@ -84,6 +84,29 @@ def in_time(stream: DataFrame, width: int) -> DataFrame:
     return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, event_id long, second long, value double, late boolean", "newest long", "append", GroupStateTimeout.NoTimeout)
 
 
+def carried_candles(stream: DataFrame, width: int) -> DataFrame:
+    """(ticker, bucket, open, high, low, close): a candle opens at the close before it, ticks of an older bucket are dropped; a row whenever a batch changes a candle, the last one of a bucket holds."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        candle = list(state.get) if state.exists else None
+        changed: dict[int, tuple] = {}
+        for row in pd.concat(list(parts)).sort_values("event_id", kind="stable").itertuples():
+            bucket = row.second // width
+            if candle is not None and bucket < candle[0]:
+                continue
+            if candle is None or bucket > candle[0]:
+                begin = row.value if candle is None else candle[4]
+                candle = [bucket, begin, begin, begin, begin]
+            candle[2:] = [max(candle[2], row.value), min(candle[3], row.value), row.value]
+            changed[bucket] = tuple(candle)
+        if candle is not None:
+            state.update(tuple(candle))
+        yield pd.DataFrame([(key[0], *c) for c in changed.values()], columns=["ticker", "bucket", "open", "high", "low", "close"])
+
+    rows = stream.where("value IS NOT NULL").select(F.col("event_type").alias("ticker"), "event_id", F.unix_seconds("ts").alias("second"), "value")
+    return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, bucket long, open double, high double, low double, close double", "bucket long, open double, high double, low double, close double", "append", GroupStateTimeout.NoTimeout)
+
+
 #: Least mean and least largest move of the prices that a retraining is worth; prices looked at, and needed for a judgement.
 LEAST_MEAN, LEAST_SPIKE, LAST_PRICES, ENOUGH_PRICES = 0.0015, 0.004, 40, 8
 

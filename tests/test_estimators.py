@@ -172,3 +172,13 @@ def test_walk_forward_study(spark):
         assert np.mean([r.nll for r in found]) < np.log(3)
         covered = result.selectExpr("avg(cast(set_size = 3 OR p_down + p_neutral + p_up BETWEEN 0.999 AND 1.001 AS double)) AS c").first().c
         assert covered == 1.0
+
+
+def test_vector_map_is_recovered():
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(6000, 3)) * 2
+    p = walkforward.softmax(z * [0.5, 1.0, 0.5] + [0.4, 0.0, -0.4])
+    y = np.array([rng.choice(3, p=q) for q in p])
+    scale, shift = walkforward.fit_vector(z, y, penalty=0.0)
+    assert np.abs(walkforward.softmax(z * scale + shift) - p).mean() < 0.02
+    assert walkforward.chosen_map(z, y)[0] != "none"
