@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by_ticker, rolling
 from ..operators import indicators as ind
 from ..operators import metrics
-from ..sources import files, synthetic
+from ..sources import fetch, files, synthetic
 from ..sources.tables import bars, events, table
 from ..streaming import candles
 from .catalog import query
@@ -122,6 +121,35 @@ def rep_random_signals(spark: SparkSession, d: str) -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("icir"), F.round(F.avg((F.col("ic") > 0).cast("int")), 6).alias("hit_rate"), F.round(F.avg("spread"), 8).alias("spread"))
 
 
+def demo_history(name: int) -> pd.DataFrame:
+    """Five days of a name; every seventh name fails, and a day of each has no volume."""
+    if name % 7 == 0:
+        raise LookupError(f"no history of {name}")
+    days = pd.date_range("2024-01-01", periods=5, tz="UTC")
+    price = [100.0 + name + i for i in range(5)]
+    return pd.DataFrame({"date": days, "open": price, "high": price, "low": price, "close": price, "volume": [0.0 if i == name % 5 else 10.0 for i in range(5)]})
+
+
+# Histories of all names, kept as a table; a name that fails is told and passed over
+@query(
+    "scan_fetched_histories",
+    "SELECT n_nationkey::INT AS ticker, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (DATE '2024-01-01' + i::INT)::DATE END AS date, CASE WHEN n_nationkey % 7 <> 0 THEN 100.0 + n_nationkey + i END::DOUBLE AS close, CASE WHEN n_nationkey % 7 = 0 THEN 'no history of ' || n_nationkey END AS error FROM nation, (SELECT unnest(range(5)) AS i) WHERE CASE WHEN n_nationkey % 7 = 0 THEN i = 0 ELSE i <> n_nationkey % 5 END",
+)
+def scan_fetched_histories(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("ticker"))
+    path = files.scratch(spark, "histories")
+    fetch.fetched_once(names, "ticker", demo_history, path)
+    return fetch.fetched_once(names, "ticker", demo_history, path).select("ticker", "date", "close", "error")
+
+
+# Texts as a data set, written and read back
+@query("snk_text_dataset", "SELECT doc_id, lang, length(text) AS n FROM documents")
+def snk_text_dataset(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "texts")
+    files.write_texts(table(spark, d, "documents").select("doc_id", "lang", "text"), path, "documents")
+    return spark.read.parquet(f"{path}/documents").select("doc_id", "lang", F.length("text").cast("long").alias("n"))
+
+
 # A demonstration equity curve and its figures
 @query(
     "bt_demo_curve",

@@ -92,6 +92,16 @@ def st_carried_candles(spark: SparkSession, d: str) -> DataFrame:
     return candles.finished(candles.carried_candles(candles.ticks(spark, d), 3600), "append")
 
 
+# ST15: requests that a cache answers
+@query(
+    "st_cache_hits",
+    """WITH RECURSIVE q AS (SELECT user_id AS key, event_id, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS pos FROM events),
+c AS (SELECT key, event_id, pos, s AS since, false AS hit FROM q WHERE pos = 1 UNION ALL SELECT q.key, q.event_id, q.pos, CASE WHEN q.s - c.since <= 86400 THEN c.since ELSE q.s END, q.s - c.since <= 86400 FROM c JOIN q ON q.key = c.key AND q.pos = c.pos + 1) SELECT key, event_id, hit FROM c""",
+)
+def st_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    return candles.finished(candles.cache_hits(candles.ticks(spark, d), 86400), "append")
+
+
 # A stream's rows as JSON lines, read back
 @query("st_json_sink", "SELECT event_id, user_id, event_type, value FROM events")
 def st_json_sink(spark: SparkSession, d: str) -> DataFrame:

@@ -77,6 +77,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, n long, id long").json(path)
 
 
+def write_texts(df: DataFrame, path: str, name: str) -> None:
+    """A data set of texts as Parquet below ``path``, one folder a name."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/{name}")
+
+
 def cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
     """Reads the table at ``path``; builds and writes it if it is not there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

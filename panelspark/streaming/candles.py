@@ -140,6 +140,23 @@ def retrain_triggers(stream: DataFrame, least: int = 20, cooldown: int = 300) ->
     return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, at_tick long", "seen long, base long, last long, prices array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def cache_hits(stream: DataFrame, ttl: int) -> DataFrame:
+    """(key, event_id, hit): whether a request finds its key's answer no older than ``ttl`` seconds; otherwise it is fetched anew."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since = state.get[0] if state.exists else -(1 << 62)
+        rows = pd.concat(list(parts)).sort_values(["second", "event_id"], kind="stable")
+        hits = []
+        for at in rows["second"].tolist():
+            hits.append(at - since <= ttl)
+            since = since if hits[-1] else at
+        state.update((since,))
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "hit": hits})
+
+    rows = stream.select(F.col("user_id").alias("key"), "event_id", F.unix_seconds("ts").alias("second"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, event_id long, hit boolean", "since long", "append", GroupStateTimeout.NoTimeout)
+
+
 def merged_state(stream: DataFrame, key: str, order: Column, numbers: dict[str, Column], names: dict[str, Column]) -> DataFrame:
     """The last finite value of each number and the last non-empty one of each name; what is neither leaves the state as it is."""
     finite = {n: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for n, c in numbers.items()} | {n: F.nullif(c, F.lit("")) for n, c in names.items()}

@@ -171,3 +171,20 @@ def test_candles_open_at_the_close_before(spark):
     df = spark.createDataFrame([("x", 1, 10.0, 12.0, 9.0, 11.0), ("x", 2, 13.0, 14.0, 12.0, 13.0)], "ticker string, time int, open double, high double, low double, close double")
     second = candles.carried_open(df).where("time = 2").first()
     assert (second.open, second.high, second.low) == (11.0, 14.0, 11.0)
+
+
+def test_settings():
+    from panelspark import config
+
+    c = config.load('{"horizon": 3, "seeds": [4]}')
+    assert c.horizon == 3 and c.seeds == (4,) and c.digest() == config.load('{"seeds": [4], "horizon": 3}').digest() != config.StudyConfig().digest()
+    for wrong in ('{"horizon": 0}', '{"alpha": 1}', '{"speed": 1}', '{"seeds": []}'):
+        with pytest.raises(ValueError):
+            config.load(wrong)
+
+
+def test_quiet_prices_suppress_a_trigger():
+    from panelspark.streaming import candles
+
+    assert candles.quiet([100.0] * 8) and not candles.quiet([100.0] * 7)
+    assert not candles.quiet([100.0] * 7 + [101.0]) and not candles.quiet([100 * 1.002**i for i in range(10)])
