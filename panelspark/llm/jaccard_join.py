@@ -49,7 +49,7 @@ LARGEST_BOUNDARY = 12
 #: Bits of the bitmap of shared shingles, at most (32 MB); the heavy one has an eighth.
 MAX_BITS = 28
 #: Shingles that one task of the count gets, about.
-COUNT_TASK = 1 << 22
+COUNT_TASK = 1 << 21
 
 
 def need(s, t, percent: int = PERCENT):
@@ -159,7 +159,7 @@ def shared_bitmaps(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]
                 keys.append(unique)
                 counts.append(n)
                 size += len(unique)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield flush()
                     keys, counts, size = [], [], 0
         if size:
