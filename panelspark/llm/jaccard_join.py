@@ -125,10 +125,20 @@ def small_boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return best
 
 
+def packed(ascending: np.ndarray) -> bytes:
+    """Steps of ascending 32-bit numbers, the first bytes of all, then the second ones and so on: the last are zeros, which compress."""
+    return np.diff(ascending, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def shared_bitmaps(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the shingles (by their first bits) that several documents have, and of those that more than HEAVY have.
 
-    Each task sends every shingle it has once, with a count, 5 bytes each; the
+    Each task sends every shingle it has once, with a count, some 3 bytes each; the
     counts are merged by ranges of the hashes.
     """
     bits = min(MAX_BITS, max(16, int(total).bit_length()))
@@ -150,7 +160,7 @@ def shared_bitmaps(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]
             rest = ((every << U64(parts)) >> U64(32)).astype(np.uint32)
             some = [p for p in range(1 << parts) if cut[p] < cut[p + 1]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([rest[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([number[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "rest", "n"]
+                [pa.array(some, pa.int32()), pa.array([packed(rest[cut[p] : cut[p + 1]]) for p in some], pa.binary()), pa.array([number[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "rest", "n"]
             )
 
         for batch in batches:
@@ -159,14 +169,14 @@ def shared_bitmaps(sets: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]
                 keys.append(unique)
                 counts.append(n)
                 size += len(unique)
-                if size > 1 << 20:
+                if size > 1 << 21:
                     yield flush()
                     keys, counts, size = [], [], 0
         if size:
             yield flush()
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        rest = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["rest"]])
+        rest = np.concatenate([unpacked(x.as_buffer()) for x in table["rest"]])
         number = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["n"]])
         order = np.argsort(rest)
         rest, number = rest[order], number[order].astype(np.int64)
