@@ -273,19 +273,10 @@ def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     marked = sets.select("name", "shingles").join(F.broadcast(bitmap), place == F.col("place")).where(F.call_function("shiftright", "bits", bit).bitwiseAND(1) == 1)
     sets = written(marked.select("name", "shingles").dropDuplicates(["name"]), "sets")
     left = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
-    def check(batches):
-        for batch in batches:
-            good = []
-            columns = [batch.column(i) for i in (2, 3)]
-            for i in range(batch.num_rows):
-                x, y = (c[i].values.to_numpy() for c in columns)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return both.mapInArrow(check, "a long, b long")
+    both = left.join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+    # in the JVM: pairs of long sets would be Arrow batches of any size
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def link_components(sets: DataFrame, sizes: dict[int, int], total: int, percent: int) -> DataFrame:
