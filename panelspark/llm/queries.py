@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, jaccard_join, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, token_store
+from . import bpe_automaton, conversation_repair, jaccard_join, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, token_store, vector_codes
 from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -78,8 +78,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "lines_total", "lines_deleted", F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = vector_codes.label_errors(found.codes)
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.repair(turns).withColumnRenamed("conv", "conv_id")
+
+
+QUERIES = (
+    op1_bpe_automaton,
+    op2_jaccard_join,
+    op3_token_store,
+    op4_license_scan,
+    op5_best_fit_packing,
+    op6_exact_top_k,
+    op7_quality_rules,
+    op8_token_counts,
+    op9_language_model,
+    op10_line_dedup,
+    op11_vector_codes,
+    op12_conversation_repair,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_automaton, op2_jaccard_join, op3_token_store, op4_license_scan, op5_best_fit_packing, op6_exact_top_k, op7_quality_rules, op8_token_counts, op9_language_model, op10_line_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
