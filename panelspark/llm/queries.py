@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, conversation_repair, jaccard_join, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, token_store, vector_codes
+from . import bpe_automaton, conversation_repair, jaccard_join, language_model, license_scan, line_dedup, metric_search, packing, quality, rank_merge, suffix_dedup, token_store, vector_codes
 from .shared import shared_folder
 
 WORD_BPE = "word_bpe_49k.json"
@@ -89,6 +89,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(turns).withColumnRenamed("conv", "conv_id")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir), with_kept=False).drop("kept", "spans")
+
+
 QUERIES = (
     op1_bpe_automaton,
     op2_jaccard_join,
@@ -102,6 +106,7 @@ QUERIES = (
     op10_line_dedup,
     op11_vector_codes,
     op12_conversation_repair,
+    op13_suffix_dedup,
 )
 
 
