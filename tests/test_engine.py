@@ -49,11 +49,31 @@ def test_required_columns(spark):
         require_columns(spark.range(1), "id", "volume")
 
 
-def test_smoothing_follows_pandas():
-    x = np.array([np.nan, 1.0, 2.0, np.nan, np.nan, 5.0, 4.0])
-    assert np.allclose(recursive.unseeded(x, 0.3), pd.Series(x).ewm(alpha=0.3, adjust=False).mean(), equal_nan=True)
-    y = recursive.seeded(np.arange(10.0), 0.5, 4)
-    assert np.isnan(y[:3]).all() and y[3] == 1.5 and y[4] == 2.75
+def test_smoothing_follows_pandas(spark):
+    """Nulls anywhere, spans and blocks of any size, a null key, a weight of 1."""
+    rng = np.random.default_rng(2)
+    series = {0: [None, 1.0, 2.0, None, None, 5.0, 4.0], 1: list(rng.normal(size=700)), None: [3.0], 2: [None] * 5, 3: [x if rng.random() > 0.3 else None for x in rng.normal(size=60)]}
+    rows = [(t, i, None if x is None else float(x)) for t, xs in series.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "ticker int, date int, x double").repartition(5)
+    wanted = {"u": ("x", "unseeded", 0.3, 0), "v": ("x", "unseeded", 2 / 21, 6), "w": ("x", "unseeded", 1.0, 0), "s": ("x", "seeded", 0.5, 4), "fast": ("x", "seeded", 0.9, 2)}
+    for block in (None, F.floor(F.col("date") / 7), F.lit(0)):
+        plan = recursive.smooth(df, wanted, block=block)
+        assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+        found = {(r.ticker, r.date): r for r in plan.collect()}
+        assert len(found) == len(rows)
+        for t, xs in series.items():
+            x = pd.Series(xs, dtype=float)
+            mean = {"u": x.ewm(alpha=0.3, adjust=False).mean(), "v": x.ewm(alpha=2 / 21, adjust=False, min_periods=6).mean(), "w": x.ffill()}
+            for out, n, alpha in (("s", 4, 0.5), ("fast", 2, 0.9)):
+                y, first = np.full(len(x), np.nan), x.first_valid_index()
+                if first is not None and len(x) >= first + n:
+                    y[first + n - 1] = x[first : first + n].to_numpy().mean()
+                    for i in range(first + n, len(x)):
+                        y[i] = y[i - 1] + alpha * (x[i] - y[i - 1])
+                mean[out] = y
+            for out, y in mean.items():
+                got = [found[t, i][out] for i in range(len(xs))]
+                assert np.allclose(np.array(got, float), np.array(y, float), rtol=1e-11, atol=1e-12, equal_nan=True), (t, out)
 
 
 def test_ranks_with_ties_and_nulls(spark):
