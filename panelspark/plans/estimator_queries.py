@@ -72,13 +72,6 @@ def est_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return est.sequential_bootstraps(lives(spark, d), "ticker", 40, 3)
 
 
-# T10 to T15
-@query("est_portfolio_weights")
-def est_portfolio_weights(spark: SparkSession, d: str) -> DataFrame:
-    r = ind.with_returns(bars(spark, d)).where("ret IS NOT NULL").withColumn("yr", F.year("date"))
-    return est.portfolio_weights(r.select("yr", "date", "ticker", "ret"), "yr", "date", "ticker", "ret")
-
-
 # T16
 @query("est_regimes")
 def est_regimes(spark: SparkSession, d: str) -> DataFrame:

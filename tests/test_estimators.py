@@ -76,38 +76,6 @@ def test_signal_backtest_passes_over_what_costs_too_much():
     assert taken.tolist() == [True, False, True] and money.tolist() == [105.0, 105.0, 95.0]
 
 
-def test_portfolios_reach_their_aims():
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(300, 5)) * [1, 2, 1, 3, 1] + [0.2, 0.1, 0.0, 0.3, 0.05]
-    mu, cov = x.mean(axis=0), np.cov(x.T)
-    some = rng.dirichlet(np.ones(5), 4000)
-    shortfall = lambda w: -np.sort(x @ w)[:15].mean()
-    assert shortfall(est.least_shortfall(x)) <= min(map(shortfall, some)) + 0.02
-    sharpe = lambda w: mu @ w / np.sqrt(w @ cov @ w)
-    assert sharpe(est.maximum_sharpe(mu, cov)) >= max(map(sharpe, some)) - 0.01
-    w = est.mean_variance(mu, cov, cap=0.4, leverage=1.0)
-    gain = lambda w: mu @ w - 2.5 * w @ cov @ w
-    others = [est.project(v, 0.4, 1.0) for v in rng.normal(size=(4000, 5)) / 5]
-    assert abs(w.sum()) < 1e-9 and np.abs(w).max() <= 0.4 + 1e-9 and gain(w) >= max(map(gain, others)) - 1e-3
-    held = est.mean_variance(mu, cov, turnover=10.0, before=np.array([0.1, -0.1, 0.0, 0.0, 0.0]))
-    assert np.allclose(held, [0.1, -0.1, 0, 0, 0])
-
-
-def test_portfolios():
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(500, 4)) * [1, 2, 3, 4]
-    cov, share = est.ledoit_wolf(x)
-    assert 0 <= share <= 1 and np.allclose(cov, cov.T)
-    w = est.risk_parity(cov)
-    risk = w * (cov @ w)
-    assert np.allclose(risk, risk.mean(), rtol=1e-3) and w.sum() == pytest.approx(1)
-    assert est.minimum_variance(cov).argmax() == 0
-    p = est.project(np.array([0.5, 0.3, -0.1, 0.0]), 0.2, 0.5)
-    assert abs(p.sum()) < 1e-6 and np.abs(p).max() <= 0.2 and np.abs(p).sum() <= 0.5 + 1e-9
-    view = est.black_litterman(cov, np.full(4, 0.25), np.array([[1.0, 0, 0, 0]]), np.array([9.0]))
-    assert view[0] > (2.5 * cov @ np.full(4, 0.25))[0]
-
-
 def test_hidden_states_find_the_turbulent_half():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=300), 5 * rng.normal(size=300)])
