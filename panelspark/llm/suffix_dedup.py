@@ -4,12 +4,11 @@ A window is a string of ``length`` bytes.  A byte goes if a window over it also
 starts anywhere else.  Sorting the suffixes at all places would move every byte
 ``length`` times; a sparse suffix array is enough.
 
-Sampled suffixes.  Places whose gram has the least hash for ``reach`` bytes around
-are sampled, so whether a place is sampled follows from the bytes around it.  A
-window belongs to the first sampled place that lies far enough within it, o bytes
-after its start; equal windows have the same o.  They are equal if o bytes before
-and length - o bytes after their places agree.  A window without a sampled place
-is a suffix of its own (o = 0).
+Sampled suffixes.  A window is told by the place in its first three fifths whose gram
+has the least hash, the first of equal ones: so which place it is follows from the
+window's own bytes, and windows after another share theirs.  Equal windows have it the
+same o bytes after their starts; they are equal if o bytes before and length - o bytes
+after their places agree.
 
 Distinguishing prefixes.  A suffix whose first ``depth`` bytes occur once decides
 its windows: none occurs elsewhere.  Suffixes are counted by a hash of these bytes
@@ -51,17 +50,16 @@ MAX_BITS = 27
 #: Bytes of a longer text that are cut at a time, and contexts of a sorted run.
 SEGMENT, RUN = 1 << 20, 1 << 14
 MULTIPLIER, RADIX = U64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
-LONE = U64(0x51ED270B0A6F)
 
 
 class Shape:
     """The sizes that follow from the length of a window."""
 
     def __init__(self, length: int):
-        self.length, self.top, self.reach = length, length * 3 // 5, max(1, length // 12)
+        #: Largest o; windows too short for a gram are told by their start.
+        self.length, self.top = length, max(0, min(length * 3 // 5, length - GRAM))
         #: Bytes that every window has behind its sampled place.
         self.depth = length - self.top
-        self.sampled = self.top + self.reach + GRAM <= length
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -85,38 +83,25 @@ class Slice:
 
     def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, shape: Shape):
         self.data, self.shape = data, shape
-        n, h, last = len(data), shape.reach, end - shape.length
-        fit = last >= begin
-        x = np.empty(0, np.int64)
-        if shape.sampled and n > 2 * h + GRAM:
+        n, last = len(data), end - shape.length
+        number = np.maximum(last - begin + 1, 0)
+        start, piece = ragged(begin, number), np.repeat(np.arange(len(begin)), number)
+        place = start
+        if shape.top and len(start):
             padded = np.concatenate([data, np.zeros(8, np.uint8)])
-            hashes = ((np.ndarray(n, dtype="<u8", buffer=padded.data, strides=(1,)) * MULTIPLIER) >> U64(32)).astype(np.uint32)
-            least, width = hashes, 1
-            while 2 * width <= h:
+            hashes = np.ndarray(n, dtype="<u8", buffer=padded.data, strides=(1,)) * MULTIPLIER
+            # least (hash, place) of the top + 1 places from each one on
+            least, width = (hashes >> U64(32) << U64(32)) | np.arange(n, dtype=np.uint64), 1
+            while 2 * width <= shape.top + 1:
                 least, width = np.minimum(least[:-width], least[width:]), 2 * width
-            least = np.minimum(least[: n - h + 1], least[h - width : h - width + n - h + 1])
-            middle = hashes[h : n - h]
-            x = np.flatnonzero((middle < least[: n - 2 * h]) & (middle <= least[h + 1 : n - h + 1])) + h
-        piece = np.searchsorted(begin, x, side="right") - 1
-        inside = (x - h >= begin[piece]) & (x + h + GRAM <= end[piece]) & fit[piece] if len(x) else np.empty(0, bool)
-        x, piece = x[inside], piece[inside]
-        first = np.ones(len(x), bool)
-        first[1:] = piece[1:] != piece[:-1]
-        # the first start that belongs to no earlier place, and the last one that this place is far enough within
-        after = begin[piece]
-        after[~first] = x[:-1][~first[1:]] - h + 1
-        high = np.minimum(x - h, last[piece])
-        low = np.maximum(after, x - shape.top)
-        # windows without a place: too far before the next one, or behind the last one
-        tail = begin.copy()
-        tail[piece] = x - h + 1  # of several the last stays
-        gap = np.maximum(np.minimum(x - shape.top, last[piece] + 1) - after, 0)
-        rest = np.where(fit, np.maximum(last + 1 - tail, 0), 0)
-        lone = np.concatenate([ragged(after, gap), ragged(tail, rest)])
-        own = low <= high
-        self.x, self.low, self.high = (np.concatenate([a[own], lone]) for a in (x, low, high))
-        self.piece = np.concatenate([piece[own], np.repeat(piece, gap), np.repeat(np.arange(len(begin)), rest)])
-        self.lone = np.arange(len(self.x)) >= own.sum()
+            rest = shape.top + 1 - width
+            least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+            place = (least[start] & U64(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(start), bool)
+        new[1:] = (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])
+        first = np.flatnonzero(new)
+        self.x, self.low, self.piece = place[first], start[first], piece[first]
+        self.high = start[np.append(first[1:], len(start)) - 1] if len(first) else start
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + U64(1)) * powers(RADIX, n), out=self.sums[1:])
         self.back = powers(pow(RADIX, -1, 1 << 64), n + 1)
@@ -126,7 +111,7 @@ class Slice:
 
     def prefixes(self) -> np.ndarray:
         """A hash of the first ``depth`` bytes of each suffix."""
-        return mix(self.hashed(self.x, self.x + self.shape.depth) + np.where(self.lone, LONE, U64(0)))
+        return self.hashed(self.x, self.x + self.shape.depth)
 
     def contexts(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(least o, greatest o, two hashes of all bytes of their windows) of some suffixes."""
