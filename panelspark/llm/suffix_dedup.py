@@ -442,7 +442,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and contexts and single windows compared by 128 bits.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", key_of(F.col("text")))
-    spans = repeated_spans(rows, length, hot).withColumnRenamed("key", "of")
+    # as a table: the join then has an exchange of its own, in which Spark splits the copies of one text
+    spans = written(repeated_spans(rows, length, hot), "spans").withColumnRenamed("key", "of")
     joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("id", "text", "spans")
     span = "array<struct<start:bigint,stop:bigint>>"
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span}"
