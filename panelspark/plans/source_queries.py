@@ -192,17 +192,6 @@ def ord_registry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy(name.alias("name")).agg(F.min("c_custkey").alias("place")).orderBy("place").limit(30).select("name")
 
 
-# ST7: one job a name with the most urgent reason, the newest 400 kept
-@query(
-    "st_job_queue",
-    "SELECT user_id AS ticker, min(rank) AS rank, max(ts) AS at FROM (SELECT *, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS rank FROM events) GROUP BY user_id QUALIFY row_number() OVER (ORDER BY max(ts) DESC, user_id) <= 400",
-)
-def st_job_queue(spark: SparkSession, d: str) -> DataFrame:
-    rank = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    jobs = events(spark, d).groupBy(F.col("user_id").alias("ticker")).agg(F.min(rank).alias("rank"), F.max("ts").alias("at"))
-    return jobs.orderBy(F.desc("at"), "ticker").limit(400).withColumn("at", F.col("at").cast("timestamp_ntz"))
-
-
 OWN = "CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END"
 
 

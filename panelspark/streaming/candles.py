@@ -37,20 +37,33 @@ def carried_open(candles: DataFrame) -> DataFrame:
     return candles.withColumns({"open": opened, "high": F.greatest("high", opened), "low": F.least("low", opened)})
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def finished(stream: DataFrame, mode: str, path: str | None = None) -> DataFrame:
     """Runs a bounded stream to its end; its rows as a table in the shared folder, written by the executors.
 
-    append: the rows of all batches; complete: those of the last one.
+    append: the rows of all batches; complete: those of the last one.  ``path``: a
+    folder of the caller's, whose checkpoint and rows an earlier run may have left.
     """
-    spark, path = stream.sparkSession, files.scratch(stream.sparkSession, "stream")
+    spark = stream.sparkSession
+    again = path is not None
+    path = path or files.scratch(spark, "stream")
     written: list[int] = []
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a batch that is run again replaces itself
         written.append(batch)
 
-    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    store = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # state machines need it; a stream keeps the settings of its start
+    try:
+        run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, store) if store else spark.conf.unset(STORE)
     run.awaitTermination()
+    if again:
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
     batches = sorted(set(written)) if mode == "append" else written[-1:]
     if not batches:
         return spark.createDataFrame([], stream.schema)
@@ -140,23 +153,6 @@ def retrain_triggers(stream: DataFrame, least: int = 20, cooldown: int = 300) ->
     return rows.groupBy("ticker").applyInPandasWithState(step, "ticker string, at_tick long", "seen long, base long, last long, prices array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def cache_hits(stream: DataFrame, ttl: int) -> DataFrame:
-    """(key, event_id, hit): whether a request finds its key's answer no older than ``ttl`` seconds; otherwise it is fetched anew."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else -(1 << 62)
-        rows = pd.concat(list(parts)).sort_values(["second", "event_id"], kind="stable")
-        hits = []
-        for at in rows["second"].tolist():
-            hits.append(at - since <= ttl)
-            since = since if hits[-1] else at
-        state.update((since,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "hit": hits})
-
-    rows = stream.select(F.col("user_id").alias("key"), "event_id", F.unix_seconds("ts").alias("second"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key long, event_id long, hit boolean", "since long", "append", GroupStateTimeout.NoTimeout)
-
-
 def merged_state(stream: DataFrame, key: str, order: Column, numbers: dict[str, Column], names: dict[str, Column]) -> DataFrame:
     """The last finite value of each number and the last non-empty one of each name; what is neither leaves the state as it is."""
     finite = {n: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c) for n, c in numbers.items()} | {n: F.nullif(c, F.lit("")) for n, c in names.items()}
