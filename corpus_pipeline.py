@@ -23,8 +23,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Operator 10: passages of earlier documents go; a document that loses all its words goes with them."""
     left = line_dedup.line_dedup(docs)
     gone = (F.col("lines_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.where(F.coalesce(~gone, F.lit(True))).withColumn("n_chars", changed).select(docs.columns)
+    left = left.where(F.coalesce(~gone, F.lit(True)))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .arrays import U64, Words, list_array, lower_ascii, mix, ragged, text_chunks
 from .components import components
-from .shared import written
+from .shared import unused, written
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * common >= PERCENT * union.
@@ -344,12 +344,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = written(near_duplicates(docs, id_col, text_col, percent), "near-copies").where(F.col("id").isNotNull() & F.col("root").isNotNull())
     stays = found.groupBy("root").agg(F.min(F.struct("id", "key")).alias("stays"))
     # as a table its size is known: the few ids of a small one are sent to the texts, not the texts to them
-    gone = written(found.join(stays, "root").where(F.struct("id", "key") != F.col("stays")).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    id_, key_, text_ = unused(docs, "id", "key", "text_key")
+    gone = written(found.join(stays, "root").where(F.struct("id", "key") != F.col("stays")).select(F.col("id").alias(id_), F.col("key").alias(key_)).distinct(), "gone")
     key = F.xxhash64(text_col)
-    kept = docs.join(gone, (F.col(id_col) == F.col("_id")) & (key == F.col("_key")), "left_anti").select(docs.columns)
-    repeated = written(found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key")), "repeated")
+    same = (F.col(id_col) == F.col(id_)) & (key == F.col(key_))
+    kept = docs.join(gone, same, "left_anti").select(docs.columns)
+    repeated = written(found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(id_), F.col("key").alias(key_)), "repeated")
     if repeated.limit(1).count() == 0:
         return kept
-    same = (F.col(id_col) == F.col("_id")) & (key == F.col("_key"))
-    once = kept.join(repeated, same, "left_semi").withColumn("_text", key).dropDuplicates([id_col, "_text"]).select(docs.columns)
+    once = kept.join(repeated, same, "left_semi").withColumn(text_, key).dropDuplicates([id_col, text_]).select(docs.columns)
     return kept.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)

@@ -197,9 +197,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The k-grams are joined where they are read; only hits are shuffled.
     """
-    base = base_scan(docs, id_col, text_col)
-    found = verified_spans(docs, id_col, text_col)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))  # whatever names they have outside
+    base = base_scan(docs, "id", "text")
+    found = verified_spans(docs, "id", "text")
     joined = base.join(found, "key", "left")
     plain = F.array_join(F.array_sort(F.array_distinct("found")), ",")
     every = F.array_join(F.array_sort(F.array_union("found", F.coalesce("added", F.array().cast("array<string>")))), ",")
-    return joined.select(id_col, "n_words", "n_base", "first_word", "last_word", plain.alias("base_labels"), every.alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")
+    return joined.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", plain.alias("base_labels"), every.alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans")

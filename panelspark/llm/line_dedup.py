@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import STEP, U64, Words, hash_spans, list_array, mix, text_chunks
-from .shared import written
+from .shared import unused, written
 
 MIN_WORDS = 10
 PRIME, RADIX = (1 << 61) - 1, 0x1B873593CC9E2D51
@@ -282,12 +282,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The texts are read twice and shuffled once, with the deletions; the search
     moves a hash for each shortest passage.
     """
-    blocks = duplicate_blocks(docs, id_col, text_col, min_words)
+    found = duplicate_blocks(docs, id_col, text_col, min_words)
+    key, blocks, total = unused(docs, "key", "blocks", "total")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.exists(F.col("_blocks"), lambda b: (i >= b["start"]) & (i < b["end"])))
-    joined = docs.withColumn("_key", key_of(id_col, text_col)).join(blocks.select(F.col("key").alias("_key"), F.col("blocks").alias("_blocks")), "_key", "left")
-    result = joined.withColumn("lines_total", F.size(lines)).withColumn(text_col, F.when(F.col("_blocks").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    deleted = F.col("lines_total") - F.when(F.col("_blocks").isNull(), F.col("lines_total")).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("lines_total") - 1), F.lit(0), lambda n, i: n + F.when(F.exists(F.col("_blocks"), lambda b: (i >= b["start"]) & (i < b["end"])), 0).otherwise(1)))
-    result = result.withColumn("lines_deleted", deleted)
+    gone = lambda i: F.exists(F.col(blocks), lambda b: (i >= b["start"]) & (i < b["end"]))
+    left = F.filter(lines, lambda _, i: ~gone(i))
+    joined = docs.withColumn(key, key_of(id_col, text_col)).join(found.select(F.col("key").alias(key), F.col("blocks").alias(blocks)), key, "left")
+    none = F.col(blocks).isNull()
+    result = joined.withColumn(total, F.size(lines)).withColumn(text_col, F.when(none, F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    stays = F.aggregate(F.sequence(F.lit(0), F.col(total) - 1), F.lit(0), lambda n, i: n + F.when(gone(i), 0).otherwise(1))
+    deleted = F.col(total) - F.when(none, F.col(total)).otherwise(stays)
     names = [c for c in docs.columns if c not in ("lines_total", "lines_deleted")]
-    return result.select(*names, "lines_total", "lines_deleted")
+    return result.select(*names, F.col(total).alias("lines_total"), deleted.alias("lines_deleted"))

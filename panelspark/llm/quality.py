@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,13 +51,13 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket(words.hashes, WORD_BUCKETS), WORD_BUCKETS + bucket(pairs, PAIR_BUCKETS), at
 
 
-def gram_counts(docs: DataFrame, trusted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, raw, target) over all documents; trusted: sorted ids."""
+def gram_counts(docs: DataFrame, trusted: list, id_col: str, text_col: str) -> DataFrame:
+    """(bucket, raw, target) over all documents; trusted: ids, of the type of the documents' ones."""
 
     def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            known = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), trusted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            known = pc.is_in(batch.column(0), value_set=pa.array(trusted, batch.column(0).type)).to_numpy(zero_copy_only=False)
             for row, data, offsets in text_chunks(batch.column(1)):
                 words = Words(data, offsets)
                 good = known[row : row + len(words.counts)][words.text_of()]
@@ -71,16 +72,15 @@ def gram_counts(docs: DataFrame, trusted: np.ndarray, id_col: str, text_col: str
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def trusted_ids(labels: DataFrame, id_col: str, max_trusted: int) -> np.ndarray:
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(id_col).dropna().distinct()
-    rows = good.orderBy(F.xxhash64(id_col), id_col).limit(max_trusted).collect()
-    return np.array(sorted(r[0] for r in rows))
+def trusted_ids(labels: DataFrame, id_col: str, max_trusted: int, kind: T.DataType) -> list:
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).try_cast(kind).alias(id_col)).dropna().distinct()
+    return [r[0] for r in good.orderBy(F.xxhash64(id_col), id_col).limit(max_trusted).collect()]
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """Log ratio of every bucket.  Without trusted documents all are 0, and the method rejects nothing."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    rows = gram_counts(docs, trusted_ids(labels, id_col, max_trusted), id_col, text_col).toArrow()  # at most BUCKETS rows
+    rows = gram_counts(docs, trusted_ids(labels, id_col, max_trusted, docs.schema[id_col].dataType), id_col, text_col).toArrow()  # at most BUCKETS rows
     raw[rows["bucket"].to_numpy()], target[rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
     return log_ratios(raw, target)
 

@@ -5,6 +5,10 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, n_words string, key string, lines_total int"
+#: Names that operators use inside, of types that are not theirs.
+INSIDE = ("_key", "_blocks", "_id", "_text", "id", "blocks", "total", "root", "name", "TEXT_KEY")
+SCHEMA += "".join(f", {c} string" for c in INSIDE)
+CLASH = ("clash", "clash", 1, *(f"kept {c}" for c in INSIDE))
 
 
 def sentence(rnd: random.Random, n: int) -> str:
@@ -36,7 +40,7 @@ def texts() -> list[tuple]:
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """The texts, with extra columns whose names operators use inside."""
-    rows = [(i, t, "clash", "clash", 1) for i, t in texts]
+    rows = [(i, t, *CLASH) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

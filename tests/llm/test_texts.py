@@ -11,6 +11,8 @@ import numpy as np
 
 from panelspark.llm import jaccard_join, language_model, license_scan, line_dedup, quality
 
+from .conftest import INSIDE
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -468,3 +470,28 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
     store(tmp_path / "twice", rows[:5] * 2, labels)
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "twice")).collect()) == Counter(range(5))
+
+
+def test_columns_of_any_name_keep_their_values(docs, spark):
+    """Whatever operators name their own columns, those of the documents stay as they are."""
+    for out in (line_dedup.line_dedup(docs), jaccard_join.without_near_copies(docs)):
+        rows = out.collect()
+        assert rows and all(r[c] == f"kept {c}" for r in rows for c in INSIDE)
+
+
+def test_ids_of_any_type_and_name(spark, texts):
+    """String ids, in columns that operators name so themselves."""
+    labels = spark.createDataFrame([("a1", 1, 0), ("a2", 1, None), ("a3", 0, 1)], "key string, quality int, toxic int")
+    rows = [(None if i is None else f"a{i}", t, "text", "clash") for i, t in texts[:60]]
+    df = spark.createDataFrame(rows, "key string, body string, text string, id string")
+    wanted = sorted(str(r[0]) for r in rows)
+    for found in (
+        license_scan.license_scan(df, "key", "body"),
+        quality.quality_rules(df, labels, "key", "body"),
+        line_dedup.line_dedup(df, "key", "body"),
+        jaccard_join.jaccard_join(df, "key", "body"),
+    ):
+        assert sorted(str(r["key"]) for r in found.collect()) == wanted
+    assert set(quality.good_documents(df, labels, "key", "body").columns) == set(df.columns)
+    numbered = spark.createDataFrame([(i, t) for i, t in texts[:20] if i is not None], "key long, body string")
+    assert quality.quality_rules(numbered, labels, "key", "body").count() == numbered.count()  # labels that are no numbers are of no document
