@@ -148,29 +148,3 @@ def logistic_model(features: list[str], rounds: int = 300, rate: float = 0.5, pe
         return scaled(val) @ w, scaled(test) @ w, p[:, 2] - p[:, 0]
 
     return fit
-
-
-def stump_model(features: list[str], trees: int = 60, rate: float = 0.1, cuts: int = 8) -> FitPredict:
-    """Gradient boosting of the multinomial loss with one-split trees at quantiles of the training block."""
-
-    def fit(train: pd.DataFrame, val: pd.DataFrame, test: pd.DataFrame, seed: int, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        xs = [part[features].to_numpy(float) for part in (train, val, test)]
-        y = np.eye(3)[train["y"].to_numpy(int)]
-        start = np.log(y.mean(axis=0) + 1e-6)
-        zs = [np.tile(start, (len(x), 1)) for x in xs]
-        edges = [(j, c) for j in range(len(features)) for c in np.unique(np.quantile(xs[0][:, j], np.linspace(0.1, 0.9, cuts)))]
-        sides = np.column_stack([xs[0][:, j] <= c for j, c in edges]).astype(float)
-        n = sides.sum(axis=0)
-        for _ in range(trees):
-            left = y - softmax(zs[0])
-            low = sides.T @ left
-            high = left.sum(axis=0) - low
-            gain = (low**2 / np.maximum(n, 1)[:, None] + high**2 / np.maximum(len(y) - n, 1)[:, None]).sum(axis=1)
-            j, c = edges[best := int(gain.argmax())]
-            values = low[best] / max(n[best], 1), high[best] / max(len(y) - n[best], 1)
-            for x, z in zip(xs, zs, strict=True):
-                z += rate * 3 * np.where((x[:, j] <= c)[:, None], *values)
-        p = softmax(zs[2])
-        return zs[1], zs[2], p[:, 2] - p[:, 0]
-
-    return fit

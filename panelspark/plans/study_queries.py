@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import lag
 from ..operators import indicators as ind
-from ..operators import panels, walkforward
+from ..operators import boosting, panels, walkforward
 from ..sources import files, reports, synthetic
 from ..sources.tables import NEWS_SQL, SESSIONS_SQL, bars, news, sessions
 from .catalog import query
@@ -73,10 +73,46 @@ def wf_logistic_metrics(spark: SparkSession, d: str) -> DataFrame:
     return walkforward.fold_metrics(studied(spark, d, walkforward.logistic_model(["f1", "f2"]), [0, 1]))
 
 
-# Boosted trees
+BOOST = boosting.Settings(rounds=5, depth=3, bins=16, least_rows=10)
+
+
+def boosted_blocks(spark: SparkSession, d: str) -> DataFrame:
+    panel = study_panel(spark, d)
+    folds = panels.walk_forward(panel.select("date").distinct(), 5, 0.01, 104, 26, 26)
+    return walkforward.blocks(panel, folds, "date")
+
+
+# Boosted trees of every fold, on its test block
 @query("wf_boosted_metrics")
 def wf_boosted_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward.fold_metrics(studied(spark, d, walkforward.stump_model(["f1", "f2"]), [0]))
+    rows = boosted_blocks(spark, d)
+    model = boosting.fit(rows.where("part = 'train'"), "fold", ["f1", "f2"], "y", settings=BOOST)
+    scored = boosting.predict(rows.where("part = 'test'"), model, "fold")
+    p = F.col("probabilities")
+    hit = F.array_position(p, F.array_max(p)) - 1 == F.col("y")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("accuracy"), F.avg(-F.log(F.greatest(p[F.col("y").cast("int")], F.lit(1e-12)))).alias("nll"), F.corr(p[2] - p[0], "fwd_ret").alias("ic"))
+
+
+# The first split of every fold and class, from sums of gradients by bin
+@query(
+    "wf_boosted_splits",
+    with_bars(
+        """SELECT fold::INT AS fold, class, feature, cut, round(gain, 4) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY fold, class ORDER BY gain DESC, feature, bin) AS place FROM (SELECT *, pow(lg, 2) / (lh + 1) + pow(tg - lg, 2) / (th - lh + 1) - pow(tg, 2) / (th + 1) AS gain FROM (
+  SELECT fold, class, feature, bin, edges[bin + 1] AS cut, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER v AS tg, sum(h) OVER v AS th, sum(n) OVER v AS tn FROM bb WINDOW v AS (PARTITION BY fold, class, feature), w AS (PARTITION BY fold, class, feature ORDER BY bin)) WHERE ln >= 10 AND tn - ln >= 10) WHERE gain > 1e-9) WHERE place = 1""",
+        RET,
+        PANEL,
+        FOLDS,
+        "bt AS (SELECT fold, f1, f2, CASE WHEN fwd_ret > 0.05 THEN 2 WHEN fwd_ret < -0.05 THEN 0 ELSE 1 END AS y FROM sp JOIN sd USING (date), sf WHERE pos < val_lo - 5)",
+        "bx AS (SELECT fold, y, 0 AS feature, f1 AS x FROM bt UNION ALL SELECT fold, y, 1, f2 FROM bt)",
+        f"be AS (SELECT fold, feature, list_sort(list_distinct(quantile_disc(x, {[i / 16 for i in range(1, 16)]}))) AS edges FROM bx GROUP BY ALL)",
+        "bp AS (SELECT fold, class, greatest(count(*) FILTER (WHERE y = class) / count(*)::DOUBLE, 1e-9) AS p FROM bt, (SELECT unnest(range(3))::INT AS class) GROUP BY fold, class)",
+        "bb AS (SELECT fold, class, feature, len(list_filter(edges, lambda e: e < x)) AS bin, any_value(edges) AS edges, sum(p - (y = class)::INT) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM bx JOIN be USING (fold, feature) JOIN bp USING (fold) GROUP BY ALL)",
+    ),
+)
+def wf_boosted_splits(spark: SparkSession, d: str) -> DataFrame:
+    model = boosting.fit(boosted_blocks(spark, d).where("part = 'train'"), "fold", ["f1", "f2"], "y", settings=boosting.Settings(rounds=1, depth=1, bins=16, least_rows=10))
+    rows = [(f, k, int(t.feature[0]), float(model.edges[f][t.feature[0]][t.cut[0]]), float(t.gain[0])) for f, trees in model.trees.items() for k, t in enumerate(trees[0]) if t.feature[0] >= 0]  # a row a fold and class
+    return spark.createDataFrame(rows, "fold int, class int, feature int, cut double, gain double").withColumn("gain", F.round("gain", 4))
 
 
 # How far news lies before its session, and how often too near
