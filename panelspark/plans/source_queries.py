@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import by_ticker, rolling
 from ..operators import indicators as ind
 from ..operators import metrics
-from ..sources import fetch, files, synthetic
+from ..sources import dumps, fetch, files, synthetic
 from ..sources.tables import bars, events, table
 from ..streaming import candles
 from .catalog import query
@@ -121,25 +120,36 @@ def rep_random_signals(spark: SparkSession, d: str) -> DataFrame:
     return days.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("icir"), F.round(F.avg((F.col("ic") > 0).cast("int")), 6).alias("hit_rate"), F.round(F.avg("spread"), 8).alias("spread"))
 
 
-def demo_history(name: int) -> pd.DataFrame:
-    """Five days of a name; every seventh name fails, and a day of each has no volume."""
-    if name % 7 == 0:
-        raise LookupError(f"no history of {name}")
-    days = pd.date_range("2024-01-01", periods=5, tz="UTC")
-    price = [100.0 + name + i for i in range(5)]
-    return pd.DataFrame({"date": days, "open": price, "high": price, "low": price, "close": price, "volume": [0.0 if i == name % 5 else 10.0 for i in range(5)]})
+MARKET_NAMES = ("NYSE", "NASDAQ", "SP500")
+DUMPED = "dp AS (SELECT ticker, ['NYSE', 'NASDAQ', 'SP500'][ticker % 3 + 1] AS market, date, open, high, low, close, volume FROM bars WHERE ticker % 7 <> 0)"
 
 
-# Histories of all names, kept as a table; a name that fails is told and passed over
+def dumped(spark: SparkSession, d: str) -> str:
+    """The bars of six nations in seven as a dump; its folder."""
+    path = files.scratch(spark, "dump")
+    rows = bars(spark, d).where("ticker % 7 <> 0").withColumn("market", F.element_at(F.array(*map(F.lit, MARKET_NAMES)), F.col("ticker") % 3 + 1))
+    dumps.write_dump(rows, path)
+    return path
+
+
+# A dump of statements, its files pruned by market and its rows by date
+@query("scan_dump", with_bars("SELECT ticker::VARCHAR AS ticker, market, date, round(open, 6) AS open, round(close, 6) AS close, volume FROM dp WHERE market IN ('NYSE', 'SP500') AND date >= DATE '1995-01-01' AND date < DATE '1997-01-01'", DUMPED))
+def scan_dump(spark: SparkSession, d: str) -> DataFrame:
+    day = lambda text: F.lit(text).cast("date")
+    rows = dumps.read_dump(spark, dumped(spark, d)).where(F.col("market").isin("NYSE", "SP500") & (F.col("date") >= day("1995-01-01")) & (F.col("date") < day("1997-01-01")))
+    return rows.select("ticker", "market", "date", F.round("open", 6).alias("open"), F.round("close", 6).alias("close"), "volume")
+
+
+# Histories of all names from the dump, kept as a table; a name without files is told and passed over
 @query(
     "scan_fetched_histories",
-    "SELECT n_nationkey::INT AS ticker, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (DATE '2024-01-01' + i::INT)::DATE END AS date, CASE WHEN n_nationkey % 7 <> 0 THEN 100.0 + n_nationkey + i END::DOUBLE AS close, CASE WHEN n_nationkey % 7 = 0 THEN 'no history of ' || n_nationkey END AS error FROM nation, (SELECT unnest(range(5)) AS i) WHERE CASE WHEN n_nationkey % 7 = 0 THEN i = 0 ELSE i <> n_nationkey % 5 END",
+    with_bars("SELECT n_nationkey::INT AS ticker, date, round(close, 6) AS close, CASE WHEN date IS NULL THEN 'no history of ' || n_nationkey END AS error FROM nation LEFT JOIN dp ON ticker = n_nationkey AND volume > 0", DUMPED),
 )
 def scan_fetched_histories(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("ticker"))
-    path = files.scratch(spark, "histories")
-    fetch.fetched_once(names, "ticker", demo_history, path)
-    return fetch.fetched_once(names, "ticker", demo_history, path).select("ticker", "date", "close", "error")
+    path, source = files.scratch(spark, "histories"), dumps.history(dumped(spark, d))
+    fetch.fetched_once(names, "ticker", source, path)
+    return fetch.fetched_once(names, "ticker", source, path).select("ticker", "date", F.round("close", 6).alias("close"), "error")
 
 
 # Texts as a data set, written and read back
