@@ -13,11 +13,12 @@ from ..operators import estimators as est
 from ..operators import indicators as ind
 from ..operators import inference
 from ..sources.tables import bars
+from ..streaming import candles, tunnels
 from .catalog import query
 from .inference_queries import BLOCK, RESAMPLES, draws_sql
 from .metric_queries import MARKET, PRED, market, predictions
 from .relational_queries import sql
-from .window_queries import lives, with_bars
+from .window_queries import LIVES, W, lives, with_bars
 
 
 LOGITS = "pz AS (SELECT doc_id % 4 AS fold, ln(p0) AS z0, ln(p1) AS z1, ln(p2) AS z2, y, greatest(ln(p0), ln(p1), ln(p2)) AS h, CASE y WHEN 0 THEN ln(p0) WHEN 1 THEN ln(p1) ELSE ln(p2) END AS own FROM pred)"
@@ -43,11 +44,41 @@ def est_temperature(spark: SparkSession, d: str) -> DataFrame:
     return est.temperatures(p, "fold", ["z0", "z1", "z2"], "y").withColumn("temperature", F.round("temperature", 4))
 
 
+def conformal_sql(rows: str, key: str, width: float, cells: int, alpha: float = 0.1, gamma: float = 0.01, warm: int = 30) -> str:
+    """CTE s(key, pos, covered, level_before) over rows(key, pos, score): the level's recursion with all cells so far."""
+    return f"""s AS (SELECT DISTINCT {key}, 0::BIGINT AS pos, []::BIGINT[] AS past, {alpha}::DOUBLE AS level, NULL::BOOLEAN AS covered, NULL::DOUBLE AS before FROM {rows}
+UNION ALL
+SELECT {key}, pos, past || [cell], CASE WHEN covered IS NULL THEN level ELSE level + {gamma} * ({alpha} - (NOT covered)::INT) END, covered, CASE WHEN covered IS NOT NULL THEN level END
+FROM (SELECT *, CASE WHEN len(past) >= {warm} THEN level <= 0 OR cell <= list_sort(past)[greatest(least(ceil(least(greatest(1 - level, 0), 1) * (len(past) - 1) - 1e-9), len(past) - 1), 0)::BIGINT + 1] END AS covered
+FROM (SELECT s.{key}, q.pos, s.past, s.level, least(floor(q.score / {width}), {cells} - 1)::BIGINT AS cell FROM s JOIN {rows} q ON q.{key} = s.{key} AND q.pos = s.pos + 1)))"""
+
+
 # ST14
-@query("est_online_conformal")
+@query(
+    "est_online_conformal",
+    "WITH RECURSIVE "
+    + with_bars(
+        "SELECT s.ticker, q.date, s.covered, round(s.before, 9) AS level FROM s JOIN q ON q.ticker = s.ticker AND q.pos = s.pos WHERE s.covered IS NOT NULL",
+        f"q AS (SELECT ticker, date, score, row_number() OVER {W} AS pos FROM (SELECT ticker, date, abs(ln(lead(close) OVER {W} / close)) AS score FROM bars) WHERE score IS NOT NULL)",
+        conformal_sql("q", "ticker", 1e-4, 1 << 15),
+    )[len("WITH ") :],
+)
 def est_online_conformal(spark: SparkSession, d: str) -> DataFrame:
     score = F.abs(F.log(lead(F.col("close")) / F.col("close")))
-    return est.online_conformal(bars(spark, d).withColumn("s", score).where("s IS NOT NULL").select("ticker", "date", "s"), "ticker", "date", "s")
+    found = est.online_conformal(bars(spark, d).withColumn("s", score).where("s IS NOT NULL").select("ticker", "date", "s"), "ticker", "date", "s")
+    return found.withColumn("level", F.round("level", 9))
+
+
+# ST14: the same machine in a stream's state
+@query(
+    "st_online_conformal",
+    f"""WITH RECURSIVE q AS (SELECT user_id AS key, event_id, value / 100 AS score, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS pos FROM events),
+{conformal_sql("q", "key", 1e-3, 1 << 12)}
+SELECT s.key, q.event_id, s.covered, round(s.before, 9) AS level FROM s JOIN q ON q.key = s.key AND q.pos = s.pos WHERE s.covered IS NOT NULL""",
+)
+def st_online_conformal(spark: SparkSession, d: str) -> DataFrame:
+    scores = candles.ticks(spark, d).select(F.col("user_id").alias("key"), "event_id", "ts", (F.col("value") / 100).alias("score"))
+    return candles.finished(tunnels.conformal(scores, width=1e-3, cells=1 << 12), "append").withColumn("level", F.round("level", 9))
 
 
 # T4, SP9
@@ -66,10 +97,27 @@ def est_bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return means.agg(F.round(F.percentile("s", F.lit(0.025)), 8).alias("low"), F.round(F.avg("s"), 8).alias("mean"), F.round(F.percentile("s", F.lit(0.975)), 8).alias("high"))
 
 
-# SP8
-@query("est_sequential_bootstrap")
+SEED = 3
+DRAW = f"('0x' || substr(md5('{SEED}-' || s.ticker || '-' || s.draw), 1, 12))::BIGINT / 281474976710656.0"
+
+
+# SP8: as many draws as labels; the oracle weighs all labels anew for each draw
+@query(
+    "est_sequential_bootstrap",
+    "WITH RECURSIVE "
+    + with_bars(
+        "SELECT ticker, draw::INT - 1 AS draw, pick AS pos FROM s WHERE draw > 0",
+        LIVES,
+        "lb AS (SELECT ticker, list({'a': pos, 'b': t1} ORDER BY pos) AS labels, max(t1) + 1 AS bars, count(*) AS n FROM x WHERE t1 IS NOT NULL GROUP BY ticker)",
+        f"""s AS (SELECT ticker, 0::BIGINT AS draw, NULL::BIGINT AS pick, list_transform(range(bars), lambda i: 1.0::DOUBLE) AS u FROM lb
+UNION ALL
+SELECT ticker, draw + 1, p.a, u[:p.a] || list_transform(u[p.a + 1:p.b + 1], lambda v: 1 / (1 / v + 1)) || u[p.b + 2:]
+FROM (SELECT *, labels[len(list_filter(cum, lambda c: c <= r * cum[-1])) + 1] AS p FROM (SELECT *, [x.c for x in cums] AS cum FROM (SELECT *, list_reduce(list_transform(w, lambda v: [{{'c': v}}]), lambda acc, v: acc || [{{'c': acc[-1].c + v[1].c}}]) AS cums
+  FROM (SELECT s.ticker, s.draw, s.u, lb.labels, {DRAW} AS r, list_transform(lb.labels, lambda l: list_avg(s.u[l.a + 1:l.b + 1])) AS w FROM s JOIN lb USING (ticker) WHERE s.draw < lb.n)))))""",
+    )[len("WITH ") :],
+)
 def est_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return est.sequential_bootstraps(lives(spark, d), "ticker", 40, 3)
+    return est.sequential_bootstraps(lives(spark, d), "ticker", SEED)
 
 
 # T16

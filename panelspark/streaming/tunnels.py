@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.estimators import OnlineConformal
 from .candles import LAST_PRICES, quiet
 
 
@@ -297,6 +298,41 @@ def cached(ticks: DataFrame, ttl: int) -> DataFrame:
     return keyed(rows, ExpiringCache(ttl), "key", CACHE_LOG)
 
 
+# -- coverage ---------------------------------------------------------------------
+
+COVERAGE_LOG = "key long, event_id long, covered boolean, level double"
+
+
+class Coverage(StatefulProcessor):
+    """Online conformal sets of a key's scores; state: the level and the running counts of the scores' cells."""
+
+    def __init__(self, **settings: float):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("coverage", "level double, seen long, counts array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        level, seen, counts = self.known.get() if self.known.exists() else (None, 0, None)
+        machine = OnlineConformal(**self.settings, level=level, seen=seen, counts=None if counts is None else [int(c) for c in counts])
+        log = []
+        for row in in_order(rows).itertuples():
+            found = machine.step(float(row.score))
+            if found is not None:
+                log.append((key[0], int(row.event_id), bool(found[0]), float(found[1])))
+        self.known.update((float(machine.level), int(machine.seen), machine.counts.tree))
+        yield pd.DataFrame(log, columns=["key", "event_id", "covered", "level"])
+
+    def close(self) -> None:
+        pass
+
+
+def conformal(scores: DataFrame, alpha: float = 0.1, gamma: float = 0.01, warm: int = 30, width: float = 1e-3, cells: int = 1 << 12) -> DataFrame:
+    """COVERAGE_LOG rows of scores (key, event_id, ts, score), nulls left out."""
+    rows = timed(scores.where("score IS NOT NULL")).select("key", "event_id", "second", "score", "ts")
+    return keyed(rows, Coverage(alpha=alpha, gamma=gamma, warm=warm, width=width, cells=cells), "key", COVERAGE_LOG)
+
+
 # -- buffers ------------------------------------------------------------------------
 
 BUFFER_ROWS = "ticker long, version long, event_id long, price double"

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions.fenwick import Fenwick
 from panelspark.operators import inference, panels, walkforward
 from panelspark.operators import estimators as est
 from panelspark.sources import files
@@ -19,18 +20,44 @@ def test_temperature_is_recovered():
     assert est.fit_temperature(z, y) == pytest.approx(2.0, rel=0.1)
 
 
-def test_online_conformal_covers_through_a_break():
+def test_running_sums():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 7, 64, 100):
+        x = rng.integers(0, 5, n)
+        tree = Fenwick(x.tolist())
+        for _ in range(50):
+            i = int(rng.integers(n))
+            x[i] += 2
+            tree.add(i, 2)
+            cum = np.cumsum(x)
+            assert [tree.prefix(k) for k in range(n + 1)] == [0, *cum.tolist()]
+            for t in rng.integers(0, cum[-1] + 1, 5).tolist():
+                assert tree.find(t) == min(int(np.searchsorted(cum, t, side="right")), n - 1)
+
+
+def test_online_conformal_covers_through_a_break(spark):
     rng = np.random.default_rng(1)
     scores = np.abs(np.concatenate([rng.normal(size=1500), 3 * rng.normal(size=1500)]))
-    covered, levels = est.adaptive_conformal(scores, 0.1, 0.02, 50)
-    assert np.nanmean(covered[1600:]) == pytest.approx(0.9, abs=0.04)
-    assert np.isnan(levels[:50]).all() and levels[50] == 0.1
-
-
-def test_sequential_bootstrap_prefers_unique_labels():
-    t1 = np.array([9] * 9 + [9, 10, 11, 12])
-    draws = est.sequential_bootstrap(t1, 400, 1)
-    assert np.mean([d >= 10 for d in draws]) > 3 / 13
+    rows = spark.createDataFrame([(0, i, float(s)) for i, s in enumerate(scores)] + [(1, 0, 1.0)], "k int, t int, s double").repartition(3)
+    found = est.online_conformal(rows, "k", "t", "s", 0.1, 0.02, 50).orderBy("t").collect()
+    assert len(found) == 2950 and found[0].level == 0.1
+    assert np.mean([r.covered for r in found[1550:]]) == pytest.approx(0.9, abs=0.04)
+
+
+def test_sequential_bootstrap_weighs_by_uniqueness():
+    """Against weights made anew for each draw; labels of any lengths."""
+    rng = np.random.default_rng(2)
+    pos = np.sort(rng.choice(300, 120, replace=False))
+    t1 = pos + rng.integers(0, 12, 120)
+    numbers = [est.uniform(f"{i}") for i in range(200)]
+    drawn, picks = np.zeros(400), []
+    for u in numbers:
+        w = np.array([(1 / (drawn[a : b + 1] + 1)).mean() for a, b in zip(pos, t1, strict=True)])
+        picks.append(int(np.searchsorted(np.cumsum(w), u * w.sum(), side="right")))
+        drawn[pos[picks[-1]] : t1[picks[-1]] + 1] += 1
+    assert est.sequential_bootstrap(pos, t1, numbers) == picks
+    crowded = est.sequential_bootstrap(np.arange(13), np.array([9] * 9 + [9, 10, 11, 12]), [est.uniform(f"x{i}") for i in range(400)])
+    assert np.mean([d >= 10 for d in crowded]) > 3 / 13
 
 
 def test_overfitting_of_noise_and_of_skill(spark):
