@@ -120,14 +120,35 @@ def est_sequential_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return est.sequential_bootstraps(lives(spark, d), "ticker", SEED)
 
 
-# T16
+# Three states of returns and their sizes, filtered and smoothed
 @query("est_regimes")
 def est_regimes(spark: SparkSession, d: str) -> DataFrame:
-    return est.regimes(ind.with_returns(bars(spark, d)).select("ticker", "date", "ret"), "ticker", "date", "ret")
+    found = est.regimes(ind.with_returns(bars(spark, d)).select("ticker", "date", "ret"), "ticker", "date", "ret")
+    return found.select("ticker", "date", "state", F.round(F.array_max("filtered"), 4).alias("filtered"), F.round(F.col("smoothed")[F.col("state")], 4).alias("smoothed"))
 
 
-# M14, M15, U1
-@query("est_event_backtest")
+# Positions by past wins and losses within risk limits, one account a name; at first 55 % of wins of 2 %
+@query(
+    "est_event_backtest",
+    "WITH RECURSIVE "
+    + with_bars(
+        "SELECT s.ticker, q.date, round(position, 6) AS position, round(equity, 2) AS equity, round(commission, 4) AS commission, round(slippage, 4) AS slippage FROM s JOIN q USING (ticker, pos)",
+        f"q AS (SELECT ticker, date, close, row_number() OVER {W} AS pos, CASE WHEN f > 0.05 THEN 2 WHEN f < -0.05 THEN 0 ELSE 1 END AS side, least(abs(f) * 2, 1) AS conf FROM (SELECT ticker, date, pow(close, 0.05) AS close, coalesce(ln(close / lag(close, 5) OVER {W}), 0) AS f FROM bars))",
+        """s AS (SELECT ticker, pos, side, conf, close, 1e6::DOUBLE AS equity, 0.0::DOUBLE AS peak, 0.0::DOUBLE AS position, 0.0::DOUBLE AS commission, 0.0::DOUBLE AS slippage, []::DOUBLE[] AS wins, []::DOUBLE[] AS losses, [0.0]::DOUBLE[] AS rets FROM q WHERE pos = 1
+UNION ALL
+SELECT ticker, pos, side, conf, close, equity + gain, peak, new, traded * 5e-4, traded * 2e-4, CASE WHEN earned > 0 THEN wins || [earned] ELSE wins END, CASE WHEN earned < 0 THEN losses || [-earned] ELSE losses END, (rets || [CASE WHEN equity > 0 THEN gain / equity ELSE 0 END])[-21:]
+FROM (SELECT *, earned * equity - traded * 5e-4 - traded * 2e-4 AS gain FROM (SELECT *, abs(new - position) * equity AS traded, new * (close - close0) / close0 AS earned FROM (SELECT *, CASE WHEN (equity - peak) / peak < -0.15 THEN 0 ELSE greatest(least(want, bound), -bound) END AS new
+FROM (SELECT * , (side0 - 1) * least(greatest(CASE WHEN least(win, loss) < 1e-10 THEN 0 ELSE least(greatest((share / loss - (1 - share) / win) * 0.25, 0), 1) END * conf0, 0), 0.1) AS want, least(0.1, coalesce(CASE WHEN len(rets) >= 10 THEN 0.02 / nullif(1.645 * sd, 0) END, 0.1)) AS bound
+FROM (SELECT q.ticker, q.pos, q.side, q.conf, q.close, s.close AS close0, s.side AS side0, s.conf AS conf0, s.equity, greatest(s.peak, s.equity) AS peak, s.position, s.wins, s.losses, s.rets, sqrt(list_avg(list_transform(s.rets, lambda r: pow(r - list_avg(s.rets), 2)))) AS sd,
+  len(s.wins) >= 10 AND len(s.losses) >= 10 AS known, CASE WHEN known THEN len(s.wins) / (len(s.wins) + len(s.losses))::DOUBLE ELSE 0.55 END AS share, CASE WHEN known THEN list_avg(s.wins[-252:]) ELSE 0.02 END AS win, CASE WHEN known THEN list_avg(s.losses[-252:]) ELSE 0.02 END AS loss
+  FROM s JOIN q ON q.ticker = s.ticker AND q.pos = s.pos + 1)))))
+)""",
+    )[len("WITH ") :],
+)
 def est_event_backtest(spark: SparkSession, d: str) -> DataFrame:
-    df = bars(spark, d).withColumn("f", ind.log_return(5)).withColumns({"score": lag(F.col("f")), "next_ret": F.log(lead(F.col("close")) / F.col("close")) / 100})
-    return est.event_backtests(df.select("ticker", "date", "score", "next_ret"), "ticker", "date", "score", "next_ret")
+    f = F.coalesce(ind.log_return(5), F.lit(0.0))
+    df = bars(spark, d).withColumn("f", f).withColumns({"side": F.when(F.col("f") > 0.05, 2).when(F.col("f") < -0.05, 0).otherwise(1), "conf": F.least(F.abs("f") * 2, F.lit(1.0))})
+    # with even odds at first the rule would never open a position
+    df = df.withColumn("close", F.pow("close", F.lit(0.05)))  # moves of the size of market returns
+    out = est.event_backtests(df, "ticker", "date", "side", "conf", "close", prior=(0.55, 0.02, 0.02))
+    return out.select("ticker", "date", F.round("position", 6).alias("position"), F.round("equity", 2).alias("equity"), F.round("commission", 4).alias("commission"), F.round("slippage", 4).alias("slippage"))

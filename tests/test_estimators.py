@@ -103,16 +103,66 @@ def test_signal_backtest_passes_over_what_costs_too_much():
     assert taken.tolist() == [True, False, True] and money.tolist() == [105.0, 105.0, 95.0]
 
 
-def test_hidden_states_find_the_turbulent_half():
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(size=300), 5 * rng.normal(size=300)])
-    mean, sd, p = est.gaussian_hmm(x)
-    assert sd[0] < 2 < sd[1] and p[50:280, 0].mean() > 0.9 and p[350:, 1].mean() > 0.9
+def paths(model, x):
+    """Probability of each state at each time given all and given the past, by summing over every path."""
+    k, n = len(model.start), len(x)
+    like = np.exp(model.log_density(x))
+    smoothed, filtered = np.zeros((n, k)), np.zeros((n, k))
+    total = 0.0
+    for path in itertools.product(range(k), repeat=n):
+        p = model.start[path[0]] * like[0, path[0]]
+        for t in range(1, n):
+            p *= model.move[path[t - 1], path[t]] * like[t, path[t]]
+        total += p
+        for t, s in enumerate(path):
+            smoothed[t, s] += p
+    for t in range(n):
+        for path in itertools.product(range(k), repeat=t + 1):
+            p = model.start[path[0]] * like[0, path[0]]
+            for i in range(1, t + 1):
+                p *= model.move[path[i - 1], path[i]] * like[i, path[i]]
+            filtered[t, path[-1]] += p
+    return smoothed / total, filtered / filtered.sum(axis=1, keepdims=True), np.log(total)
+
+
+def test_hidden_states_equal_sums_over_paths():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=300), rng.normal(size=300) ** 2])
+    model = est.HiddenStates(3).fit(x)
+    some = x[40:46]
+    smoothed, filtered, total = paths(model, some)
+    f, s, log_likelihood = model.posteriors(some)
+    assert np.allclose(f, filtered, atol=1e-10) and np.allclose(s, smoothed, atol=1e-10) and log_likelihood == pytest.approx(total)
 
 
-def test_event_backtest_stops_at_the_drawdown():
-    equity = est.event_backtest(np.ones(200), np.full(200, -0.5))
-    assert equity[-1] == equity[-2] and equity[-1] < 0.85
+def test_hidden_states_find_the_turbulent_part():
+    rng = np.random.default_rng(5)
+    r = np.concatenate([rng.normal(size=300), 5 * rng.normal(size=300), 2 * rng.normal(size=300)])
+    x = np.column_stack([r, rng.normal(size=900)])
+    model = est.HiddenStates(3).fit(x)
+    size = [np.trace(c) for c in model.cov]
+    assert size == sorted(size) and len(model.history) < 200 and all(b >= a - 1e-6 for a, b in itertools.pairwise(model.history))
+    filtered, smoothed, _ = model.posteriors(x)
+    assert smoothed[350:580, 2].mean() > 0.8 and smoothed[20:280, 0].mean() > 0.8
+    assert np.allclose(model.posteriors(x[:400])[0], filtered[:400])  # no later value is read
+
+
+def test_regimes_of_series(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(rng.normal()) if i != 7 else None) for k, n in ((0, 80), (1, 20)) for i in range(n)]
+    found = est.regimes(spark.createDataFrame(rows, "k int, t int, r double"), "k", "t", "r").collect()
+    assert len(found) == 79 and all(abs(sum(r.smoothed) - 1) < 1e-9 and r.filtered[r.state] == max(r.filtered) for r in found)
+
+
+def test_event_backtest_waits_for_ten_and_stops_at_the_drawdown():
+    rising = [100 * 1.01**i * (0.97 if i % 4 == 3 else 1) for i in range(120)]
+    run = est.EventBacktest()
+    rows = [run.step(2, 1.0, c) for c in rising]
+    sized = [r["position"] for r in rows]
+    assert sized[0] == 0 and sized[1] == 0  # even odds at first: nothing to win by Kelly's rule
+    run = est.EventBacktest(prior=(0.6, 0.01, 0.01))
+    falling = [run.step(2, 1.0, 100 * 0.7**i) for i in range(40)]
+    assert falling[1]["position"] == pytest.approx(0.1) and falling[-1]["position"] == 0 and falling[-1]["equity"] == falling[-2]["equity"] < 0.86e6
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -159,7 +209,7 @@ def test_walk_forward_study(spark):
 
         return fit
 
-    for model in (walkforward.logistic_model(["f1", "f2"]), walkforward.stump_model(["f1", "f2"]), walkforward.share_model("f1")):
+    for model in (walkforward.logistic_model(["f1", "f2"]), walkforward.share_model("f1")):
         result = walkforward.study(panel, folds, checked(model), [0, 1])
         found = walkforward.fold_metrics(result).collect()
         assert {(r.fold, r.seed) for r in found} == {(f, s) for f in bounds for s in (0, 1)}
