@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,11 +159,14 @@ def encode(words: Column, table: dict[str, int], length: int) -> Column:
     return F.when(F.size(words) == 0, empty).otherwise(F.slice(F.concat(full, empty), 1, length))
 
 
-@lru_cache(maxsize=1 << 18)
-def fnv1a(token: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in token.encode():
-        h = (h ^ b) * 0x100000001B3 % 2**64
+def fnv1a(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit FNV-1a of each data[start:end], byte by byte for all of them at once."""
+    h = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(starts - ends, kind="stable")  # the longest first: those that have an n-th byte are in front
+    sizes = (ends - starts)[order]
+    for n in range(int(sizes.max(initial=0))):
+        some = order[: int(np.searchsorted(-sizes, -n, side="left"))]
+        h[some] = (h[some] ^ data[starts[some] + n]) * np.uint64(0x100000001B3)
     return h
 
 
@@ -172,16 +175,24 @@ def print_words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), WHITE), lambda t: t != "")
 
 
-@F.pandas_udf(T.LongType())
-def simhash(words: pd.Series) -> pd.Series:
-    """64-bit fingerprint: every word votes with the bits of its hash; 0 without words."""
-
-    def one(tokens) -> int:
-        hashes = np.fromiter(map(fnv1a, tokens), dtype="<u8", count=len(tokens))
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        return int(np.packbits(2 * ones.astype(np.int64) > len(hashes), bitorder="little").view("<i8")[0])
-
-    return words.map(one)
+@F.arrow_udf(T.LongType())
+def simhash(words: pa.Array) -> pa.Array:
+    """64-bit fingerprint: every word votes with the bits of its hash; 0 without words.  Each distinct word of a batch is hashed once."""
+    lists = words.cast(pa.large_list(pa.large_string()))
+    flat = lists.flatten().dictionary_encode()
+    distinct = flat.dictionary.cast(pa.large_binary())
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+    data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8).astype(np.uint64)
+    bits = np.unpackbits(fnv1a(data, offsets[:-1], offsets[1:]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+    index = flat.indices.to_numpy(zero_copy_only=False)
+    sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    out, at = np.zeros(len(sizes), np.int64), 0
+    for row, n in enumerate(sizes.tolist()):
+        if n:
+            ones = bits[index[at : at + n]].sum(axis=0)
+            out[row] = np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]
+        at += n
+    return pa.array(out)
 
 
 def near_fingerprints(prints: DataFrame, print_col: str, most: int = 3) -> DataFrame:

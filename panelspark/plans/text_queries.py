@@ -24,7 +24,8 @@ def decoded(x: str) -> str:
     return x
 
 
-STRIPPED = decoded(nested("html", [("(?is)<script[^>]*>.*?</script>", ""), ("(?is)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " ")]))
+BLOCKS_SQL = [("(?is)<script[^>]*>.*?</script>", ""), ("(?is)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " ")]
+STRIPPED = decoded(nested("html", BLOCKS_SQL))
 LINKED = [(r"https?://\S+", " <URL> "), (r"www\.\S+", " <URL> "), (r"\S+@\S+\.\S+", " <EMAIL> ")]
 NUMBERED = [(r"(?i)\$\s*(\d+(?:\.\d+)?)\s*(million|billion|trillion|mn|bn|tn|m|b|t)?", " <MONEY> "), (r"(\d+(?:\.\d+)?)\s*(%|percent|pct|basis\s*points|bps)", " <PERCENT> "), (r"\b\d{6,}\b", " <BIGNUM> ")]
 NAMED = [(r"\$([A-Z]{1,5})\b", r"<TICKER_\1>"), *((rf"(?i)\b\Q{n}\E\b", f"<TICKER_{text.ENTITIES[n]}>") for n in sorted(text.ENTITIES, key=len, reverse=True))]
@@ -67,8 +68,12 @@ def txt_clean_ascii(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(F.length("html") == F.octet_length("html")).select("page_id", text.clean(F.col("html")).alias("cleaned"))
 
 
-# With the decomposition that SQL lacks
-@query("txt_clean")
+#: A letter with an accent is the letter and a space, any other sign that is not ASCII a space, but for a few.
+FOLDED = "array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN ascii(c) < 128 OR contains('€£¥°±×÷', c) THEN c WHEN ascii(strip_accents(c)) < 128 THEN strip_accents(c) || ' ' ELSE ' ' END), '')"
+
+
+# With the decomposition of letters
+@query("txt_clean", f"SELECT doc_id, substr(trim({nested(decoded(nested(FOLDED, BLOCKS_SQL)), [*LINKED, *NAMED, *NUMBERED, (BLANK, ' ')])}), 1, 2560) AS cleaned FROM documents")
 def txt_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
@@ -193,8 +198,14 @@ def txt_near_prints(spark: SparkSession, d: str) -> DataFrame:
     return text.near_fingerprints(txt_simhash(spark, d).groupBy("print").agg(F.min("doc_id").alias("n")), "print")
 
 
-# Greedy, the first of near documents stays; tested against the loop
-@query("txt_keep_first")
+# Greedy, the first of near documents stays
+@query(
+    "txt_keep_first",
+    f"""WITH RECURSIVE {PRINTS}, q AS MATERIALIZED (SELECT doc_id, f, row_number() OVER (ORDER BY doc_id) AS pos FROM p),
+s AS (SELECT 0::BIGINT AS pos, NULL::BIGINT AS doc_id, []::HUGEINT[] AS held, false AS kept
+UNION ALL SELECT pos, doc_id, CASE WHEN near THEN held ELSE held || [f] END, NOT near FROM (SELECT q.pos, q.doc_id, q.f, s.held, len(list_filter(s.held, lambda x: bit_count(xor(x, q.f)) <= 3)) > 0 AS near FROM s JOIN q ON q.pos = s.pos + 1))
+SELECT doc_id, kept FROM s WHERE pos > 0""",
+)
 def txt_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return text.keep_first(files.stored(txt_simhash(spark, d)), "doc_id", "print", files.stored)
 

@@ -180,11 +180,19 @@ def test_look_ahead_raises(spark):
 
 
 def test_simhash_votes(spark):
-    words = ["a", "b", "b", "c"]
-    votes = [sum(1 if text.fnv1a(w) >> i & 1 else -1 for w in words) for i in range(64)]
-    value = sum(1 << i for i in range(64) if votes[i] > 0)
-    found = spark.createDataFrame([(words,), ([],)], "t array<string>").select(text.simhash("t").alias("p")).collect()
-    assert found[0].p % 2**64 == value and found[1].p == 0
+    def fnv1a(word):
+        h = 0xCBF29CE484222325
+        for b in word.encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    def print_of(words):
+        votes = [sum(1 if fnv1a(w) >> i & 1 else -1 for w in words) for i in range(64)]
+        return sum(1 << i for i in range(64) if votes[i] > 0)
+
+    rows = [["a", "b", "b", "c"], [], ["één", "", "a" * 300, "b"], None, ["x"]]
+    found = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>").coalesce(1).select("i", text.simhash("t").alias("p")).orderBy("i").collect()
+    assert [r.p % 2**64 for r in found] == [print_of(r or []) for r in rows]
 
 
 def test_candles_open_at_the_close_before(spark):
