@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import by_ticker, rolling
 from ..operators import indicators as ind
-from ..operators import metrics
+from ..operators import inference, metrics
 from ..sources import dumps, fetch, files, synthetic
-from ..sources.tables import bars, events, table
+from ..sources.tables import BARS_SQL, bars, events, table
 from ..streaming import candles
 from .catalog import query
 from .metric_queries import MARKET, PRED, market, predictions
 from .relational_queries import sql
-from .study_queries import grid_sql, normal_sql
+from .study_queries import GRID, grid, normal_sql
 from .window_queries import RET, W, roll, with_bars
 
 HISTORY = "symbol string, historical array<struct<date: date, open: double, high: double, low: double, close: double, volume: double>>"
@@ -110,13 +110,13 @@ def snk_bulk_export(spark: SparkSession, d: str) -> DataFrame:
 # The report of a panel of random signals
 @query(
     "rep_random_signals",
-    f"""WITH s AS (SELECT date, s AS score, 0.02 * e AS fwd FROM (SELECT date, ticker, {normal_sql('0s', 'i', 'ticker')} AS s, {normal_sql('0n', 'i', 'ticker')} AS e FROM {grid_sql(200, 20)})),
+    f"""WITH {BARS_SQL}, s AS (SELECT date, s AS score, 0.02 * e AS fwd FROM (SELECT date, ticker, {normal_sql('0s', 'i', 'ticker')} AS s, {normal_sql('0n', 'i', 'ticker')} AS e FROM {GRID})),
 i AS (SELECT date, corr(score, fwd) AS ic, avg(fwd) FILTER (WHERE score > 0) - avg(fwd) FILTER (WHERE score <= 0) AS spread FROM s GROUP BY date)
 SELECT count(*) AS n, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg((ic > 0)::INT), 6) AS hit_rate, round(avg(spread), 8) AS spread FROM i""",
 )
 def rep_random_signals(spark: SparkSession, d: str) -> DataFrame:
     s, f = F.col("score"), F.col("fwd_ret")
-    days = synthetic.signal_panel(spark, 200, 20, 0.0).groupBy("date").agg(F.corr("score", "fwd_ret").alias("ic"), (F.avg(F.when(s > 0, f)) - F.avg(F.when(s <= 0, f))).alias("spread"))
+    days = synthetic.signal_panel(grid(spark, d), 0.0).groupBy("date").agg(F.corr("score", "fwd_ret").alias("ic"), (F.avg(F.when(s > 0, f)) - F.avg(F.when(s <= 0, f))).alias("spread"))
     return days.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.avg("ic") / F.stddev_samp("ic"), 6).alias("icir"), F.round(F.avg((F.col("ic") > 0).cast("int")), 6).alias("hit_rate"), F.round(F.avg("spread"), 8).alias("spread"))
 
 
@@ -160,13 +160,13 @@ def snk_text_dataset(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents").select("doc_id", "lang", F.length("text").cast("long").alias("n"))
 
 
-# A demonstration equity curve and its figures
+# A demonstration equity curve over the weeks of the bars, and its figures
 @query(
     "bt_demo_curve",
-    f"WITH r AS (SELECT i, 0.0008 + 0.012 * {normal_sql('42d', 'i')} AS r FROM (SELECT unnest(range(252)) AS i)), e AS (SELECT i, r, exp(sum(ln(1 + r)) OVER (ORDER BY i)) AS e FROM r) SELECT count(*) AS n, round(arg_max(e, i) - 1, 6) AS total_return, round(max(1 - e / m), 6) AS max_drawdown, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM (SELECT *, greatest(max(e) OVER (ORDER BY i), 1) AS m FROM e)",
+    f"WITH {BARS_SQL}, r AS (SELECT i, 0.0008 + 0.012 * {normal_sql('42d', 'i')} AS r FROM (SELECT row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars))), e AS (SELECT i, r, exp(sum(ln(1 + r)) OVER (ORDER BY i)) AS e FROM r) SELECT count(*) AS n, round(arg_max(e, i) - 1, 6) AS total_return, round(max(1 - e / m), 6) AS max_drawdown, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM (SELECT *, greatest(max(e) OVER (ORDER BY i), 1) AS m FROM e)",
 )
 def bt_demo_curve(spark: SparkSession, d: str) -> DataFrame:
-    days = spark.range(252).select(F.col("id").alias("i")).withColumn("r", 0.0008 + 0.012 * synthetic.hashed_normal("42d", "i"))
+    days = inference.placed(bars(spark, d).select("date").distinct(), "date").select(F.col("pos").alias("i")).withColumn("r", 0.0008 + 0.012 * synthetic.hashed_normal("42d", "i"))
     curve = metrics.drawdown(days, "r", "i")
     return curve.agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("equity", "i") - 1, 6).alias("total_return"), F.round(F.max("drawdown"), 6).alias("max_drawdown"), F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(252.0)), 6).alias("sharpe"))
 

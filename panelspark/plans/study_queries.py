@@ -9,7 +9,7 @@ from ..functions.rolling import lag
 from ..operators import indicators as ind
 from ..operators import boosting, panels, walkforward
 from ..sources import files, reports, synthetic
-from ..sources.tables import NEWS_SQL, SESSIONS_SQL, bars, news, sessions
+from ..sources.tables import BARS_SQL, NEWS_SQL, SESSIONS_SQL, bars, news, sessions
 from .catalog import query
 from .relational_queries import sql
 from .window_queries import RET, W, with_bars
@@ -146,43 +146,48 @@ def normal_sql(salt: str, *keys: str) -> str:
     return f"(sqrt(-2 * ln(greatest({uniform_sql(salt + 'a', *keys)}, 1e-12))) * cos(2 * pi() * {uniform_sql(salt + 'b', *keys)}))"
 
 
-def grid_sql(dates: int, names: int) -> str:
-    return f"(SELECT i, (DATE '2020-01-06' + (i // 5 * 7 + i % 5)::INT)::DATE AS date, ticker::INT AS ticker FROM (SELECT unnest(range({dates})) AS i), (SELECT unnest(range({names})) AS ticker))"
+GRID = f"(SELECT row_number() OVER {W} - 1 AS i, date, ticker::INT AS ticker FROM bars)"
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    """The names and dates of the bars, for synthetic values."""
+    return synthetic.grid(bars(spark, d))
 
 
 # Synthetic random walks
 @query(
     "src_random_walk",
-    f"""WITH z AS (SELECT *, {normal_sql('0z', 'i', 'ticker')} AS z, {uniform_sql('0u', 'i', 'ticker')} AS u, {uniform_sql('0v', 'i', 'ticker')} AS v FROM {grid_sql(120, 12)}),
+    f"""WITH {BARS_SQL}, z AS (SELECT *, {normal_sql('0z', 'i', 'ticker')} AS z, {uniform_sql('0u', 'i', 'ticker')} AS u, {uniform_sql('0v', 'i', 'ticker')} AS v FROM {GRID}),
 c AS (SELECT *, 100 * exp(sum(z * 0.02) OVER (PARTITION BY ticker ORDER BY i)) AS close FROM z), o AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY ticker ORDER BY i), 100) AS open FROM c)
 SELECT date, ticker, round(open, 6) AS open, round(greatest(open, close) * (1 + u * 0.02), 6) AS high, round(least(open, close) / (1 + u * 0.02), 6) AS low, round(close, 6) AS close, floor(1e5 + 9e5 * v) AS volume FROM o""",
 )
 def src_random_walk(spark: SparkSession, d: str) -> DataFrame:
-    rows = synthetic.random_walk(spark, 120, 12)
+    rows = synthetic.random_walk(grid(spark, d))
     return rows.select("date", "ticker", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 # A common factor and noise of changing variance
 @query(
     "src_factor_panel",
-    f"""WITH RECURSIVE x AS (SELECT *, {normal_sql('0f', 'i')} * 0.008 AS f, {normal_sql('0e', 'i', 'ticker')} AS z, 0.5 + {uniform_sql('0b', 'ticker')} AS beta FROM {grid_sql(120, 12)}),
+    f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT *, {normal_sql('0f', 'i')} * 0.008 AS f, {normal_sql('0e', 'i', 'ticker')} AS z, 0.5 + {uniform_sql('0b', 'ticker')} AS beta FROM {GRID}),
 g AS (SELECT ticker, i, 2e-6 / (1 - 0.08 - 0.9) AS h FROM x WHERE i = 0 UNION ALL SELECT x.ticker, x.i, 2e-6 + 0.08 * g.h * p.z * p.z + 0.9 * g.h FROM g JOIN x ON x.ticker = g.ticker AND x.i = g.i + 1 JOIN x p ON p.ticker = g.ticker AND p.i = g.i)
 SELECT date, ticker, round(beta * f + sqrt(h) * z, 8) AS ret, round(sqrt(h), 8) AS sigma, round(100 * exp(sum(beta * f + sqrt(h) * z) OVER (PARTITION BY ticker ORDER BY i)), 6) AS close FROM x JOIN g USING (ticker, i)""",
 )
 def src_factor_panel(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.factor_panel(spark, 120, 12).select("date", "ticker", F.round("ret", 8).alias("ret"), F.round("sigma", 8).alias("sigma"), F.round("close", 6).alias("close"))
+    return synthetic.factor_panel(grid(spark, d)).select("date", "ticker", F.round("ret", 8).alias("ret"), F.round("sigma", 8).alias("sigma"), F.round("close", 6).alias("close"))
 
 
-SIGNAL = f"(SELECT date, ticker, {normal_sql('0s', 'i', 'ticker')} AS s, {normal_sql('0n', 'i', 'ticker')} AS e FROM {grid_sql(200, 20)})"
+SIGNAL = f"(SELECT date, ticker, {normal_sql('0s', 'i', 'ticker')} AS s, {normal_sql('0n', 'i', 'ticker')} AS e FROM {GRID})"
 
 
 # Signals of a known strength, random ones and leaky ones
 @query(
     "src_signal_panel",
-    f"SELECT k AS kind, date, ticker, round(CASE WHEN k = 'leaky' THEN 0.02 * e ELSE s END, 8) AS score, round(0.02 * CASE WHEN k = 'strong' THEN 0.3 * s + sqrt(1 - 0.09) * e ELSE e END, 8) AS fwd_ret FROM {SIGNAL}, (SELECT unnest(['random', 'strong', 'leaky']) AS k)",
+    f"WITH {BARS_SQL} SELECT k AS kind, date, ticker, round(CASE WHEN k = 'leaky' THEN 0.02 * e ELSE s END, 8) AS score, round(0.02 * CASE WHEN k = 'strong' THEN 0.3 * s + sqrt(1 - 0.09) * e ELSE e END, 8) AS fwd_ret FROM {SIGNAL}, (SELECT unnest(['random', 'strong', 'leaky']) AS k)",
 )
 def src_signal_panel(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {"random": synthetic.signal_panel(spark, 200, 20, 0.0), "strong": synthetic.signal_panel(spark, 200, 20, 0.3), "leaky": synthetic.leaky_panel(spark, 200, 20)}
+    at = grid(spark, d)
+    kinds = {"random": synthetic.signal_panel(at, 0.0), "strong": synthetic.signal_panel(at, 0.3), "leaky": synthetic.leaky_panel(at)}
     rows = [df.select(F.lit(k).alias("kind"), "date", "ticker", F.round("score", 8).alias("score"), F.round("fwd_ret", 8).alias("fwd_ret")) for k, df in kinds.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
@@ -194,10 +199,10 @@ def pick_sql(words: tuple[str, ...]) -> str:
 # Headlines that follow returns
 @query(
     "src_headlines",
-    f"SELECT ticker, (date + to_minutes(floor({uniform_sql('0m', 'ticker', 'date')} * 1440)::INT))::TIMESTAMP AS published_at, 'T' || ticker || ' ' || CASE WHEN r > 0.01 THEN {pick_sql(synthetic.HEADLINES[1])} WHEN r < -0.01 THEN {pick_sql(synthetic.HEADLINES[-1])} ELSE {pick_sql(synthetic.HEADLINES[0])} END AS headline FROM (SELECT date, ticker, 0.02 * e AS r FROM {SIGNAL})",
+    f"WITH {BARS_SQL} SELECT ticker, (date + to_minutes(floor({uniform_sql('0m', 'ticker', 'date')} * 1440)::INT))::TIMESTAMP AS published_at, 'T' || ticker || ' ' || CASE WHEN r > 0.01 THEN {pick_sql(synthetic.HEADLINES[1])} WHEN r < -0.01 THEN {pick_sql(synthetic.HEADLINES[-1])} ELSE {pick_sql(synthetic.HEADLINES[0])} END AS headline FROM (SELECT date, ticker, 0.02 * e AS r FROM {SIGNAL})",
 )
 def src_headlines(spark: SparkSession, d: str) -> DataFrame:
-    rows = synthetic.headlines(synthetic.signal_panel(spark, 200, 20, 0.0), "fwd_ret", 0.01)
+    rows = synthetic.headlines(synthetic.signal_panel(grid(spark, d), 0.0), "fwd_ret", 0.01)
     return rows.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 

@@ -1,4 +1,4 @@
-"""Synthetic panels as table functions: rows are made where they are needed, numbers come from hashes.
+"""Synthetic values for the names and dates of a panel: numbers come from hashes where they are needed.
 
 The same seed gives the same rows on any number of partitions, and any SQL engine
 with MD5 can repeat them.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.inference import hashed_uniform
@@ -20,15 +20,14 @@ def hashed_normal(salt: str, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * np.pi * v)
 
 
-def grid(spark: SparkSession, dates: int, names: int, start: str) -> DataFrame:
-    """(i, date, ticker): business days from ``start`` by names."""
-    day = F.date_add(F.lit(start).cast("date"), (F.floor(F.col("i") / 5) * 7 + F.col("i") % 5).cast("int"))
-    return spark.range(dates).select(F.col("id").cast("int").alias("i")).select("i", day.alias("date"), F.explode(F.sequence(F.lit(0), F.lit(names - 1))).alias("ticker"))
+def grid(panel: DataFrame) -> DataFrame:
+    """(i, date, ticker): the rows of a panel, numbered by date for each name from 0."""
+    return panel.select((F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1).alias("i"), "date", F.col("ticker").cast("int").alias("ticker"))
 
 
-def random_walk(spark: SparkSession, dates: int, names: int, seed: int = 0, sigma: float = 0.02, start: str = "2020-01-06") -> DataFrame:
-    """(date, ticker, open, high, low, close, volume): independent walks from 100; ``start`` is a Monday."""
-    rows = grid(spark, dates, names, start).withColumns({"z": hashed_normal(f"{seed}z", "i", "ticker"), "u": hashed_uniform(f"{seed}u", "i", "ticker"), "v": hashed_uniform(f"{seed}v", "i", "ticker")})
+def random_walk(rows: DataFrame, seed: int = 0, sigma: float = 0.02) -> DataFrame:
+    """(date, ticker, open, high, low, close, volume): independent walks from 100 over the rows of a grid."""
+    rows = rows.withColumns({"z": hashed_normal(f"{seed}z", "i", "ticker"), "u": hashed_uniform(f"{seed}u", "i", "ticker"), "v": hashed_uniform(f"{seed}v", "i", "ticker")})
     w = Window.partitionBy("ticker").orderBy("i")
     rows = rows.withColumn("close", 100 * F.exp(F.sum(F.col("z") * sigma).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     rows = rows.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
@@ -36,9 +35,9 @@ def random_walk(spark: SparkSession, dates: int, names: int, seed: int = 0, sigm
     return rows.select("date", "ticker", "open", (F.greatest("open", "close") * spread).alias("high"), (F.least("open", "close") / spread).alias("low"), "close", F.floor(1e5 + 9e5 * F.col("v")).cast("double").alias("volume"))
 
 
-def factor_panel(spark: SparkSession, dates: int, names: int, seed: int = 0, start: str = "2020-01-06", omega: float = 2e-6, a: float = 0.08, b: float = 0.9) -> DataFrame:
+def factor_panel(rows: DataFrame, seed: int = 0, omega: float = 2e-6, a: float = 0.08, b: float = 0.9) -> DataFrame:
     """(date, ticker, ret, sigma, close): a common factor and own noise whose variance follows its past; a name is one group."""
-    rows = grid(spark, dates, names, start).withColumns({"f": hashed_normal(f"{seed}f", "i") * 0.008, "z": hashed_normal(f"{seed}e", "i", "ticker"), "beta": 0.5 + hashed_uniform(f"{seed}b", "ticker")})
+    rows = rows.withColumns({"f": hashed_normal(f"{seed}f", "i") * 0.008, "z": hashed_normal(f"{seed}e", "i", "ticker"), "beta": 0.5 + hashed_uniform(f"{seed}b", "ticker")})
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
@@ -53,16 +52,15 @@ def factor_panel(spark: SparkSession, dates: int, names: int, seed: int = 0, sta
     return rows.groupBy("ticker").applyInPandas(run, "date date, ticker int, ret double, sigma double, close double")
 
 
-def signal_panel(spark: SparkSession, dates: int, names: int, strength: float, seed: int = 0, start: str = "2020-01-06") -> DataFrame:
+def signal_panel(rows: DataFrame, strength: float, seed: int = 0) -> DataFrame:
     """(date, ticker, score, fwd_ret): scores whose correlation with the next return is ``strength``; 0: random signals."""
-    rows = grid(spark, dates, names, start)
     s, e = hashed_normal(f"{seed}s", "i", "ticker"), hashed_normal(f"{seed}n", "i", "ticker")
     return rows.select("date", "ticker", s.alias("score"), (0.02 * (strength * s + np.sqrt(1 - strength**2) * e)).alias("fwd_ret"))
 
 
-def leaky_panel(spark: SparkSession, dates: int, names: int, seed: int = 0) -> DataFrame:
+def leaky_panel(rows: DataFrame, seed: int = 0) -> DataFrame:
     """A signal panel whose score is the next return itself: what a study must not be given."""
-    return signal_panel(spark, dates, names, 0.0, seed).withColumn("score", F.col("fwd_ret"))
+    return signal_panel(rows, 0.0, seed).withColumn("score", F.col("fwd_ret"))
 
 
 #: Words of the synthetic headlines, by the sign of the return that they follow.
