@@ -106,7 +106,7 @@ def overfitting_probability(returns: DataFrame, order: str, strategy: str, ret:
     sums = returns.join(days.select(order, block.alias("block")), order).groupBy("block", F.col(strategy).alias("s")).agg(F.count(ret).alias("k"), F.sum(ret).alias("x"), F.sum(F.col(ret) * F.col(ret)).alias("q"))
     splits = returns.sparkSession.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     inside = F.call_function("shiftright", F.col("split"), F.col("block")).bitwiseAND(1) == 1
-    halves = splits.withColumn("inside", inside).join(F.broadcast(sums), "block").groupBy("split", "s", "inside").agg(F.sum("k").alias("k"), F.sum("x").alias("x"), F.sum("q").alias("q"))
+    halves = splits.withColumn("inside", inside).join(sums, "block").groupBy("split", "s", "inside").agg(F.sum("k").alias("k"), F.sum("x").alias("x"), F.sum("q").alias("q"))
     sd = F.sqrt(F.greatest((F.col("q") - F.col("x") * F.col("x") / F.col("k")) / (F.col("k") - 1), F.lit(0.0)))
     sharpe = F.when(sd > 1e-12, F.col("x") / F.col("k") / sd).otherwise(F.lit(float("-inf")))
     scored = halves.withColumn("sharpe", sharpe).groupBy("split", "s").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("seen"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("unseen"))

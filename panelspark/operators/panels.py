@@ -187,3 +187,37 @@ def liquidity_universe(df: DataFrame, window: int, min_periods: int, floor: floa
     ok = df.where(F.col("adv").isNotNull() & (F.col("_p") >= floor))
     return ok.withColumn("liq_rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("adv"), "ticker"))).where(F.col("liq_rank") <= top).select("date", "ticker", "adv", "liq_rank")
 
+
+
+def dealt_to_keys(requests: DataFrame, day: str, order: list[str], keys: int, daily: int) -> DataFrame:
+    """Adds ``key_index`` (1 to keys): requests in turn by the keys, ``daily`` a day each; null for those beyond.
+
+    The turn goes on from day to day.  Only the days' counts meet in one window.
+    """
+    n = F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    days = requests.groupBy(day).agg(F.least(F.count(F.lit(1)), F.lit(keys * daily)).alias("_given"))
+    before = F.coalesce(F.sum("_given").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = requests.withColumn("_n", n).join(days.select(day, before.alias("_before")), day)
+    return placed.withColumn("key_index", F.when(F.col("_n") <= keys * daily, ((F.col("_before") + F.col("_n") - 1) % keys + 1).cast("int"))).drop("_n", "_before")
+
+
+def neutral_projection(rows: DataFrame, by: str, x: str, cap: float) -> DataFrame:
+    """Adds ``weight``: each group's nearest weights within the cap that sum to 0, clip(x - s, -cap, cap).
+
+    The sum falls with s in straight pieces that meet where a name leaves or reaches the
+    cap, so s is found between two of these points: for each point the sum is known
+    from counts and sums of the names below it, by windows in the order of points.
+    """
+    group = Window.partitionBy(by)
+    # at x - cap a name comes down from the cap, at x + cap it reaches the other one
+    points = rows.select(by, F.explode(F.array(F.struct((F.col(x) - cap).alias("s"), F.lit(1).alias("k"), F.col(x).alias("v")), F.struct((F.col(x) + cap).alias("s"), F.lit(-1).alias("k"), F.col(x).alias("v")))).alias("p")).select(by, "p.*")
+    upto = group.orderBy("s").rangeBetween(Window.unboundedPreceding, 0)
+    inside, total, fixed = F.sum("k").over(upto), F.sum(F.col("k") * F.col("v")).over(upto), F.sum(F.when(F.col("k") == -1, 1).otherwise(0)).over(upto)
+    began = F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(upto)
+    n = F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(group)
+    # names between the caps give v - s, those not yet down the cap, those at the other one minus the cap
+    line = points.withColumns({"_in": inside, "_v": total, "_at": (n - began - fixed) * cap}).withColumn("_sum", F.col("_v") - F.col("_in") * F.col("s") + F.col("_at"))
+    # the last point whose sum is not negative; from it on the sum falls with the names between the caps
+    last = line.groupBy(by).agg(F.max_by(F.struct("s", "_in", "_sum"), F.when(F.col("_sum") >= -1e-15, F.col("s"))).alias("_l"))
+    shift = F.col("_l.s") + F.when(F.col("_l._in") > 0, F.col("_l._sum") / F.col("_l._in")).otherwise(0.0)
+    return rows.join(last.select(by, shift.alias("_shift")), by).withColumn("weight", F.greatest(F.least(F.col(x) - F.col("_shift"), F.lit(cap)), F.lit(-cap))).drop("_shift")

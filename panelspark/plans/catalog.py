@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("window_queries", "relational_queries", "metric_queries", "text_queries", "stream_queries", "estimator_queries", "panel_queries", "extra_queries", "inference_queries", "study_queries", "source_queries", "objective_queries", "portfolio_queries")
+MODULES = ("window_queries", "relational_queries", "metric_queries", "text_queries", "stream_queries", "estimator_queries", "panel_queries", "extra_queries", "inference_queries", "study_queries", "source_queries", "objective_queries", "portfolio_queries", "service_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

@@ -27,13 +27,6 @@ def scan_provider_quotes(spark: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("user_id").agg(F.min_by("value", "o").alias("price"), F.min_by("k", "o").alias("k"))
 
 
-# A row of defaults where there is none
-@query("scan_profile_default", "SELECT n_nationkey, coalesce(max(s_name), 'unknown') AS profile, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY n_nationkey")
-def scan_profile_default(spark: SparkSession, d: str) -> DataFrame:
-    rich = table(spark, d, "supplier").where("s_acctbal > 9000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_name").alias("p"), F.count(F.lit(1)).alias("k"))
-    return table(spark, d, "nation").select("n_nationkey").join(rich, "n_nationkey", "left").select("n_nationkey", F.coalesce("p", F.lit("unknown")).alias("profile"), F.coalesce("k", F.lit(0)).alias("n"))
-
-
 # Tradeable rows in both tables
 @query("flt_tradeable", sql("SELECT h.doc_id, yhat FROM h JOIN labels USING (doc_id) WHERE conf >= 0.5", PRED, YHAT))
 def flt_tradeable(spark: SparkSession, d: str) -> DataFrame:
@@ -160,11 +153,13 @@ def st_late_ticks(spark: SparkSession, d: str) -> DataFrame:
     return e.where("b < newest").groupBy("event_type").agg(F.count(F.lit(1)).alias("late"))
 
 
-# ST4, ST19: progress of a stream by key
-@query("st_status", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+# ST4, ST19: progress of a stream by key: ticks, names and the first ten of them; state is a row a key and name
+@query("st_status", "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS users, array_to_string(list(user_id ORDER BY user_id)[:10], ',') AS first_users FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
 def st_status(spark: SparkSession, d: str) -> DataFrame:
-    stream = candles.ticks(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("user_id")).cast("long").alias("users"))
-    return candles.finished(stream, "complete")
+    each = candles.finished(candles.ticks(spark, d).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")), "complete")
+    k = F.row_number().over(Window.partitionBy("event_type").orderBy("user_id"))
+    first = F.array_join(F.sort_array(F.collect_list(F.when(F.col("k") <= 10, F.col("user_id")))), ",")
+    return each.withColumn("k", k).groupBy("event_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("users"), first.alias("first_users"))
 
 
 # A logistic baseline, fitted before and scored after a date

@@ -94,12 +94,12 @@ FROM nation LEFT JOIN (SELECT ticker, count(*) AS n_bars, arg_max(s, date) AS la
         + roll(20)
         + " >= 20 THEN avg(close) OVER "
         + roll(20)
-        + " END AS s FROM bars) GROUP BY ticker) b ON b.ticker = n_nationkey LEFT JOIN (SELECT user_id, count(*) AS n_news FROM events WHERE event_type = 'error' AND user_id % 2 = 0 GROUP BY user_id) e ON e.user_id = n_nationkey"
+        + " END AS s FROM bars) GROUP BY ticker) b ON b.ticker = n_nationkey LEFT JOIN (SELECT user_id, count(*) AS n_news FROM events WHERE event_type = 'error' GROUP BY user_id) e ON e.user_id = n_nationkey"
     ),
 )
 def snk_bulk_export(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d).withColumn("s", ind.sma(F.col("close"), 20)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars"), F.max_by("s", "date").alias("last_sma"))
-    n = events(spark, d).where("event_type = 'error' AND user_id % 2 = 0").groupBy(F.col("user_id").cast("int").alias("ticker")).agg(F.count(F.lit(1)).alias("n_news"))
+    n = events(spark, d).where("event_type = 'error'").groupBy(F.col("user_id").cast("int").alias("ticker")).agg(F.count(F.lit(1)).alias("n_news"))
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("ticker"), F.col("n_name").alias("profile"))
     joined = names.join(b.withColumn("ticker", F.col("ticker").cast("int")), "ticker", "left").join(n, "ticker", "left")
     status = F.when(F.col("n_bars").isNull(), "no bars").when(F.col("n_news").isNull(), "no news").otherwise("ok")

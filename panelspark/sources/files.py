@@ -23,16 +23,17 @@ def prices_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def news_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.schema(NEWS).option("header", True).option("multiLine", True).csv(path)
+    df = spark.read.schema(NEWS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     text = F.trim(F.regexp_replace(F.regexp_replace("headline", r"<[^>]+>|https?://\S+", ""), r"\s+", " "))
     return df.withColumn("headline", text).where(F.length("headline") > 10)
 
 
-def symbols(spark: SparkSession, path: str) -> DataFrame:
-    """Pipe-separated directory without its footer row."""
+def symbols(spark: SparkSession, path: str, exchange: str | None = None) -> DataFrame:
+    """Pipe-separated directory without its footer row, of one exchange if named."""
     df = spark.read.option("header", True).option("sep", "|").csv(path)
     first = df.columns[0]
-    return df.where(~F.col(first).startswith("File Creation Time")).distinct()
+    df = df.where(~F.col(first).startswith("File Creation Time"))
+    return (df.where(F.col("Exchange") == exchange) if exchange else df).distinct()
 
 
 def factors_csv(spark: SparkSession, path: str, date_column: str = "date") -> DataFrame:

@@ -333,6 +333,48 @@ def conformal(scores: DataFrame, alpha: float = 0.1, gamma: float = 0.01, warm:
     return keyed(rows, Coverage(alpha=alpha, gamma=gamma, warm=warm, width=width, cells=cells), "key", COVERAGE_LOG)
 
 
+# -- leases ----------------------------------------------------------------------
+
+LEASE_LOG = "lock long, event_id long, worker long, action string"
+
+
+class Lease(StatefulProcessor):
+    """A lock that its holder keeps for ``ttl`` seconds from its last call; it is taken when free or run out, and may be given back."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "worker long, until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        holder, until = self.held.get() if self.held.exists() else (None, 0)
+        log = []
+        for row in in_order(rows).itertuples():
+            worker, second, action = int(row.worker), int(row.second), None
+            if holder == worker and second < until:
+                action = "released" if row.leaves else "renewed"
+            elif (holder is None or second >= until) and not row.leaves:
+                action = "acquired"
+            if action is not None:
+                holder, until = (None, until) if action == "released" else (worker, second + self.ttl)
+                log.append((key[0], int(row.event_id), worker, action))
+        if holder is None:
+            self.held.clear()
+        else:
+            self.held.update((holder, until))
+        yield pd.DataFrame(log, columns=["lock", "event_id", "worker", "action"])
+
+    def close(self) -> None:
+        pass
+
+
+def leases(calls: DataFrame, ttl: int) -> DataFrame:
+    """LEASE_LOG rows of calls (lock, worker, event_id, ts, leaves)."""
+    rows = timed(calls).select("lock", "event_id", "second", "worker", "leaves", "ts")
+    return keyed(rows, Lease(ttl), "lock", LEASE_LOG)
+
+
 # -- buffers ------------------------------------------------------------------------
 
 BUFFER_ROWS = "ticker long, version long, event_id long, price double"
