@@ -116,6 +116,13 @@ def fold_metrics(result: DataFrame, forward: str = "fwd_ret") -> DataFrame:
     )
 
 
+def block_metrics(scored: DataFrame, forward: str = "fwd_ret") -> DataFrame:
+    """(fold, n, accuracy, nll, ic) of rows (fold, y, probabilities)."""
+    p = F.col("probabilities")
+    hit = F.array_position(p, F.array_max(p)) - 1 == F.col("y")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("accuracy"), F.avg(-F.log(F.greatest(p[F.col("y").cast("int")], F.lit(1e-12)))).alias("nll"), F.corr(p[2] - p[0], forward).alias("ic"))
+
+
 # -- models -----------------------------------------------------------------
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import lag
+from ..functions.rolling import lag, rolling
 from ..operators import indicators as ind
-from ..operators import boosting, panels, walkforward
+from ..operators import boosting, logistic, panels, walkforward
 from ..sources import files, reports, synthetic
 from ..sources.tables import BARS_SQL, NEWS_SQL, SESSIONS_SQL, bars, news, sessions
 from .catalog import query
@@ -67,10 +67,26 @@ def wf_share_model(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fold", "date", "ticker", F.round("raw_up", 6).alias("raw_up"), F.round(F.col("raw_up") - F.col("raw_down"), 6).alias("raw_score"), "y")
 
 
-# Multinomial logistic regression, two seeds
+FEATURES = ["f1", "f2", "f3", "f4", "f5"]
+
+
+def feature_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The study's blocks with five features: two returns, momentum, deviation and volume."""
+    df = ind.with_returns(bars(spark, d))
+    df = df.withColumns({"f3": F.log(lag(F.col("close")) / lag(F.col("close"), 13)), "f4": rolling(F.col("ret"), 20, F.stddev_pop, 10, -1), "f5": F.log(lag(F.col("volume")) / rolling(F.col("volume"), 20, F.avg, 10, -1))})
+    more = df.select("ticker", "date", "f3", "f4", "f5")
+    panel = study_panel(spark, d)
+    folds = panels.walk_forward(panel.select("date").distinct(), 5, 0.01, 104, 26, 26)
+    return walkforward.blocks(panel.join(more, ["ticker", "date"]), folds, "date")
+
+
+# Multinomial logistic regression of five features in every fold, on its test block; its optimum and its loss
 @query("wf_logistic_metrics")
 def wf_logistic_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return walkforward.fold_metrics(studied(spark, d, walkforward.logistic_model(["f1", "f2"]), [0, 1]))
+    rows = feature_blocks(spark, d)
+    model = logistic.fit(rows.where("part = 'train'"), "fold", FEATURES, "y")
+    scored = logistic.predict(rows.where("part = 'test'"), model, "fold")
+    return walkforward.block_metrics(scored)
 
 
 BOOST = boosting.Settings(rounds=5, depth=3, bins=16, least_rows=10)
@@ -88,9 +104,7 @@ def wf_boosted_metrics(spark: SparkSession, d: str) -> DataFrame:
     rows = boosted_blocks(spark, d)
     model = boosting.fit(rows.where("part = 'train'"), "fold", ["f1", "f2"], "y", settings=BOOST)
     scored = boosting.predict(rows.where("part = 'test'"), model, "fold")
-    p = F.col("probabilities")
-    hit = F.array_position(p, F.array_max(p)) - 1 == F.col("y")
-    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("accuracy"), F.avg(-F.log(F.greatest(p[F.col("y").cast("int")], F.lit(1e-12)))).alias("nll"), F.corr(p[2] - p[0], "fwd_ret").alias("ic"))
+    return walkforward.block_metrics(scored)
 
 
 # The first split of every fold and class, from sums of gradients by bin
