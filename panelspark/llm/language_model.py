@@ -3,7 +3,7 @@
 Tokens are words (A-Z lower-cased) and an end.  Counts are taken over all
 training documents.  Every token has a class: the most frequent words and the end
 have one each, all other words, known or not, that of their last three bytes, by a
-hash.  The number of classes grows with the vocabulary up to ``MAX_CLASSES``.  The
+hash.  The number of classes grows with the vocabulary up to a parameter (``MAX_CLASSES``).  The
 model predicts the class w from the classes a, b of the two tokens before:
 
     logit(w | a, b) = R[w] . (C1 * Q[a] + C2 * Q[b]) + bias[w]
@@ -141,7 +141,7 @@ class Vocabulary:
         return np.where(own >= 0, own, len(self.own) + tail % self.ends)
 
 
-def vocabulary_of(counts: DataFrame, limit: int = MAX_FREQUENT) -> Vocabulary:
+def vocabulary_of(counts: DataFrame, limit: int = MAX_FREQUENT, max_classes: int = MAX_CLASSES) -> Vocabulary:
     """At most ``limit`` tokens, all that occur at least so often; found by a histogram of counts on a logarithmic scale."""
     step = F.floor(F.log2("n") * 8).cast("int")
     rows = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect(), reverse=True)
@@ -156,7 +156,7 @@ def vocabulary_of(counts: DataFrame, limit: int = MAX_FREQUENT) -> Vocabulary:
         least = counts.where(step >= lowest).agg(F.min("n")).first()[0]
         table = counts.where(F.col("n") >= least).toArrow()
         hashes, number, tail = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["tail"].to_numpy().astype(np.int64)
-    most = int(np.clip(distinct // 4, 1, MAX_CLASSES))
+    most = int(np.clip(distinct // 4, 1, max_classes))
     order = np.lexsort((hashes, -number))
     order = order[hashes[order] != _END_HASH][:most]
     own = np.concatenate([[_END_HASH], hashes[order]])
@@ -349,26 +349,28 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, r
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, max_frequent: int = MAX_FREQUENT) -> tuple[DataFrame, Vocabulary, Model]:
-    """The table of training counts, the vocabulary, and the trained model."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, max_frequent: int = MAX_FREQUENT, max_classes: int = MAX_CLASSES) -> tuple[DataFrame, Vocabulary, Model]:
+    """The table of training counts, the vocabulary, and the trained model; max_classes: words with a class each, and classes of word ends (codes take two bytes)."""
+    if not 1 <= max_classes < 1 << 15:
+        raise ValueError(f"max_classes is from 1 to {(1 << 15) - 1}")
     counts = written(training_counts(docs, id_col, text_col), "token-counts")
-    vocabulary = vocabulary_of(counts, max_frequent)
+    vocabulary = vocabulary_of(counts, max_frequent, max_classes)
     return counts, vocabulary, train(docs, vocabulary, id_col, text_col, rounds)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, max_frequent: int = MAX_FREQUENT, max_classes: int = MAX_CLASSES) -> DataFrame:
     """Scores every whole text.
 
     Returns ``id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score``, one row per input row: repeated and null ids stay (a null id is in
     training), a null or empty text is its end alone, an empty table gives no
-    rows, other columns are ignored.
+    rows, other columns are ignored.  ``max_classes``: see ``fit``.
 
     The texts are read three times and never shuffled; training reads and deals
     two bytes a token.  Counts and parameters are summed by task first.
     """
     spark = docs.sparkSession
-    counts, vocabulary, model = fit(docs, id_col, text_col, rounds, max_frequent)
+    counts, vocabulary, model = fit(docs, id_col, text_col, rounds, max_frequent, max_classes)
     total = vocabulary.total
     base_floor = float(np.log10(total + vocabulary.distinct + 1))
     shared = spark.sparkContext.broadcast((vocabulary, model, model.norm()))

@@ -271,10 +271,15 @@ def lowest(batch) -> list[int | None]:
 
 
 def found(tree: DataFrame, wanted: DataFrame, blocks: int, k: int) -> DataFrame:
-    """(query_id, query, vec_id, score, wide): at most k rows of each group that a query goes to."""
+    """(query_id, query, vec_id, score, wide): at most k rows of each group that a query goes to.
+
+    A group's pages go to the blocks of queries that ask for it, and to no others.
+    """
     schema = "query_id long, query long, vec_id long, score long, wide string"
-    spread_out = tree.select(*tree.columns, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    wanted = wanted.withColumn("b", F.pmod("query", F.lit(blocks)).cast("int"))
+    wanted = written(wanted.withColumn("b", F.pmod("query", F.lit(blocks)).cast("int")), "goals")
+    asked = wanted.select(*[F.col(c).alias(f"to_{c}") for c in ("size", "route", "g", "b")]).distinct()
+    same = (F.col("size") == F.col("to_size")) & (F.col("route") == F.col("to_route")) & (F.col("g") == F.col("to_g"))
+    spread_out = tree.join(asked, same).select(*tree.columns, F.col("to_b").alias("b"))
 
     def run(key: tuple, pages: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []

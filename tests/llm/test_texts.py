@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from panelspark.llm import jaccard_join, language_model, license_scan, line_dedup, quality
 
@@ -495,3 +496,11 @@ def test_ids_of_any_type_and_name(spark, texts):
     assert set(quality.good_documents(df, labels, "key", "body").columns) == set(df.columns)
     numbered = spark.createDataFrame([(i, t) for i, t in texts[:20] if i is not None], "key long, body string")
     assert quality.quality_rules(numbered, labels, "key", "body").count() == numbered.count()  # labels that are no numbers are of no document
+
+
+def test_classes_are_a_parameter(docs):
+    sizes = [language_model.fit(docs, rounds=1, max_classes=n)[1].classes for n in (3, 20)]
+    assert sizes[0] <= 7 < sizes[1]
+    for wrong in (0, 1 << 15):
+        with pytest.raises(ValueError, match="max_classes"):
+            language_model.fit(docs, max_classes=wrong)
