@@ -139,7 +139,16 @@ def st_rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ST6, ST18: state across batches
-@query("st_retrain_triggers")
+@query(
+    "st_retrain_triggers",
+    f"""WITH RECURSIVE q AS (SELECT event_type AS ticker, floor(epoch(ts))::BIGINT AS second, row_number() OVER w AS pos, list_filter(list(coalesce(value, 0)) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id ROWS BETWEEN {candles.LAST_PRICES - 1} PRECEDING AND CURRENT ROW), lambda x: x > 0) AS p
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY floor(epoch(ts)), event_id)),
+t AS MATERIALIZED (SELECT ticker, second, pos, coalesce({QUIET}, false) AS quiet FROM q),
+s AS (SELECT DISTINCT ticker, 0::BIGINT AS pos, 0::BIGINT AS base, NULL::BIGINT AS last, false AS fires FROM t
+UNION ALL
+SELECT ticker, pos, CASE WHEN fires THEN pos ELSE base END, CASE WHEN fires THEN second ELSE last END, fires FROM (SELECT s.ticker, t.pos, s.base, s.last, t.second, t.pos - s.base >= 20 AND (s.last IS NULL OR t.second - s.last >= 300) AND NOT t.quiet AS fires FROM s JOIN t ON t.ticker = s.ticker AND t.pos = s.pos + 1))
+SELECT ticker, pos AS at_tick FROM s WHERE fires""",
+)
 def st_retrain_triggers(spark: SparkSession, d: str) -> DataFrame:
     return candles.finished(candles.retrain_triggers(candles.ticks(spark, d)), "append")
 
