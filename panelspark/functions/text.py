@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -200,35 +201,42 @@ def near_fingerprints(prints: DataFrame, print_col: str, most: int = 3) -> DataF
 
     Cut into most + 3 fields, two such fingerprints agree in three fields at least, so
     they meet under one of the choices of three: keys of half the bits, which hardly
-    any other fingerprints share.
+    any other fingerprints share.  The rows of all choices, twenty a fingerprint, are
+    merged: a small file of fingerprints would else be broadcast with all of them.
     """
     fields = most + 3
     edges = [64 * i // fields for i in range(fields + 1)]
+    masks = [((1 << edges[i + 1]) - (1 << edges[i]) + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(fields)]  # as signed longs
     part = lambda i: F.shiftrightunsigned(F.col(print_col), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*(part(i) for i in some)).alias("v")) for k, some in enumerate(combinations(range(fields), 3))])
+    choices = list(combinations(range(fields), 3))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(*(part(i) for i in some)).alias("v")) for k, some in enumerate(choices)])
     rows = prints.select("n", print_col, F.explode(keys).alias("key"))
     a, b = (rows.select(F.col("n").alias(x), F.col(print_col).alias(f"f{x}"), "key") for x in ("a", "b"))
-    hit = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & hit).select("a", "b").distinct()
+    both = F.col("fa").bitwiseXOR(F.col("fb"))
+    # a pair counts under the first three fields in which it agrees, so that it is found once
+    agree = F.array_compact(F.array(*[F.when(both.bitwiseAND(F.lit(field)) == 0, F.lit(i)) for i, field in enumerate(masks)]))
+    here = F.element_at(F.array(*[F.array(*map(F.lit, some)) for some in choices]), F.col("key.k") + 1)
+    return a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(both) <= most) & (F.slice(agree, 1, 3) == here)).select("a", "b")
 
 
 def keep_first(df: DataFrame, key: str, print_col: str, store: Callable[[DataFrame], DataFrame], most: int = 3) -> DataFrame:
     """(key, kept): greedy removal in the order of ``key``; a row goes if a kept row before it is within ``most`` bits.
 
     Rows of one fingerprint share the fate of their first one, which the others
-    then duplicate.  Among distinct fingerprints a row is kept once all near rows
-    before it are gone, and goes once one of them is kept; all rows are decided at
-    once, in as many rounds as the longest chain of such dependences has rows.
-    ``store`` writes a table and reads it.
+    then duplicate.  Among distinct fingerprints a round lets go all rows that are near
+    a row with no near row left before it; only pairs of undecided rows are read again.
+    There are as many rounds as the longest chain of such dependences has rows.  Tables
+    of rows are merged, never broadcast.  ``store`` writes a table and reads it.
     """
     first = store(df.groupBy(F.col(print_col).alias("_print")).agg(F.min(key).alias("n")))
     near = store(near_fingerprints(first, "_print", most))
-    state = store(first.select("n", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        before = near.join(state.select(F.col("n").alias("a"), "kept"), "a").groupBy(F.col("b").alias("n")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
-        decided = F.when(F.coalesce("near_kept", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = store(state.join(before, "n", "left").select("n", F.coalesce("kept", decided).alias("kept")))
-        if state.where("kept IS NULL").limit(1).count() == 0:
-            break
-    fate = first.join(state, "n").select("_print", F.col("n").alias("_n"), F.col("kept").alias("_kept"))
-    return df.select(key, F.col(print_col).alias("_print")).join(fate, "_print").select(key, (F.col("_kept") & (F.col(key) == F.col("_n"))).alias("kept"))
+    gone = []
+    while not near.isEmpty():
+        later = near.select(F.col("b").alias("a")).distinct()
+        gone.append(store(near.join(later.hint("merge"), "a", "left_anti").select(F.col("b").alias("n")).distinct()))
+        for side in ("b", "a"):
+            near = near.join(gone[-1].withColumnRenamed("n", side).hint("merge"), side, "left_anti")
+        near = store(near.select("a", "b"))
+    stays = first.join(reduce(DataFrame.unionByName, gone).hint("merge"), "n", "left_anti") if gone else first
+    stays = stays.select(F.col("n").alias(key), "_print", F.lit(True).alias("_stays"))
+    return df.select(key, F.col(print_col).alias("_print")).join(stays.hint("merge"), [key, "_print"], "left").select(key, F.coalesce("_stays", F.lit(False)).alias("kept"))

@@ -166,6 +166,31 @@ def test_greedy_removal_keeps_the_first(spark):
     assert sorted(r.n for r in found.where("kept").collect()) == kept and found.count() == len(prints)
 
 
+def test_greedy_removal_broadcasts_no_rows_and_reads_open_pairs_only(spark):
+    """A chain of prints, each near the next: rounds read fewer and fewer pairs, and no join broadcasts."""
+    prints = [0]
+    for i in range(40):
+        prints.append(prints[-1] ^ (3 << (i * 2 % 62)))
+    df = spark.createDataFrame(list(enumerate(prints)), "n int, p long")
+    plans, sizes = [], []
+
+    def store(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        out = files.stored(rows)
+        sizes.append((out.columns, out.count()))
+        return out
+
+    kept = []
+    for i, p in enumerate(prints):
+        if all(bin((p ^ prints[k]) % 2**64).count("1") > 3 for k in kept):
+            kept.append(i)
+    found = text.keep_first(df, "n", "p", store)
+    assert sorted(r.n for r in found.where("kept").collect()) == kept
+    assert not any("Broadcast" in p for p in plans[1:]) and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = [n for columns, n in sizes if columns == ["a", "b"]]
+    assert len(pairs) > 5 and pairs == sorted(pairs, reverse=True) and pairs[-1] == 0
+
+
 def test_cleaning_in_order(spark):
     rows = [("<p>Apple&nbsp;Inc &amp;lt; caf\u00e9 a@b.co www.x.y</p><script>x</script>",), ("Visa Inc \u20ac5 $1.2 million 3.5% 1234567",)]
     found = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.clean(F.col("t"))).collect()]
