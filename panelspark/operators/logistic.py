@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 
 @dataclass
 class Logistic:
@@ -54,6 +56,7 @@ def fit(rows: DataFrame, fold: str, features: list[str], label: str, weight: str
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     names = [f"x{j}" for j in range(len(features))]
     known = rows.where(F.col(label).isNotNull()).select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("int").alias("y"), w.alias("w"), *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(n) for c, n in zip(features, names, strict=True)])
+    known, read = files.written_at(known, "logistic")  # every step reads it
     found = known.groupBy("fold").agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).collect()  # a row a fold
     scale = {r["fold"]: (np.array([r[f"m_{n}"] or 0.0 for n in names]), np.maximum([r[f"s_{n}"] or 0.0 for n in names], 1e-8)) for r in found}
     size = 1 + len(features)
@@ -94,6 +97,7 @@ def fit(rows: DataFrame, fold: str, features: list[str], label: str, weight: str
             model.weights[f] = model.weights[f] + steps[f]
             if np.abs(gradient).max() < tolerance:
                 open_.discard(f)
+    files.drop_folder(rows.sparkSession, read)
     return model
 
 

@@ -15,9 +15,9 @@ from .relational_queries import sql
 from .window_queries import RET, W, with_bars
 
 
-def study_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Lagged returns as features, classes of the five-bar return beyond 5 % as labels."""
-    df = ind.with_returns(bars(spark, d))
+def study_panel(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    """Lagged returns as features, classes of the five-bar return beyond 5 % as labels; the bars, if not given, are written once for all steps of a study."""
+    df = ind.with_returns(files.stored(bars(spark, d), "bars") if known is None else known)
     df = df.withColumns({"f1": lag(F.col("ret")), "f2": lag(F.col("ret"), 2), "fwd_ret": panels.forward_return(5)})
     return df.withColumn("y", panels.three_class(F.col("fwd_ret"), F.lit(0.05))).select("ticker", "date", "f1", "f2", "fwd_ret", "y").where("f1 IS NOT NULL AND f2 IS NOT NULL AND y IS NOT NULL")
 
@@ -72,10 +72,11 @@ FEATURES = ["f1", "f2", "f3", "f4", "f5"]
 
 def feature_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The study's blocks with five features: two returns, momentum, deviation and volume."""
-    df = ind.with_returns(bars(spark, d))
+    known = files.stored(bars(spark, d), "bars")
+    df = ind.with_returns(known)
     df = df.withColumns({"f3": F.log(lag(F.col("close")) / lag(F.col("close"), 13)), "f4": rolling(F.col("ret"), 20, F.stddev_pop, 10, -1), "f5": F.log(lag(F.col("volume")) / rolling(F.col("volume"), 20, F.avg, 10, -1))})
     more = df.select("ticker", "date", "f3", "f4", "f5")
-    panel = study_panel(spark, d)
+    panel = study_panel(spark, d, known)
     folds = panels.walk_forward(panel.select("date").distinct(), 5, 0.01, 104, 26, 26)
     return walkforward.blocks(panel.join(more, ["ticker", "date"]), folds, "date")
 

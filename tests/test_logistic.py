@@ -42,3 +42,16 @@ def test_of_nothing_and_of_constant_features(spark):
     assert logistic.predict(spark.createDataFrame([(0, 1.0, 0)], schema), empty, "fold").count() == 0
     flat = logistic.fit(spark.createDataFrame([(0, 1.0, i % 4 == 0) for i in range(40)], "fold int, x double, y boolean"), "fold", ["x"], "y", penalty=1e-6)
     assert np.allclose(logistic.softmax(flat.weights[0][:1])[0], [0.75, 0.25, 0], atol=1e-3)
+
+
+def test_rows_are_made_once_for_all_steps(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def build(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(300).selectExpr("0 AS fold", "sin(id) AS x", "cast(id % 3 as int) AS y").mapInArrow(build, "fold int, x double, y int")
+    logistic.fit(rows, "fold", ["x"], "y")
+    assert made.value == 300
