@@ -101,18 +101,65 @@ def histogram(bins: np.ndarray, node: np.ndarray, g: np.ndarray, h: np.ndarray,
     return out.reshape(nodes, width, size, 3)
 
 
+def quantiles(known: DataFrame, width: int, at: list[float], accuracy: int = 10_000) -> dict[int, list[list[float]]]:
+    """By fold and feature (x0, x1, ...): the values at the shares ``at``, one for each, exact for any number of rows; none of a feature without values.
+
+    Approximate ones bound each of them; what lies below its bounds is counted, and only
+    the few values in between are shuffled and sorted.  Bounds that do not hold it are
+    dropped, and the whole feature is sorted.
+    """
+    clean = lambda j: F.when(~F.isnan(f"x{j}"), F.col(f"x{j}"))
+    near = [min(max(q + side * 2 / accuracy, 0.0), 1.0) for side in (-1, 1) for q in at]
+    out: dict[int, list[list[float]]] = {}
+    asked: dict[tuple[int, int], tuple] = {}
+    for r in known.groupBy("fold").agg(*[F.count(clean(j)).alias(f"n{j}") for j in range(width)], *[F.percentile_approx(clean(j), near, accuracy).alias(f"e{j}") for j in range(width)]).collect():  # a row a fold
+        out[r["fold"]] = [[float("nan")] * len(at) if r[f"n{j}"] else [] for j in range(width)]
+        for j in range(width):
+            if r[f"n{j}"]:
+                asked[r["fold"], j] = (list(range(len(at))), [max(int(np.ceil(q * r[f"n{j}"])), 1) for q in at], r[f"e{j}"][: len(at)], r[f"e{j}"][len(at) :])
+    while asked:
+        sent = known.sparkSession.sparkContext.broadcast(asked)
+
+        def counted(batches, sent=sent):
+            for batch in batches:
+                folds, rows = batch.column(0).to_numpy(), []
+                for (f, j), (places, ranks, lows, highs) in sent.value.items():
+                    x = batch.column(1 + j).to_numpy(zero_copy_only=False)[folds == f]
+                    x = np.sort(x[~np.isnan(x)])
+                    begins, ends = np.searchsorted(x, lows, side="left"), np.searchsorted(x, highs, side="right")
+                    for k, rank, begin, end in zip(places, ranks, begins.tolist(), ends.tolist(), strict=True):
+                        rows.append((f, j, k, rank, None, begin))
+                        rows += [(f, j, k, rank, v, n) for v, n in zip(*map(np.ndarray.tolist, np.unique(x[begin:end], return_counts=True)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64()))], names=["fold", "feature", "place", "rank", "x", "n"])
+
+        cells = known.select("fold", *[clean(j).alias(f"x{j}") for j in range(width)]).mapInArrow(counted, "fold int, feature int, place int, rank long, x double, n long")
+        cells = cells.groupBy("fold", "feature", "place", "rank", "x").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("fold", "feature", "place").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0))
+        hit = cells.withColumn("upto", upto).groupBy("fold", "feature", "place", "rank").agg(F.min(F.when(F.col("upto") >= F.col("rank"), F.col("x"))).alias("x"), F.max(F.when(F.col("x").isNull(), F.col("n"))).alias("below"))
+        again: dict[tuple[int, int], tuple] = {}
+        for r in hit.collect():  # a row a fold, feature and share
+            f, j, k = r["fold"], r["feature"], r["place"]
+            if r["x"] is not None and r["below"] < r["rank"]:
+                out[f][j][k] = r["x"]
+            else:
+                for a, v in zip(again.setdefault((f, j), ([], [], [], [])), (k, r["rank"], -np.inf, np.inf), strict=True):
+                    a.append(v)
+        asked = again
+    return out
+
+
 def fit(rows: DataFrame, fold: str, features: list[str], label: str, weight: str | None = None, classes: int = 3, settings: Settings | None = None) -> Boosted:
     """Trees of every fold, for labels 0 to classes - 1; rows with a null label are left out."""
     s = settings or Settings()
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     known = rows.where(F.col(label).isNotNull()).select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("int").alias("y"), w.alias("w"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])
-    at = [i / s.bins for i in range(1, s.bins)]
-    clean = lambda j: F.when(~F.isnan(f"x{j}"), F.col(f"x{j}"))
-    found = known.groupBy("fold").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("y") == k, F.col("w"))).alias(f"p{k}") for k in range(classes)], *[F.percentile_approx(clean(j), at, 100_000).alias(f"e{j}") for j in range(len(features))]).collect()
+    known, read = files.written_at(known, "boosting")
+    found = known.groupBy("fold").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("y") == k, F.col("w"))).alias(f"p{k}") for k in range(classes)]).collect()
+    points = quantiles(known, len(features), [i / s.bins for i in range(1, s.bins)])
     model = Boosted(features, classes, {}, {})
     mean = {}
     for r in found:  # a row a fold
-        model.edges[r["fold"]] = [np.unique(r[f"e{j}"] or []) for j in range(len(features))]
+        model.edges[r["fold"]] = [np.unique(p) for p in points[r["fold"]]]
         model.start[r["fold"]] = np.log([max((r[f"p{k}"] or 0) / r["w"], 1e-9) for k in range(classes)])
         model.trees[r["fold"]] = []
         mean[r["fold"]] = r["w"] / r["n"]
@@ -127,6 +174,7 @@ def fit(rows: DataFrame, fold: str, features: list[str], label: str, weight: str
                 yield pd.DataFrame({"fold": part["fold"], "y": part["y"], "w": part["w"] / mean_[f], "bins": list(bins.astype(np.int32)), "scores": [start[f]] * len(part)})
 
     table, where = files.written_at(known.mapInPandas(prepare, "fold int, y int, w double, bins array<int>, scores array<double>"), "boosting")
+    files.drop_folder(rows.sparkSession, read)
     done = 0
     for _ in range(s.rounds):
         growing = {f: [Tree.root(s.depth) for _ in range(classes)] for f in model.trees}

@@ -92,3 +92,18 @@ def test_no_rows_and_one_class(spark):
     one = spark.createDataFrame([(0, float(i), 1) for i in range(50)], schema)
     model = boosting.fit(one, "fold", ["x"], "y", settings=Settings(rounds=2))
     assert all(r.probabilities[1] > 0.99 for r in boosting.predict(one, model, "fold").collect())
+
+
+def test_edges_are_exact_beyond_any_accuracy(spark):
+    """Quantiles of more rows than percentile_approx keeps, and of bounds that miss them."""
+    rows = spark.range(0, 400_000, 1, 7).selectExpr("cast(id % 2 as int) AS fold", "xxhash64(id) / 1e9 AS x0", "if(id % 3 = 0, double('nan'), cast(id % 5 as double)) AS x1", "cast(id % 3 as int) AS y")
+    at = [i / 32 for i in range(1, 32)]
+    values_ = rows.toPandas()
+    for accuracy in (10_000, 100):
+        found = boosting.quantiles(rows.select("fold", "x0", "x1"), 2, at, accuracy)
+        for f in (0, 1):
+            for j in (0, 1):
+                v = np.sort(values_.loc[(values_.fold == f) & values_[f"x{j}"].notna(), f"x{j}"].to_numpy())
+                assert found[f][j] == [v[int(np.ceil(q * len(v))) - 1] for q in at]
+    model = boosting.fit(rows, "fold", ["x0", "x1"], "y", settings=Settings(rounds=1, depth=1, bins=32))
+    assert all(list(model.edges[f][0]) == found[f][0] for f in (0, 1))
