@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,9 +177,24 @@ def print_words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), WHITE), lambda t: t != "")
 
 
+#: Words whose hashes are in memory at once, but for a longer text.
+VOTERS = 1 << 18
+
+
 @F.arrow_udf(T.LongType())
 def simhash(words: pa.Array) -> pa.Array:
-    """64-bit fingerprint: every word votes with the bits of its hash; 0 without words.  Each distinct word of a batch is hashed once."""
+    """64-bit fingerprint: every word votes with the bits of its hash; 0 without words.  A batch is taken in parts of so many words; each distinct one of a part is hashed once."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, row = [np.zeros(0, np.int64)], 0
+    while row < len(ends):
+        before = ends[row - 1] if row else 0
+        end = max(int(np.searchsorted(ends, before + VOTERS, side="right")), row + 1)
+        out.append(_voted(words.slice(row, end - row)))
+        row = end
+    return pa.array(np.concatenate(out))
+
+
+def _voted(words: pa.Array) -> np.ndarray:
     lists = words.cast(pa.large_list(pa.large_string()))
     flat = lists.flatten().dictionary_encode()
     distinct = flat.dictionary.cast(pa.large_binary())
@@ -186,14 +202,14 @@ def simhash(words: pa.Array) -> pa.Array:
     data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8).astype(np.uint64)
     bits = np.unpackbits(fnv1a(data, offsets[:-1], offsets[1:]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
     index = flat.indices.to_numpy(zero_copy_only=False)
-    sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     out, at = np.zeros(len(sizes), np.int64), 0
     for row, n in enumerate(sizes.tolist()):
         if n:
             ones = bits[index[at : at + n]].sum(axis=0)
             out[row] = np.packbits(2 * ones > n, bitorder="little").view("<i8")[0]
         at += n
-    return pa.array(out)
+    return out
 
 
 def near_fingerprints(prints: DataFrame, print_col: str, most: int = 3) -> DataFrame:

@@ -191,6 +191,22 @@ def test_greedy_removal_broadcasts_no_rows_and_reads_open_pairs_only(spark):
     assert len(pairs) > 5 and pairs == sorted(pairs, reverse=True) and pairs[-1] == 0
 
 
+def test_simhash_takes_a_batch_in_parts():
+    """Of 800,000 distinct words in one batch, the hashes of a part are in memory at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = [[f"w{i}-{k}" for k in range(200)] for i in range(4000)] + [None, []]
+    words = pa.array(rows, pa.list_(pa.string()))
+    tracemalloc.start()
+    whole = text.simhash.func(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(whole) == 4002 and whole[-1].as_py() == whole[-2].as_py() == 0
+    assert whole[3999] == text.simhash.func(words.slice(3999, 1))[0]
+
+
 def test_cleaning_in_order(spark):
     rows = [("<p>Apple&nbsp;Inc &amp;lt; caf\u00e9 a@b.co www.x.y</p><script>x</script>",), ("Visa Inc \u20ac5 $1.2 million 3.5% 1234567",)]
     found = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.clean(F.col("t"))).collect()]
