@@ -50,9 +50,19 @@ BASE_POSITIVE = ["gain", "gains", "beat", "beats", "surge", "surged", "profit",
 BASE_NEGATIVE = ["loss", "losses", "miss", "missed", "plunge", "plunged", "decline", "declined", "downgrade", "downgraded", "weak", "lawsuit", "probe", "fraud", "underperform"]
 
 
+def held(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), for which x is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def replaced_where(x: Column, sign: str, pattern: str, new: str) -> Column:
+    """Matches of a pattern that all hold ``sign`` replaced; texts without it are not searched."""
+    return held(x, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, new)).otherwise(t))
+
+
 def strip_html(x: Column) -> Column:
     """Without script and style blocks; tags become spaces, entities their characters."""
-    x = F.regexp_replace(F.regexp_replace(x, BLOCKS, ""), TAGS, " ")
+    x = held(x, lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(F.regexp_replace(t, BLOCKS, ""), TAGS, " ")).otherwise(t))
     for name, char in HTML_ENTITIES.items():
         x = F.replace(x, F.lit(name), F.lit(char))
     return x
@@ -70,24 +80,28 @@ def ascii_folded(x: Column) -> Column:
 
 
 def mark_links(x: Column) -> Column:
-    for pattern in LINKS:
-        x = F.regexp_replace(x, pattern, " <URL> ")
-    return F.regexp_replace(x, MAIL, " <EMAIL> ")
+    for pattern, sign in zip(LINKS, ("://", "www."), strict=True):
+        x = replaced_where(x, sign, pattern, " <URL> ")
+    return replaced_where(x, "@", MAIL, " <EMAIL> ")
 
 
 def mark_entities(x: Column, entities: dict[str, str] = ENTITIES) -> Column:
-    return mark_names(F.regexp_replace(x, r"\$([A-Z]{1,5})\b", "<TICKER_$1>"), entities)
+    return mark_names(replaced_where(x, "$", r"\$([A-Z]{1,5})\b", "<TICKER_$1>"), entities)
 
 
 def mark_names(x: Column, entities: dict[str, str]) -> Column:
-    """Whole names in any case become their tickers, the longest first."""
-    for name in sorted(entities, key=len, reverse=True):
-        x = F.regexp_replace(x, rf"(?i)\b\Q{name}\E\b", f"<TICKER_{entities[name]}>")
-    return x
+    """Whole names in any case become their tickers, the longest first; only the names that stand somewhere in a text are looked for by their patterns."""
+    names = sorted(entities, key=len, reverse=True)
+    if not names:
+        return x
+    inside = lambda n: "<" in n or ">" in n or n.lower().startswith("ticker_")  # noqa: E731  a ticker put in before may make such a name
+    steps = F.array(*[F.struct(F.lit("" if inside(n) else n.lower()).alias("name"), F.lit(rf"(?i)\b\Q{n}\E\b").alias("pattern"), F.lit(f"<TICKER_{entities[n]}>").alias("ticker")) for n in names])
+    found = lambda t, low: F.aggregate(F.filter(steps, lambda s: F.contains(low, s["name"])), t, lambda done, s: F.regexp_replace(done, s["pattern"], s["ticker"]))
+    return held(x, lambda t: held(F.lower(t), lambda low: found(t, low)))
 
 
 def mark_numbers(x: Column) -> Column:
-    x = F.regexp_replace(F.regexp_replace(x, MONEY, " <MONEY> "), PERCENT, " <PERCENT> ")
+    x = F.regexp_replace(replaced_where(x, "$", MONEY, " <MONEY> "), PERCENT, " <PERCENT> ")
     return F.regexp_replace(x, r"\b\d{6,}\b", " <BIGNUM> ")
 
 

@@ -213,6 +213,18 @@ def test_cleaning_in_order(spark):
     assert found == ["<TICKER_AAPL> < cafe <EMAIL> <URL>", "<TICKER_V> \u20ac5 <MONEY> <PERCENT> <BIGNUM>"]
 
 
+def test_names_are_looked_for_where_they_stand(spark):
+    rows = ["no name here", "APPLE inc, pineapple, the S&P 500", "$AAPL apple", None, "", "visa inc www.a.b $3 million x@y.z", "alpha beta"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
+    names = text.ENTITIES | {"alpha": "A", "<ticker_a> beta": "AB"}  # the last one stands there only once the first is replaced
+    plan = df.select("i", text.mark_entities(F.col("t"), names).alias("m"))
+    found = [r.m for r in plan.orderBy("i").collect()]
+    assert found[:5] == ["no name here", "<TICKER_AAPL>, pineapple, the <TICKER_SPX>", "<TICKER_AAPL> <TICKER_AAPL>", None, ""]
+    short = df.select("i", text.mark_entities(F.col("t"), {"alpha beta": "A", "<ticker_a>": "B"}).alias("m")).orderBy("i").collect()
+    assert short[6].m == "<TICKER_A>"  # as before: no word boundary beside a bracket
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 5
+
+
 def test_look_ahead_raises(spark):
     df = spark.sql("SELECT TIMESTAMP'2024-01-01 00:00:00' AS published_at, TIMESTAMP'2024-01-02 09:30:00' AS open_ts")
     assert panels.assert_no_lookahead(df, "published_at", "open_ts", 24).count() == 1
