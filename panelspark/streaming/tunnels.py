@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,31 @@ from ..operators.estimators import OnlineConformal
 from .candles import LAST_PRICES, quiet
 
 
-def in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one batch in the order of time."""
-    rows = [f for f in frames if len(f)]
-    return pd.concat(rows).sort_values(["second", "event_id"], kind="stable") if rows else pd.DataFrame({"second": [], "event_id": []})
+#: Rows that are turned into objects, or logged, at a time.
+CHUNK = 10_000
+
+
+def in_order(frames: Iterator[pd.DataFrame], *columns: str, last: int | None = None) -> Iterator[tuple]:
+    """A key's rows (second, event_id, columns) of one batch in the order of time, or the last ones of them.
+
+    Of a key with many rows, plain arrays of these columns are in memory and objects of
+    a chunk of rows only.
+    """
+    names = ("second", "event_id", *columns)
+    parts = [[f[c].to_numpy() for c in names] for f in frames if len(f)]
+    if not parts:
+        return
+    held = [np.concatenate(some) if len(some) > 1 else some[0] for some in zip(*parts, strict=True)]
+    del parts
+    order = np.lexsort((held[1], held[0]))
+    order = order if last is None else order[-last:]
+    for at in range(0, len(order), CHUNK):
+        some = order[at : at + CHUNK]
+        yield from zip(*(column[some].tolist() for column in held), strict=True)
+
+
+def logged(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
 def keyed(stream: DataFrame, processor: StatefulProcessor, key: str, schema: str) -> DataFrame:
@@ -107,11 +129,10 @@ class PredictTunnel(StatefulProcessor):
         self.load()
         prices = [p for (p,) in self.prices.get()] if self.prices.exists() else []
         due, s = self.due if self.stage else None, self.schedule
-        for row in in_order(rows).itertuples():
-            second = int(row.second)
+        for second, _, price in in_order(rows, "price"):
             self.advance(second)
             self.seen += 1
-            prices = [*prices[1 - LAST_PRICES :], float(row.price)]
+            prices = [*prices[1 - LAST_PRICES :], price]
             if not self.trained:
                 self.queue(second, True)
                 continue
@@ -166,29 +187,31 @@ class JobQueue(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         jobs = dict(self.jobs.get()) if self.jobs.exists() else {}  # in their order
         log: list[tuple] = []
-        for row in in_order(rows).itertuples():
-            event, ticker = int(row.event_id), int(row.ticker)
+        for _, event, ticker, priority in in_order(rows, "ticker", "priority"):
             said: list[tuple] = []
-            if pd.isna(row.priority):
+            if priority is None or priority != priority:
                 if jobs:
                     first = next(iter(jobs))
                     said.append(("started", first, jobs.pop(first)))
             elif ticker in jobs:
-                if row.priority > jobs[ticker]:
-                    jobs[ticker] = int(row.priority)
+                if priority > jobs[ticker]:
+                    jobs[ticker] = int(priority)
                     said.append(("upgraded", ticker, jobs[ticker]))
             else:
                 if len(jobs) >= self.limit:
                     first = next(iter(jobs))
                     said.append(("dropped", first, jobs.pop(first)))
-                jobs[ticker] = int(row.priority)
+                jobs[ticker] = int(priority)
                 said.append(("queued", ticker, jobs[ticker]))
             log += [(key[0], event, n, *s) for n, s in enumerate(said)]
+            if len(log) >= CHUNK:
+                yield logged(log, QUEUE_LOG)
+                log = []
         if jobs:
             self.jobs.put(list(jobs.items()))
         else:
             self.jobs.clear()
-        yield pd.DataFrame(log, columns=[c.split()[0] for c in QUEUE_LOG.split(", ")])
+        yield logged(log, QUEUE_LOG)
 
     def close(self) -> None:
         pass
@@ -224,13 +247,12 @@ class RequestLimit(StatefulProcessor):
         seconds = [s for (s,) in self.allowed.get()] if self.allowed.exists() else []
         start, timer = self.last.get() if self.last.exists() else (None, None)
         log = []
-        for row in in_order(rows).itertuples():
-            second = int(row.second)
+        for second, event in in_order(rows):
             seconds = [s for s in seconds if s > second - self.window]
             fits = len(seconds) < self.most
             seconds += [second] if fits else []
             start = second if start is None else max(second, start + self.gap)
-            log.append((key[0], int(row.event_id), fits, start - second))
+            log.append((key[0], event, fits, start - second))
         if log:
             over = max(second + self.window, start + self.gap)
             if timer is not None and timer != over:
@@ -272,11 +294,10 @@ class ExpiringCache(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         known = self.answer.get()[0] if self.answer.exists() else None
         since, log = known, []
-        for row in in_order(rows).itertuples():
-            second = int(row.second)
+        for second, event in in_order(rows):
             hit = since is not None and second - since <= self.ttl
             since = since if hit else second
-            log.append((key[0], int(row.event_id), hit))
+            log.append((key[0], event, hit))
         if since is not None and since != known:
             if known is not None:
                 self.handle.deleteTimer((known + self.ttl + 1) * 1000)
@@ -316,10 +337,10 @@ class Coverage(StatefulProcessor):
         level, seen, counts = self.known.get() if self.known.exists() else (None, 0, None)
         machine = OnlineConformal(**self.settings, level=level, seen=seen, counts=None if counts is None else [int(c) for c in counts])
         log = []
-        for row in in_order(rows).itertuples():
-            found = machine.step(float(row.score))
+        for _, event, score in in_order(rows, "score"):
+            found = machine.step(score)
             if found is not None:
-                log.append((key[0], int(row.event_id), bool(found[0]), float(found[1])))
+                log.append((key[0], event, bool(found[0]), float(found[1])))
         self.known.update((float(machine.level), int(machine.seen), machine.counts.tree))
         yield pd.DataFrame(log, columns=["key", "event_id", "covered", "level"])
 
@@ -350,20 +371,23 @@ class Lease(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         holder, until = self.held.get() if self.held.exists() else (None, 0)
         log = []
-        for row in in_order(rows).itertuples():
-            worker, second, action = int(row.worker), int(row.second), None
+        for second, event, worker, leaves in in_order(rows, "worker", "leaves"):
+            action = None
             if holder == worker and second < until:
-                action = "released" if row.leaves else "renewed"
-            elif (holder is None or second >= until) and not row.leaves:
+                action = "released" if leaves else "renewed"
+            elif (holder is None or second >= until) and not leaves:
                 action = "acquired"
             if action is not None:
                 holder, until = (None, until) if action == "released" else (worker, second + self.ttl)
-                log.append((key[0], int(row.event_id), worker, action))
+                log.append((key[0], event, worker, action))
+            if len(log) >= CHUNK:
+                yield logged(log, LEASE_LOG)
+                log = []
         if holder is None:
             self.held.clear()
         else:
             self.held.update((holder, until))
-        yield pd.DataFrame(log, columns=["lock", "event_id", "worker", "action"])
+        yield logged(log, LEASE_LOG)
 
     def close(self) -> None:
         pass
@@ -393,8 +417,7 @@ class TickBuffer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         held = list(self.ticks.get()) if self.ticks.exists() else []
         version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        new = in_order(rows)
-        held = [*held, *((int(r.event_id), float(r.price)) for r in new.tail(self.size).itertuples())][-self.size :]
+        held = [*held, *((event, price) for _, event, price in in_order(rows, "price", last=self.size))][-self.size :]
         self.ticks.put([tuple(t) for t in held])
         self.version.update((version,))
         yield pd.DataFrame([(key[0], version, *t) for t in held], columns=["ticker", "version", "event_id", "price"])

@@ -112,3 +112,21 @@ def test_old_answers_and_limits_are_evicted(spark, tmp_path):
     arrive(0)
     for n, out in enumerate((tunnels.cached(stream, 600), tunnels.limited(stream, 2, 600, 10))):
         assert kept_rows(spark, out, str(tmp_path / f"state{n}")) < 10
+
+
+def test_rows_of_a_key_are_objects_by_chunks():
+    """400,000 rows of one key in order; their objects are never in memory together."""
+    import tracemalloc
+
+    n = 400_000
+    frames = (pd.DataFrame({"second": range(n - at, n - at - 10_000, -1), "event_id": range(at, at + 10_000), "ticker": 1}) for at in range(0, n, 10_000))
+    tracemalloc.start()
+    before, count = -1, 0
+    for second, event, ticker in tunnels.in_order(frames, "ticker"):
+        assert second > before and second + event == n and ticker == 1
+        before, count = second, count + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == n and peak < 30e6
+    assert list(tunnels.in_order(iter([]), "ticker")) == []
+    assert [e for _, e in tunnels.in_order(iter([pd.DataFrame({"second": [2, 1, 1], "event_id": [1, 3, 2]})]), last=2)] == [3, 1]
