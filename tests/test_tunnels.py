@@ -130,3 +130,23 @@ def test_rows_of_a_key_are_objects_by_chunks():
     assert count == n and peak < 30e6
     assert list(tunnels.in_order(iter([]), "ticker")) == []
     assert [e for _, e in tunnels.in_order(iter([pd.DataFrame({"second": [2, 1, 1], "event_id": [1, 3, 2]})]), last=2)] == [3, 1]
+
+
+def test_names_share_groups_and_keep_their_own_logs(spark, tmp_path, monkeypatch):
+    """Sixty names in two groups, some of which come in the first file only; their timeouts come although their groups have rows."""
+    rows = [(i, pd.Timestamp(1_700_000_000 + i * 600, unit="s"), i % (60 if i < 180 else 23), 100.0 + i * 37 % 11) for i in range(540)]
+    subscriptions = spark.range(60).selectExpr("id AS ticker", "id % 5 > 0 AS train")
+    schedule = tunnels.Schedule(wait=2 * 3600, cold_run=10 * 3600, later_run=5 * 3600, least_ticks=9)
+    logs = []
+    for sub, shards, files in (("a", 2, 3), ("b", 100_000, 1)):
+        monkeypatch.setattr(tunnels, "SHARDS", shards, raising=False)
+        (tmp_path / sub).mkdir()
+        stream, arrive = folder(spark, tmp_path / sub, rows, files)
+        out = tunnels.predict_tunnel(stream, subscriptions, schedule)
+        for n in range(files):
+            arrive(n)
+            log = candles.finished(out, "append", str(tmp_path / sub / "out"))
+        logs.append(sorted(tuple(str(v) for v in r) for r in log.collect()))
+        if sub == "a":
+            assert kept_rows(spark, out, str(tmp_path / "state")) <= 2
+    assert logs[0] == logs[1] and len({r[0] for r in logs[0]}) == 48
