@@ -458,5 +458,5 @@ def buffered(ticks: DataFrame, size: int = 2000) -> DataFrame:
 
 def newest(rows: DataFrame) -> DataFrame:
     """The rows of each name's largest version."""
-    last = rows.groupBy("ticker").agg(F.max("version").alias("version"))
-    return rows.join(last, ["ticker", "version"])
+    last = rows.groupBy(F.col("ticker").alias("name")).agg(F.max("version").alias("last"))
+    return rows.join(last, rows["ticker"].eqNullSafe(last["name"]) & (rows["version"] == last["last"])).drop("name", "last")

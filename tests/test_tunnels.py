@@ -150,3 +150,16 @@ def test_names_share_groups_and_keep_their_own_logs(spark, tmp_path, monkeypatch
         if sub == "a":
             assert kept_rows(spark, out, str(tmp_path / "state")) <= 2
     assert logs[0] == logs[1] and len({r[0] for r in logs[0]}) == 48
+
+
+def test_buffers_hold_ticks_without_a_name(spark, tmp_path):
+    """Rows without a name are one name's, apart from those of name 0; many names share a group."""
+    rows = events(90, users=40)
+    stream, arrive = folder(spark, tmp_path, rows, 2)
+    stream = stream.withColumn("user_id", F.when(F.col("user_id") != 5, F.col("user_id")))
+    for n in range(2):
+        arrive(n)
+        found = candles.finished(tunnels.buffered(stream, 2), "append", str(tmp_path / "out"))
+    held = tunnels.newest(found).select("ticker", "event_id", "price").collect()
+    assert sorted((5 if r.ticker is None else r.ticker, r.event_id, r.price) for r in held) == plain_buffer(rows, 2)
+    assert sum(r.ticker is None for r in held) == 2
