@@ -95,7 +95,7 @@ class Machine:
         held = {r[0]: tuple(r[1:]) for r in state.get[0]} if state.exists else {}
         watermark = state.getCurrentWatermarkMs()
         log: list[tuple] = []
-        for row in self.all_steps(held, () if state.hasTimedOut else parts, group[0] == NO_KEY, watermark // 1000):
+        for row in self.all_steps(held, () if state.hasTimedOut else parts, bool(group[1]), watermark // 1000):
             log.append(row)
             if len(log) >= CHUNK:
                 yield logged(log, self.LOG)
@@ -126,15 +126,15 @@ class Machine:
                 yield from kept(key, self.expire(key, known, second))
 
 
-#: The shard of rows without a key.
-NO_KEY = -1
+def keyed(stream: DataFrame, machine: Machine, key: str, apart: bool = False) -> DataFrame:
+    """Rows (key, event_id, second, ts, ...) of a stream with a watermark through a state machine a key; rows older than the watermark are left out.
 
-
-def keyed(stream: DataFrame, machine: Machine, key: str) -> DataFrame:
-    """Rows (key, event_id, second, ts, ...) of a stream with a watermark through a state machine a key; rows older than the watermark are left out."""
-    shard = F.when(F.col(key).isNull(), F.lit(NO_KEY)).otherwise(F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int"))
-    rows = stream.select(shard.alias("shard"), F.coalesce(key, F.lit(0)).cast("long").alias("key"), "second", "event_id", *machine.COLUMNS, "ts")
-    return rows.groupBy("shard").applyInPandasWithState(machine.shard, machine.LOG, f"names array<struct<name long, {machine.STATE}>>", "append", GroupStateTimeout.EventTimeTimeout)
+    apart: a group a key, for few keys of many rows.
+    """
+    known = F.coalesce(key, F.lit(0)).cast("long")
+    shard = known if apart else F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("long")
+    rows = stream.select(shard.alias("shard"), F.col(key).isNull().alias("nameless"), known.alias("key"), "second", "event_id", *machine.COLUMNS, "ts")
+    return rows.groupBy("shard", "nameless").applyInPandasWithState(machine.shard, machine.LOG, f"names array<struct<name long, {machine.STATE}>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def timed(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -290,7 +290,7 @@ class JobQueue(Machine):
 def job_queue(requests: DataFrame, limit: int = 4000) -> DataFrame:
     """QUEUE_LOG rows of requests (worker, ticker, event_id, ts, priority)."""
     rows = timed(requests).select("worker", "event_id", "second", "ticker", F.col("priority").cast("double").alias("priority"), "ts")
-    return keyed(rows, JobQueue(limit), "worker")
+    return keyed(rows, JobQueue(limit), "worker", apart=True)
 
 
 # -- requests ---------------------------------------------------------------------
@@ -424,7 +424,7 @@ class Lease(Machine):
 def leases(calls: DataFrame, ttl: int) -> DataFrame:
     """LEASE_LOG rows of calls (lock, worker, event_id, ts, leaves)."""
     rows = timed(calls).select("lock", "event_id", "second", "worker", "leaves", "ts")
-    return keyed(rows, Lease(ttl), "lock")
+    return keyed(rows, Lease(ttl), "lock", apart=True)
 
 
 # -- buffers ------------------------------------------------------------------------
